@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouch.llm import chat, pii, url_filter
+from vouch.llm import ann, chat, langid, packing, pii, url_filter, warc
 
-MODULES = [chat, url_filter, pii]
+MODULES = [chat, warc, langid, ann, url_filter, packing, pii]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
