@@ -7,11 +7,16 @@ it, scores their codes from tables of partial products (asymmetric distance),
 and the best `rerank` of all lists are scored again exactly, in double
 precision, on the original vectors.
 
-The lists are stored in blocks of at most BLOCK vectors, so a list that holds a
-third of all vectors is many blocks on many tasks; queries meet blocks by an
-equi-join on the list. Each block yields its best few, so what is shuffled a
-query is bounded by the probed blocks, and the last step keeps `rerank` rows a
-query. Only the centroids and codebooks reach the driver.
+How many lists to probe is measured when the index is trained: the fewest that
+hold the share COVER of the exact neighbours among the sample. Vectors in
+clusters need few lists; vectors without structure need a large part of them,
+and a search then costs in proportion to the vectors, whatever the index.
+
+Neighbouring lists form GROUPS groups, stored in blocks of at most about BLOCK
+vectors, so a list that holds a third of all vectors is many blocks on many
+tasks; queries meet blocks by an equi-join on the group. Each block yields a
+query's best few, and the last step keeps `rerank` rows a query. Only the
+centroids and codebooks reach the driver.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or
 have a null id, take no part, and neither do those of another dimension than
@@ -35,10 +40,12 @@ from vouch.llm.common import fold, table, written
 #: Vectors that centroids and codebooks are trained on, at most (in expectation).
 TRAIN = 24_576
 MAX_LISTS = 1024
-BLOCK = 4096
+GROUPS = 16
+BLOCK = 8192
 QUERY_BLOCK = 256
-SUB = 4  # dimensions of a sub-vector
-KEEP, RERANK = 64, 128
+SUB = 2  # dimensions of a sub-vector
+KEEP, RERANK = 48, 96
+COVER, NEIGHBOURS = 0.97, 20
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -93,17 +100,39 @@ class Index:
         codes = [nearest(rest[:, j * SUB : (j + 1) * SUB], b).astype(np.uint8) for j, b in enumerate(self.books)]
         return own, np.stack(codes, axis=1)
 
-    def probes(self, q: np.ndarray, n: int) -> np.ndarray:
+    def calibrate(self, sample: np.ndarray, most: int = 256) -> int:
+        """Lists to probe for the share COVER of the exact neighbours among the sample."""
+        q = sample[:: max(1, len(sample) // most)]
+        exact = q @ sample.T
+        exact[exact >= (q * q).sum(axis=1)[:, None] * (1 - 1e-12)] = -np.inf  # itself and its copies
+        k = min(NEIGHBOURS, len(sample))
+        near = np.argpartition(-exact, k - 1, axis=1)[:, :k]
+        order = np.argsort(-(self.pad(q) @ self.centroids.T), axis=1, kind="stable")
+        rank = np.argsort(order, axis=1, kind="stable")
+        own = nearest(self.pad(sample), self.centroids)
+        need = np.sort(np.take_along_axis(rank, own[near], axis=1).ravel())
+        return int(need[max(0, math.ceil(COVER * len(need)) - 1)]) + 1
+
+    def probed(self, q: np.ndarray, n: int) -> np.ndarray:
+        """Whether each query (row) probes each list (column)."""
         near = self.pad(q) @ self.centroids.T
-        n = min(n, near.shape[1])
-        return np.argpartition(-near, n - 1, axis=1)[:, :n]
+        out = np.zeros(near.shape, bool)
+        np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, :n], True, axis=1)
+        return out
 
-    def scores(self, q: np.ndarray, number: int, codes: np.ndarray) -> np.ndarray:
-        """Approximate products of queries (rows) with the coded vectors of one list (columns)."""
+    def scores(self, q: np.ndarray, probed: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Approximate products of queries (rows) with coded vectors (columns, by list); -inf where not probed."""
         q = self.pad(q)
-        out = np.repeat((q @ self.centroids[number])[:, None], len(codes), axis=1)
-        for j, book in enumerate(self.books):
-            out += (q[:, j * SUB : (j + 1) * SUB] @ book.T)[:, codes[:, j]]
+        tables = [q[:, j * SUB : (j + 1) * SUB] @ b.T for j, b in enumerate(self.books)]
+        out = np.full((len(q), len(lists)), -np.inf, np.float32)
+        cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1), len(lists)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            asking = np.flatnonzero(probed[:, lists[a]]) if b > a else []
+            if len(asking):
+                part = np.repeat((q[asking] @ self.centroids[lists[a]])[:, None], b - a, axis=1)
+                for table_, code in zip(tables, codes[a:b].T, strict=True):
+                    part += table_[asking][:, code]
+                out[asking, a:b] = part
         return out
 
 
@@ -125,7 +154,9 @@ def build(rows: DataFrame, lists: int | None = None, train: int = TRAIN) -> tupl
     if not len(sample):
         sample = rows.limit(1).select("vec").toArrow().column("vec").combine_chunks()
     d = len(sample[0])
-    index = Index(matrix(sample, d), lists or max(1, min(MAX_LISTS, round(2 * math.sqrt(n)))))
+    index = Index(matrix(sample, d), lists or max(1, min(MAX_LISTS, round(math.sqrt(n)))))
+    index.probes = index.calibrate(matrix(sample, d))
+    per = -(-len(index.centroids) // GROUPS)
     shared = rows.sparkSession.sparkContext.broadcast(index)  # MAX_LISTS centroids and 256 codes a sub-vector
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,27 +169,33 @@ def build(rows: DataFrame, lists: int | None = None, train: int = TRAIN) -> tupl
                 )
 
     coded = written(rows.mapInArrow(encode, "list int, vec_id long, code binary"), "ann-codes")
-    counts = {r.list: r.n for r in coded.groupBy("list").agg(F.count("*").alias("n")).collect()}  # a row a list
-    salts = F.array(*[F.lit(-(-counts.get(i, 1) // BLOCK)) for i in range(len(index.centroids))])
-    dealt = coded.withColumn("salt", F.pmod(fold(F.col("vec_id"), 8), F.get(salts, F.col("list"))))
+    coded = coded.withColumn("group", F.floor(F.col("list") / per).cast("int"))
+    counts = {r.group: r.n for r in coded.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group
+    salts = F.array(*[F.lit(-(-counts.get(i, 1) // BLOCK)) for i in range(GROUPS)])
+    dealt = coded.withColumn("salt", F.pmod(fold(F.col("vec_id"), 8), F.get(salts, F.col("group"))))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: dict[tuple, list] = {}
 
         def out(keys):
-            got = [(k, *map(b"".join, zip(*held.pop(k), strict=True))) for k in list(keys)]
-            kinds = (pa.int32(), pa.binary(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], names=["list", "ids", "codes"])
+            got = []
+            for key in list(keys):
+                part = sorted(held.pop(key))  # by list, then id
+                lists, ids, codes = zip(*part, strict=True)
+                got.append((key[0], np.array(lists, np.int32).tobytes(), np.array(ids, np.int64).tobytes(), b"".join(codes)))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            names = ["group", "lists", "ids", "codes"]
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], names=names)
 
         for batch in batches:
-            for k, i, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                held.setdefault(k, []).append((np.int64(i).tobytes(), c))
-                if len(held[k]) >= 2 * BLOCK:
-                    yield out([k])
+            for g, salt, k, i, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                held.setdefault((g, salt), []).append((k, i, c))
+                if len(held[g, salt]) >= 2 * BLOCK:
+                    yield out([(g, salt)])
         yield out(held)
 
-    blocks = dealt.repartition("list", "salt").select("list", "vec_id", "code").mapInArrow(block, "list int, ids binary, codes binary")
-    return index, written(blocks, "ann-blocks")
+    blocks = dealt.repartition("group", "salt").select("group", "salt", "list", "vec_id", "code")
+    return index, written(blocks.mapInArrow(block, "group int, lists binary, ids binary, codes binary"), "ann-blocks")
 
 
 def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] | None, k: int, probes: int | None = None,
@@ -168,47 +205,42 @@ def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] |
     if built is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, blocks = built
-    d = index.d
-    probes = probes or max(16, len(index.centroids) // 8)
+    d, per = index.d, -(-len(index.centroids) // GROUPS)
+    probes = probes or index.probes
     shared = spark.sparkContext.broadcast(index)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids, x = np.asarray(batch.column(0)), matrix(batch.column(1), d)
-            near = shared.value.probes(x, probes)
-            which, out = np.argsort(near.ravel(), kind="stable"), []
-            number, of = near.ravel()[which], which // near.shape[1]
-            cuts = np.flatnonzero(np.diff(number)) + 1
-            for group in np.split(np.arange(len(number)), cuts):
-                for i in range(0, len(group), QUERY_BLOCK):
-                    own = of[group[i : i + QUERY_BLOCK]]
-                    out.append((int(number[group[0]]), ids[own].tobytes(), x[own].tobytes()))
+            ids, out = np.asarray(batch.column(0)), []
+            x = matrix(batch.column(1), d).astype(np.float32) if batch.num_rows else np.zeros((0, d), np.float32)
+            probed = shared.value.probed(x, probes)
+            for group in range(-(-probed.shape[1] // per)):
+                asking = np.flatnonzero(probed[:, group * per : (group + 1) * per].any(axis=1))
+                for i in range(0, len(asking), QUERY_BLOCK):
+                    own = asking[i : i + QUERY_BLOCK]
+                    out.append((group, ids[own].tobytes(), x[own].tobytes()))
             kinds = (pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=["q_list", "q_ids", "q_vecs"]
-            )
+            names = ["q_group", "q_ids", "q_vecs"]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, ids, codes, q_ids, q_vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
+            for lists, ids, codes, q_ids, q_vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, q_ids, lists = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64), np.frombuffer(lists, np.int32)
                 codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                order = np.argsort(ids, kind="stable")  # so that of equal scores the smaller ids are kept
-                ids, codes = ids[order], codes[order]
-                got = shared.value.scores(np.frombuffer(q_vecs).reshape(len(q_ids), d), number, codes)
+                q = np.frombuffer(q_vecs, np.float32).reshape(len(q_ids), d)
+                got = shared.value.scores(q, shared.value.probed(q, probes), lists, codes)
+                by_id = np.argsort(ids, kind="stable")  # so that of equal scores the smaller ids are kept
+                ids, got = ids[by_id], got[:, by_id]
                 got[q_ids[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-got, axis=1, kind="stable")[:, :keep] if len(ids) > keep else np.tile(np.arange(len(ids)), (len(q_ids), 1))
+                best = np.argsort(-got, axis=1, kind="stable")[:, :keep]
                 value = np.take_along_axis(got, best, axis=1)
                 some = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q_ids, best.shape[1]).reshape(best.shape)[some]), pa.array(ids[best][some]), pa.array(value[some].astype(np.float32))],
-                    names=["query_id", "vec_id", "near"],
-                )
+                arrays = [np.repeat(q_ids, best.shape[1]).reshape(best.shape)[some], ids[best][some], value[some]]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["query_id", "vec_id", "near"])
 
-    dealt = queries.select("vec_id", "vec").mapInArrow(deal, "q_list int, q_ids binary, q_vecs binary")
-    met = blocks.join(dealt, F.col("list") == F.col("q_list")).select("list", "ids", "codes", "q_ids", "q_vecs")
+    dealt = queries.select("vec_id", "vec").mapInArrow(deal, "q_group int, q_ids binary, q_vecs binary")
+    met = blocks.join(dealt, F.col("group") == F.col("q_group")).select("lists", "ids", "codes", "q_ids", "q_vecs")
     near = met.mapInArrow(score, "query_id long, vec_id long, near float")
     best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
     some = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank).select("query_id", "vec_id")
