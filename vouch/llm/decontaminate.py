@@ -238,17 +238,23 @@ def confirm(text: str, ids: np.ndarray, a: int, b: int, index: Index, found: dic
             found[item] = (score, *got)
 
 
+def shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items, at most about MAX_WORDS words at a time."""
+    size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first().n
+    n = max(1, math.ceil(size / MAX_WORDS))
+    for shard in range(n):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == shard).select("item_id", "text")
+        yield [(r.item_id, r.text) for r in own.collect()]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each item (item_id, text) that a document (doc_id, text) holds.
 
     Returns doc_id, item_id, score, question_overlap, answer_overlap.
     """
-    size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first().n
-    shards = max(1, math.ceil(size / MAX_WORDS))
     out = None
-    for shard in range(shards):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).select("item_id", "text")
-        one = against(docs, [(r.item_id, r.text) for r in own.collect()], threshold)  # at most about MAX_WORDS words
+    for own in shards(items):
+        one = against(docs, own, threshold)
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -275,10 +281,22 @@ def against(docs: DataFrame, items: list[tuple[int, str]], threshold: float) ->
     )
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that hold no item, with the columns of docs. Rows with a null id stay."""
-    bad = contaminated(docs, items).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("bad_id"), "left_anti")
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    where = docs.columns.index("text")
+    for own in shards(items):
+        shared = docs.sparkSession.sparkContext.broadcast(own)
+
+        def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = Index(shared.value, threshold)
+            chunks = Chunks(index)
+            for batch in batches:
+                found = matches(batch.column(where).to_pylist(), index, chunks)
+                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
+
+        docs = docs.mapInArrow(each, schema)
+    return docs
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

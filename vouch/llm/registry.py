@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouch.llm import ann, chat, langid, packing, pii, url_filter, warc
+from vouch.llm import ann, chat, decontaminate, jaccard, langid, packing, pii, quality, url_filter, warc
 
-MODULES = [chat, warc, langid, ann, url_filter, packing, pii]
+MODULES = [jaccard, chat, warc, decontaminate, langid, quality, ann, url_filter, packing, pii]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
