@@ -53,7 +53,7 @@ def near(page: Column, variant: Column, email: Column, before: int = 150, after:
         lambda i: F.contains(
             F.concat(
                 F.right(F.get(pieces, i - 1), F.lit(before)), variant,
-                F.left(F.array_join(F.slice(pieces, i + 1, F.size(pieces)), variant), F.lit(after)),
+                F.left(F.call_function("array_join", F.slice(pieces, i + 1, F.size(pieces)), variant), F.lit(after)),
             ), email,
         ),
     ) & (F.size(pieces) > 1)

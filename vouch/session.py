@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,3 +28,12 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, path.relative_to(root.parent))
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path under the folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not base:
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vouch-"))
+        base = spark.sparkContext.getCheckpointDir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
