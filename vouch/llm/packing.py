@@ -47,11 +47,15 @@ MAX_QUEUES = 1024
 UNIT = 1 << 12
 TOKENIZER = "word_bpe_49k.json"
 #: Words kept with their ids in a Python worker; when full, the table starts anew.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
 LONGEST_CACHED = 48
 #: Texts of these characters alone are cut at white space and looked up word by word: for them NFC changes nothing,
 #: lower-casing looks at one character at a time, and white space means the same to Python and to the tokenizer.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
+#: Fixed value: the pieces that this tokenizer cuts a text into, for such texts.
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Texts whose new words are encoded together.
+TOGETHER = 64
 
 _tokenizers: dict[str, Tokens] = {}
 
@@ -65,23 +69,50 @@ class Tokens(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of the tokens that end a piece of a word
+        for token, number in self.tokenizer.get_vocab().items():
+            self.last[number] = token.endswith("</w>")
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Enter the ids of plain words: all of them encoded as one text and cut at the words' ends."""
+        counts = np.array([len(PIECE.findall(w)) for w in words])
+        ids = np.frombuffer(self.encode(" ".join(words)), self.type)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != counts.sum() or (len(ids) and ends[-1] != len(ids)):
+            self.update((w, self.encode(w)) for w in words)
+            return
+        cuts = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
+        data, width, begin = ids.tobytes(), self.type.itemsize, 0
+        for word, end in zip(words, cuts, strict=True):
+            self[word] = data[begin * width : end * width]
+            begin = end
+
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHED_WORDS:
+        return self.encode(word)
+
+    def of(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of texts, as the tokenizer gives for the whole of each."""
+        out = [b""] * len(texts)
+        for begin in range(0, len(texts), TOGETHER):
+            plain, other = {}, []
+            for i, t in enumerate(texts[begin : begin + TOGETHER], begin):
+                if t and PLAIN.fullmatch(t) and "<|" not in t:
+                    plain[i] = t.lower().split()
+                elif t:
+                    other.append(i)
+            if len(self) > CACHED_WORDS:
                 self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        """The ids of a text, as the tokenizer gives for the whole of it."""
-        if not PLAIN.fullmatch(text) or "<|" in text:
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.lower().split()))
+            new = [w for w in set().union(*plain.values()) if w not in self and len(w) <= LONGEST_CACHED]
+            for k in range(0, len(new), 1000):
+                self.learn(new[k : k + 1000])
+            for i, words in plain.items():
+                out[i] = b"".join(map(self.__getitem__, words))
+            for i in other:
+                out[i] = self.encode(texts[i])
+        return out
 
 
 def tokens(path: str) -> Tokens:
@@ -105,7 +136,7 @@ def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
         tail = np.array([end], lookup.type).tobytes()
         width = lookup.type.itemsize
         for batch in batches:
-            ids = [(lookup.of(t) if t else b"") + tail for t in batch.column(2).to_pylist()]
+            ids = [x + tail for x in lookup.of(batch.column(2).to_pylist())]
             local = []
             for source, x in zip(batch.column(1).to_pylist(), ids, strict=True):
                 local.append(places.get(source, 0))
@@ -160,27 +191,38 @@ class Rounds:
         start = before.sum(axis=1)
         return start[at] + earlier[at, queue] + place - before[at, queue]
 
-    def pieces(self, queue: int, begin: int, length: int) -> list[tuple[int, int, int, int]]:
-        """(start, length, window, offset) of the pieces that queue tokens begin .. begin + length are cut into."""
-        first = np.arange(begin // self.grain * self.grain, begin + length, self.grain)
-        first[0] = begin
-        size = np.diff(np.append(first, begin + length))
-        at = self.position(np.full(len(first), queue), first)
-        out: list[tuple[int, int, int, int]] = []
-        for p, n, x in zip(first.tolist(), size.tolist(), at.tolist(), strict=True):
-            while n:
-                k = min(n, self.window - x % self.window)
-                if out and out[-1][2] == x // self.window and out[-1][3] + out[-1][1] == x % self.window:
-                    out[-1] = (out[-1][0], out[-1][1] + k, *out[-1][2:])
-                else:
-                    out.append((p - begin, k, x // self.window, x % self.window))
-                p, n, x = p + k, n - k, x + k
-        return out
+    def pieces(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+        """(row, start, length, window, offset) of the pieces that rows are cut into.
+
+        A row is the tokens begin .. begin + length of its queue.
+        """
+        grains = (begin + length - 1) // self.grain - begin // self.grain + 1
+        row = np.repeat(np.arange(len(begin)), grains)
+        number = np.arange(len(row)) - np.repeat(np.cumsum(grains) - grains, grains)
+        first = np.maximum((np.repeat(begin // self.grain, grains) + number) * self.grain, begin[row])
+        last = np.minimum((first // self.grain + 1) * self.grain, (begin + length)[row])
+        at = self.position(queue[row], first)
+        # Grains that meet in the sequence are one piece; then pieces are cut at the windows.
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + (last - first)[:-1])
+        head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
+        row, first, last, at = row[head], first[head], last[tail], at[head]
+        cuts = (at + last - first - 1) // self.window - at // self.window + 1
+        part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+        row, first, last, at = (np.repeat(x, cuts) for x in (row, first, last, at))
+        window = at // self.window + part
+        start = np.maximum(window * self.window, at)
+        end = np.minimum((window + 1) * self.window, at + last - first)
+        places = (row, start - at + first - begin[row], end - start, window, start - window * self.window)
+        return list(zip(*(p.tolist() for p in places), strict=True))
 
 
 def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window: int = WINDOW, grain: int = GRAIN,
-         path: str | None = None, end: int = END) -> DataFrame:
-    """One row a piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, source.
+         path: str | None = None, end: int = END, with_ids: bool = True) -> DataFrame:
+    """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source and ids.
+
+    ids are little-endian unsigned 32-bit; without with_ids only their CRC-32
+    is returned.
 
     weights: target token shares by source, in proportion; sources that it
     doesn't name keep their share of the tokens. By default all do.
@@ -216,29 +258,33 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for doc, source, ids, n, queue, begin in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")
-                for start, length, seq, offset in rounds.pieces(queue, begin, n):
-                    out.append((doc, start, length, own[start : start + length].tobytes(), n, seq, offset, source))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=NAMES)
-
-    return placed.mapInArrow(
-        each, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, source string"
-    )
-
-
-NAMES = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source"]
-
-
-def with_crc(pieces: DataFrame) -> DataFrame:
-    """Pieces with the CRC-32 of their ids in place of the ids."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+            if not batch.num_rows:
+                continue
+            doc, source, ids, n, queue, begin = (c.to_pylist() for c in batch.columns)
+            found = rounds.pieces(np.array(queue), np.array(begin), np.array(n))
+            at = [f[0] for f in found]
+            width = 2 if len(ids[0]) == 2 * n[0] else 4
+            own = [ids[i][s * width : (s + k) * width] for i, s, k, _, _ in found]
+            if width == 2:
+                own = [np.frombuffer(x, "<u2").astype("<u4").tobytes() for x in own]
+            columns = [
+                pa.array([doc[i] for i in at], pa.int64()), *(pa.array([f[k] for f in found], pa.int64()) for k in (1, 2)),
+                pa.array(list(map(zlib.crc32, own)), pa.int64()), pa.array([n[i] for i in at], pa.int64()),
+                *(pa.array([f[k] for f in found], pa.int64()) for k in (3, 4)), pa.array([source[i] for i in at], pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.array(own, pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
+
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
+    return placed.mapInArrow(each, schema + ", ids binary" * with_ids)
+
+
+NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_crc(pack(table(spark, sf_dir, "documents")))
+    return pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 QUERIES = {"op9_packing": op9_packing}
