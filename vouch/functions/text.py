@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from vouch import constants as K
 
 WORD = r"[\p{L}\p{N}_]+"
+#: White space in all scripts; Java's own class is that of ASCII.
+SPACES = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def literals(values) -> Column:
@@ -183,7 +185,7 @@ def window_around(text: Column, start: Column, length: Column, before: int, afte
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\u0085   -     　]+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
 
 
 def relevant_excerpt(page: Column, name: Column, email: Column) -> Column:

@@ -29,7 +29,7 @@ def check_org_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_org_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects) of a CSV file with a header, all columns text."""
     rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return check_org_rows(rows.withColumnsRenamed({c: c.lstrip("﻿") for c in rows.columns}))
+    return check_org_rows(rows.withColumnsRenamed({c: c.lstrip("\ufeff") for c in rows.columns}))
 
 
 def select_range(rows: DataFrame, start: int | None, end: int | None) -> DataFrame:
