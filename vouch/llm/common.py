@@ -1,14 +1,11 @@
-"""What several operators of this subpackage share: table access and the shared folder."""
+"""What several operators of this subpackage share: table access, written tables, a stable order."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.session import ship
+from vouch.session import shared_folder, ship
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,21 +13,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that is unset, as in local tests, is a temporary folder made and
-    set as the checkpoint folder.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-        if not base:
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="vouch-"))
-            base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder.
 
