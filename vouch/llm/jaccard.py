@@ -11,9 +11,12 @@ be there, in the next; documents meet where such signatures are equal.
 Per band the cheaper of two allocations is taken, by a cost of one for each
 signature and more for those of few shingles, which many documents share:
 
-* every segment of m = d + 1 + slack, by its whole content. Segments of at most
-  THIN shingles are left out by a set that has no more of them than the slack:
-  two similar sets agree in more segments than that, so in a thicker one too;
+* every segment of m = d + 1 + slack, by its whole content. Two similar sets
+  agree in more segments than the slack, so each set leaves out as many, the
+  thinnest, by size and then content. Of the segments that two sets agree in,
+  ordered so, each leaves out a first part no longer than the slack, so both
+  keep the last one. What is indexed are the d + 1 thickest segments, which few
+  other sets share;
 * every segment of m = d / 2 + 1, by its content and by its content less each
   one shingle (the one-deletion neighbourhood), so that one change in a segment
   is forgiven. This serves small sets.
@@ -22,13 +25,18 @@ Candidates are verified exactly on the whole sets. What is asked for are the
 classes of documents connected by links, so a group of documents with an equal
 signature needs no pair for members already known to be connected:
 
-1. each set is verified against the first set of the groups it is in, the most
-   frequent one alone; links join sets to classes;
-2. in groups that still hold several classes, every set is verified against the
-   first of its group;
-3. in groups that even then hold several classes, every pair of sets of
-   different classes is verified. Nothing is left out, so the classes are
-   exact.
+1. each set is verified against the first set (center) of the groups it is in,
+   the most frequent center alone; links join sets to classes;
+2. in groups that still hold several classes, every set is verified against its
+   center, and what it differs in from the center is kept;
+3. two sets x, y of a center differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles, where
+   Dx and Dy are what they differ in from it. So if they are linked, and not
+   both to the center, their differences overlap in a known number at least.
+   That is a set overlap join on differences: by prefix filtering in order of
+   frequency, with the bound by position, pairs of different classes that share
+   one of their rarest differences are found, and verified. Near copies of one text that changed in
+   different places share no rare difference, so a group of any number of them
+   yields hardly a pair. Nothing is left out, so the classes are exact.
 
 Documents with equal sets are one from the start (a set is named by its hash),
 and a set is indexed once a task, however often it occurs there. So copies,
@@ -48,7 +56,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vouch.llm.common import table, written
@@ -56,11 +64,14 @@ from vouch.llm.common import table, written
 #: Similarity as a fraction, and words of a shingle, of the registered query.
 SIMILARITY, WORDS = (85, 100), 4
 BAND = 1.35  # ratio of the largest to the smallest size of a band
-THIN = 2
-SLACK = 0.06
-#: Cost model: what a signature of c shingles costs beyond itself is WEIGHT * SHARED ** c.
-WEIGHT, SHARED = 1000.0, 0.25
+#: Segments beyond d + 1, as a share of d: left out again, so they cost no row and spare the thinnest.
+SLACK = 0.15
+#: Cost model: what a signature of c shingles costs beyond itself is WEIGHT * SHARED ** c, less for sets of over SHORT
+#: shingles: the smaller a set, the larger the part of it that a line or passage of many documents makes up.
+WEIGHT, SHARED, SHORT = 1000.0, 0.25, 10
 CACHED_WORDS = 300_000
+#: Edges that one task joins into classes, at most.
+EDGES = 500_000
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -137,11 +148,11 @@ class Bands:
     def allocation(self, band: int) -> tuple[int, int, int]:
         """(segments, slack, forgiven changes a segment) of the cheaper allocation, by the band's mean size."""
         d, size = self.changes(self.last(band), self.last(band)), (self.first[band] + self.last(band)) / 2
-        cost = lambda c: 1 + WEIGHT * SHARED**c
+        cost = lambda c: 1 + WEIGHT * min(1, SHORT / size) * SHARED**c
         slack = math.ceil(SLACK * d) if d >= 8 else 0
         whole, forgiving = d + 1 + slack, d // 2 + 1
         per = size / forgiving
-        if whole * cost(size / whole) <= forgiving * (cost(per) + per * cost(max(0, per - 1))):
+        if (d + 1) * cost(size / (d + 1)) <= forgiving * (cost(per) + per * cost(max(0, per - 1))):
             return whole, slack, 0
         return forgiving, 0, 1
 
@@ -168,46 +179,43 @@ def signatures(own: np.ndarray, bands: Bands) -> np.ndarray:
             # A segment by its content less one shingle meets the whole content of a set without that shingle.
             out += [whole, mixed(content + mixed(place + np.uint64(1))), less]
             continue
-        thin = size <= THIN
         spare = slack + bands.changes(bands.last(band), bands.last(band)) - bands.changes(n, min(bands.last(band), bands.most(n)))
-        out.append(whole[~thin] if thin.sum() <= spare else whole)
+        out.append(whole[np.lexsort((content, size))[spare:]])
     return np.unique(np.concatenate(out)).astype(np.int64)
 
 
-def sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles and the name (node) of each document's set."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            own = [shingles(t, n, words) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array(list(map(len, own)), pa.int64()), pa.array(list(map(name_of, own)), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "node"])
-
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, node long")
-
-
 def index(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """(sig, node) of the signatures of each set, once a task."""
+    """doc_id, n_shingles, the name (node) of each document's set, and its signatures at its first occurrence in a task."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands, seen = Words(), Bands(similarity), set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for begin in range(0, len(texts), 256):
-                sigs, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for t in texts[begin : begin + 256]:
+            ids, texts = batch.columns[0], batch.column(1).to_pylist()
+            for begin in range(0, len(texts), 512):
+                sizes, nodes, sigs = [], [], []
+                for t in texts[begin : begin + 512]:
                     own = shingles(t, n, words)
                     node = name_of(own)
-                    if node is None or node in seen:
-                        continue
-                    if len(seen) < 500_000:
+                    sizes.append(len(own))
+                    nodes.append(node)
+                    new = node is not None and node not in seen
+                    if new and len(seen) < 500_000:
                         seen.add(node)
-                    sigs.append(signatures(own, bands))
-                    nodes.append(np.full(len(sigs[-1]), node))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
+                    sigs.append(signatures(own, bands) if new else None)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(begin, len(sizes)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "node", "sigs"],
+                )
 
-    return docs.select("text").mapInArrow(each, "sig long, node long")
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, node long, sigs array<long>")
+
+
+def met(pairs: DataFrame, contents: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with their sets x and y."""
+    left = contents.select(F.col("node").alias("na"), F.col("own").alias("x"))
+    right = contents.select(F.col("node").alias("nb"), F.col("own").alias("y"))
+    both = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
+    return both.select("a", "b", "x", "y")
 
 
 def verified(pairs: DataFrame, contents: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -216,18 +224,68 @@ def verified(pairs: DataFrame, contents: DataFrame, similarity: tuple[int, int])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, x, y = (c.to_pylist() for c in batch.columns)
             keep = []
-            for s, t in zip(x, y, strict=True):
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(q * both >= p * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_arrays(list(map(pa.array, (np.array(a, np.int64)[keep], np.array(b, np.int64)[keep]))), names=["a", "b"])
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = contents.select(F.col("node").alias("na"), F.col("own").alias("x"))
-    right = contents.select(F.col("node").alias("nb"), F.col("own").alias("y"))
-    met = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
-    return met.select("a", "b", "x", "y").mapInArrow(each, "a long, b long")
+    return met(pairs, contents).mapInArrow(each, "a long, b long")
+
+
+def differences(pairs: DataFrame, contents: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(a, b, linked, size_a, size_b, differs): every pair, and the shingles that only one of the two has."""
+    p, q = similarity
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked, sizes, differs = [], ([], []), []
+            for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+                differs.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
+                both = (len(s) + len(t) - len(differs[-1])) // 2
+                linked.append(q * both >= p * (len(s) + len(t) - both))
+                sizes[0].append(len(s))
+                sizes[1].append(len(t))
+            columns = [pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in sizes), pa.array(differs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["a", "b", "linked", "size_a", "size_b", "differs"])
+
+    return met(pairs, contents).mapInArrow(each, "a long, b long, linked boolean, size_a long, size_b long, differs array<long>")
+
+
+def overlapping(diffs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes (root) that may be linked, by what they differ in from a center they share.
+
+    With u = q - p and v = q + p, sets are linked if v * difference is at most
+    u * (sum of sizes). For sets x, y of center c that asks for an overlap o of
+    their differences with 2 v o >= (v Dx - u x) + (v Dy - u y). The last term
+    is over u c for a y not linked to c, and never under - u c. Not both are
+    linked to c, else they were of one class.
+    """
+    u, v = similarity[1] - similarity[0], similarity[1] + similarity[0]
+    open_ = diffs.groupBy("a").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select(F.col("a").alias("center"))
+    rows = diffs.join(open_, F.col("a") == F.col("center"), "left_semi")
+    part = F.lit(v) * F.size("differs") - F.lit(u) * F.col("size_b")
+    least_half = F.greatest(F.floor((part + u * F.col("size_a")) / (2 * v)) + 1, F.lit(1))
+    least_long = F.greatest(F.ceil((part - u * F.col("size_a")) / (2 * v)), F.lit(1))
+    kept = ["a", "b", "root", "linked", F.col("size_b").alias("size"), F.size("differs").alias("n"), least_half.alias("half"), least_long.alias("long")]
+    rows = rows.select(*kept, F.explode("differs").alias("e"))
+    often = rows.groupBy("a", "e").agg(F.count("*").alias("often")).where("often > 1").select(F.col("a").alias("oa"), F.col("e").alias("oe"), "often")
+    rows = rows.join(often, (F.col("a") == F.col("oa")) & (F.col("e") == F.col("oe")))
+    own = Window.partitionBy("a", "b")
+    # Differences that no other set has come first in the order, but can meet nothing.
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "e"))
+    rows = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.col("long") + 1)
+    rare = F.col("place") <= F.col("n") - F.col("half") + 1
+    rows = rows.select("a", "e", "b", "root", "linked", "size", "n", (F.col("n") - F.col("place")).alias("rest"), rare.alias("rare"))
+    rows = written(rows.where("rare or not linked"), "prefixes")
+    x, y = rows.where("not linked").alias("x"), rows.where("rare").alias("y")
+    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root"))
+    # Where this is the first difference that two sets share, they share at most the rest of either behind it.
+    enough = 2 * v * (1 + F.least("x.rest", "y.rest")) >= v * (F.col("x.n") + F.col("y.n")) - u * (F.col("x.size") + F.col("y.size"))
+    found = x.join(y, same & enough & (F.col("y.linked") | (F.col("x.rare") & (F.col("x.b") < F.col("y.b")))))
+    return found.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
 def contents_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -246,32 +304,57 @@ def contents_of(docs: DataFrame, named: DataFrame, nodes: DataFrame, n: int) ->
     return texts.mapInArrow(each, "node long, own binary").where("node is not null")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of the edges (a, b): the smallest node that it is connected with.
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over one task's edges (a, b): each node beside the smallest it is connected with here, if another."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while (up := root.get(x, x)) != top:
+            root[x], x = top, up
+        return top
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    own = np.fromiter(root, np.int64, len(root))
+    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.array([find(x) for x in own.tolist()], np.int64))], names=["a", "b"])
 
-    Alternating large-star and small-star steps; each is a minimum by node and
-    a join, and each round is written, so that its lineage is one round.
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
+    """(node, root) of the nodes of edges (a, b) that a smaller node is connected with; root is the smallest.
+
+    Tasks of at most about `most` edges each join what they hold; where that
+    takes several tasks, alternating large-star and small-star steps (each a
+    minimum by node and a join) bring the rest together, until nothing changes.
+    Each round is written, so that its lineage is one round.
     """
-    edges = edges.where("a <> b").select("a", "b").distinct()
     state = None
+    edges = written(edges.select("a", "b").where("a <> b"), "edges")
     while True:
+        tasks = max(1, math.ceil(edges.count() / most))
+        edges = written(edges.coalesce(tasks).mapInArrow(joined, "a long, b long"), "edges")
+        if tasks == 1:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        small = small.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-        edges = written(small, "edges")
+        edges = written(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def rooted(df: DataFrame, column: str, classes: DataFrame | None, out: str) -> DataFrame:
-    """df with the class of a node; a node without links is its own."""
+    """df with the class of a node; a node without a smaller one in its class is its root."""
     if classes is None:
         return df.withColumn(out, F.col(column))
     own = classes.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -280,52 +363,38 @@ def rooted(df: DataFrame, column: str, classes: DataFrame | None, out: str) -> D
 
 def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
     """Classes after more links: only the links between classes are followed."""
-    met = rooted(rooted(links, "a", classes, "ra"), "b", classes, "rb")
-    more = written(components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b"))), "classes")
+    between = rooted(rooted(links, "a", classes, "ra"), "b", classes, "rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    more = components(between)
     if classes is None:
         return more
     again = rooted(classes.withColumnRenamed("root", "old"), "old", more, "root").select("node", "root")
-    new = more.join(classes.select("node"), "node", "left_anti")
-    return written(again.unionByName(new), "classes")
+    return written(again.unionByName(more), "classes")
 
 
 def classes(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
-    named = written(sets(docs, n), "sets")
-    rows = index(docs, n, similarity)
+    indexed = written(index(docs, n, similarity), "sets")
+    named = indexed.select("doc_id", "n_shingles", "node")
+    rows = indexed.select(F.explode("sigs").alias("sig"), "node")
     # Each set beside the first set of its group; groups of one set yield nothing.
-    first = F.first("node").over(window_by("sig", "node"))
-    grouped = rows.withColumn("center", first).where("node <> center")
-    groups = written(grouped.select("sig", "center", "node"), "groups")
+    first = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
+    groups = written(rows.withColumn("center", first).where("node <> center").select("sig", "center", "node"), "groups")
 
-    counted = groups.groupBy("node", "center").agg(F.count("*").alias("n"))
+    counted = written(groups.groupBy("node", "center").agg(F.count("*").alias("n")), "counted")
     nodes = counted.select(F.explode(F.array("node", "center")).alias("node")).distinct()
     contents = written(contents_of(docs, named, nodes, n), "contents")
     frequent = counted.groupBy("node").agg(F.max_by("center", F.struct("n", -F.col("center"))).alias("center"))
     tried = frequent.select(F.col("center").alias("a"), F.col("node").alias("b"))
-    tried = written(tried, "tried")
-    roots = merged(None, written(verified(tried, contents, similarity), "links"))
-
-    apart = rooted(rooted(groups, "center", roots, "rc"), "node", roots, "rn").where("rc <> rn")
-    more = apart.select(F.col("center").alias("a"), F.col("node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(more, "tried")
-    roots = merged(roots, written(verified(more, contents, similarity), "links"))
+    roots = merged(None, verified(tried, contents, similarity))
 
     apart = rooted(rooted(groups, "center", roots, "rc"), "node", roots, "rn").where("rc <> rn").select("sig").distinct()
-    left = groups.join(apart, "sig", "left_semi")
-    members = left.select("sig", "node").unionByName(left.select("sig", F.col("center").alias("node"))).distinct()
-    members = rooted(members, "node", roots, "root").join(named.groupBy("node").agg(F.max("n_shingles").alias("size")), "node")
-    members = written(members.select("sig", "node", "root", "size"), "members")
-    p, q = similarity
-    one, two = members.alias("one"), members.alias("two")
-    fits = (F.col("one.size") * q >= F.col("two.size") * p) & (F.col("two.size") * q >= F.col("one.size") * p)
-    apart = (F.col("one.sig") == F.col("two.sig")) & (F.col("one.node") < F.col("two.node")) & (F.col("one.root") != F.col("two.root"))
-    pairs = one.join(two, apart & fits).select(F.col("one.node").alias("a"), F.col("two.node").alias("b")).distinct()
-    done = tried.unionByName(more)
-    done = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = written(pairs.join(done, ["a", "b"], "left_anti"), "tried")
+    more = groups.join(apart, "sig", "left_semi").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    diffs = written(differences(more, contents, similarity), "differences")
+    roots = merged(roots, diffs.where("linked").select("a", "b"))
+
+    pairs = written(overlapping(rooted(diffs, "b", roots, "root"), similarity), "pairs")
     if not pairs.isEmpty():
-        roots = merged(roots, written(verified(pairs, contents, similarity), "links"))
+        roots = merged(roots, verified(pairs, contents, similarity))
 
     placed = rooted(named, "node", roots, "root")
     least = placed.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -333,12 +402,6 @@ def classes(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMIL
     return placed.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def window_by(key: str, order: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(order)
-
-
 def one_of_each(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """The documents, one of each class: that with the smallest doc_id. Of rows that repeat it one stays."""
     kept = classes(docs, n, similarity).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
