@@ -34,9 +34,10 @@ signature needs no pair for members already known to be connected:
    both to the center, their differences overlap in a known number at least.
    That is a set overlap join on differences: by prefix filtering in order of
    frequency, with the bound by position, pairs of different classes that share
-   one of their rarest differences are found, and verified. Near copies of one text that changed in
-   different places share no rare difference, so a group of any number of them
-   yields hardly a pair. Nothing is left out, so the classes are exact.
+   one of their rarest differences are found, each at the first one they share,
+   and verified. Near copies of one text that changed in
+   different places share no rare difference, so most pairs of a large group are
+   never formed. Nothing is left out, so the classes are exact.
 
 Documents with equal sets are one from the start (a set is named by its hash),
 and a set is indexed once a task, however often it occurs there. So copies,
@@ -184,30 +185,49 @@ def signatures(own: np.ndarray, bands: Bands) -> np.ndarray:
     return np.unique(np.concatenate(out)).astype(np.int64)
 
 
+def sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles and the name (node) of each document's set."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            sizes, nodes = [], []
+            for t in batch.column(1).to_pylist():
+                own = shingles(t, n, words)
+                sizes.append(len(own))
+                nodes.append(name_of(own))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64())], names=["doc_id", "n_shingles", "node"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, node long")
+
+
 def index(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """doc_id, n_shingles, the name (node) of each document's set, and its signatures at its first occurrence in a task."""
+    """(sig, node) of the signatures of each set, once a task.
+
+    Texts are cut into shingles a second time here: that costs less than
+    keeping the signatures on disk beside their shuffle.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bands, seen = Words(), Bands(similarity), set()
         for batch in batches:
-            ids, texts = batch.columns[0], batch.column(1).to_pylist()
-            for begin in range(0, len(texts), 512):
-                sizes, nodes, sigs = [], [], []
-                for t in texts[begin : begin + 512]:
+            texts = batch.column(0).to_pylist()
+            for begin in range(0, len(texts), 256):
+                sigs, nodes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for t in texts[begin : begin + 256]:
                     own = shingles(t, n, words)
                     node = name_of(own)
-                    sizes.append(len(own))
-                    nodes.append(node)
-                    new = node is not None and node not in seen
-                    if new and len(seen) < 500_000:
+                    if node is None or node in seen:
+                        continue
+                    if len(seen) < 500_000:
                         seen.add(node)
-                    sigs.append(signatures(own, bands) if new else None)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, len(sizes)), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "node", "sigs"],
-                )
+                    sigs.append(signatures(own, bands))
+                    nodes.append(np.full(len(sigs[-1]), node))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs)), pa.array(np.concatenate(nodes))], names=["sig", "node"])
 
-    return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, n_shingles long, node long, sigs array<long>")
+    return docs.select("text").mapInArrow(each, "sig long, node long")
 
 
 def met(pairs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -235,23 +255,28 @@ def verified(pairs: DataFrame, contents: DataFrame, similarity: tuple[int, int])
 
 
 def differences(pairs: DataFrame, contents: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """(a, b, linked, size_a, size_b, differs): every pair, and the shingles that only one of the two has."""
+    """(a, b, linked, size_a, size_b, lost, differs): every pair, and the shingles that only one of the two has.
+
+    Those that only a has, `lost` in number, come first in differs.
+    """
     p, q = similarity
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked, sizes, differs = [], ([], []), []
+            linked, sizes, lost, differs = [], ([], []), [], []
             for s, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                differs.append(np.setxor1d(s, t, assume_unique=True).view(np.int64))
+                only = np.setdiff1d(s, t, assume_unique=True)
+                lost.append(len(only))
+                differs.append(np.concatenate([only, np.setdiff1d(t, s, assume_unique=True)]).view(np.int64))
                 both = (len(s) + len(t) - len(differs[-1])) // 2
                 linked.append(q * both >= p * (len(s) + len(t) - both))
                 sizes[0].append(len(s))
                 sizes[1].append(len(t))
-            columns = [pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in sizes), pa.array(differs, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["a", "b", "linked", "size_a", "size_b", "differs"])
+            columns = [pa.array(linked, pa.bool_()), *(pa.array(x, pa.int64()) for x in (*sizes, lost)), pa.array(differs, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *columns], names=["a", "b", "linked", "size_a", "size_b", "lost", "differs"])
 
-    return met(pairs, contents).mapInArrow(each, "a long, b long, linked boolean, size_a long, size_b long, differs array<long>")
+    return met(pairs, contents).mapInArrow(each, "a long, b long, linked boolean, size_a long, size_b long, lost long, differs array<long>")
 
 
 def overlapping(diffs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -270,21 +295,28 @@ def overlapping(diffs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     least_half = F.greatest(F.floor((part + u * F.col("size_a")) / (2 * v)) + 1, F.lit(1))
     least_long = F.greatest(F.ceil((part - u * F.col("size_a")) / (2 * v)), F.lit(1))
     kept = ["a", "b", "root", "linked", F.col("size_b").alias("size"), F.size("differs").alias("n"), least_half.alias("half"), least_long.alias("long")]
-    rows = rows.select(*kept, F.explode("differs").alias("e"))
+    rows = rows.select(*kept, "lost", F.posexplode("differs").alias("pos", "e")).withColumn("gone", F.col("pos") < F.col("lost"))
     often = rows.groupBy("a", "e").agg(F.count("*").alias("often")).where("often > 1").select(F.col("a").alias("oa"), F.col("e").alias("oe"), "often")
     rows = rows.join(often, (F.col("a") == F.col("oa")) & (F.col("e") == F.col("oe")))
     own = Window.partitionBy("a", "b")
     # Differences that no other set has come first in the order, but can meet nothing.
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "e"))
-    rows = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.col("long") + 1)
+    behind = own.orderBy("often", "e").rowsBetween(1, Window.unboundedFollowing)
+    gone = F.coalesce(F.sum(F.col("gone").cast("int")).over(behind), F.lit(0))
+    before = F.collect_list("e").over(own.orderBy("often", "e").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({"place": place, "rest_gone": gone, "before": before}).where(F.col("place") <= F.col("n") - F.col("long") + 1)
     rare = F.col("place") <= F.col("n") - F.col("half") + 1
-    rows = rows.select("a", "e", "b", "root", "linked", "size", "n", (F.col("n") - F.col("place")).alias("rest"), rare.alias("rare"))
+    rest_new = F.col("n") - F.col("place") - F.col("rest_gone")
+    rows = rows.select("a", "e", "b", "root", "linked", "size", "n", "before", "rest_gone", rest_new.alias("rest_new"), rare.alias("rare"))
     rows = written(rows.where("rare or not linked"), "prefixes")
     x, y = rows.where("not linked").alias("x"), rows.where("rare").alias("y")
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root"))
-    # Where this is the first difference that two sets share, they share at most the rest of either behind it.
-    enough = 2 * v * (1 + F.least("x.rest", "y.rest")) >= v * (F.col("x.n") + F.col("y.n")) - u * (F.col("x.size") + F.col("y.size"))
-    found = x.join(y, same & enough & (F.col("y.linked") | (F.col("x.rare") & (F.col("x.b") < F.col("y.b")))))
+    # Two sets meet at the first difference that they share, and share at most the rest of either behind it: of what
+    # both have lost against the center, and of what both have besides.
+    once = ~F.arrays_overlap("x.before", "y.before")
+    most = 1 + F.least("x.rest_gone", "y.rest_gone") + F.least("x.rest_new", "y.rest_new")
+    enough = 2 * v * most >= v * (F.col("x.n") + F.col("y.n")) - u * (F.col("x.size") + F.col("y.size"))
+    found = x.join(y, same & enough & once & (F.col("y.linked") | (F.col("x.rare") & (F.col("x.b") < F.col("y.b")))))
     return found.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
@@ -373,9 +405,8 @@ def merged(classes: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every document (doc_id, text)."""
-    indexed = written(index(docs, n, similarity), "sets")
-    named = indexed.select("doc_id", "n_shingles", "node")
-    rows = indexed.select(F.explode("sigs").alias("sig"), "node")
+    named = written(sets(docs, n), "sets")
+    rows = index(docs, n, similarity)
     # Each set beside the first set of its group; groups of one set yield nothing.
     first = F.first("node").over(Window.partitionBy("sig").orderBy("node"))
     groups = written(rows.withColumn("center", first).where("node <> center").select("sig", "center", "node"), "groups")
