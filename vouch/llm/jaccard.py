@@ -34,8 +34,7 @@ signature needs no pair for members already known to be connected:
    both to the center, their differences overlap in a known number at least.
    That is a set overlap join on differences: by prefix filtering in order of
    frequency, with the bound by position, pairs of different classes that share
-   one of their rarest differences are found, each at the first one they share,
-   and verified. Near copies of one text that changed in
+   one of their rarest differences are found, and verified. Near copies of one text that changed in
    different places share no rare difference, so most pairs of a large group are
    never formed. Nothing is left out, so the classes are exact.
 
@@ -303,20 +302,18 @@ def overlapping(diffs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "e"))
     behind = own.orderBy("often", "e").rowsBetween(1, Window.unboundedFollowing)
     gone = F.coalesce(F.sum(F.col("gone").cast("int")).over(behind), F.lit(0))
-    before = F.collect_list("e").over(own.orderBy("often", "e").rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({"place": place, "rest_gone": gone, "before": before}).where(F.col("place") <= F.col("n") - F.col("long") + 1)
+    rows = rows.withColumns({"place": place, "rest_gone": gone}).where(F.col("place") <= F.col("n") - F.col("long") + 1)
     rare = F.col("place") <= F.col("n") - F.col("half") + 1
     rest_new = F.col("n") - F.col("place") - F.col("rest_gone")
-    rows = rows.select("a", "e", "b", "root", "linked", "size", "n", "before", "rest_gone", rest_new.alias("rest_new"), rare.alias("rare"))
+    rows = rows.select("a", "e", "b", "root", "linked", "size", "n", "rest_gone", rest_new.alias("rest_new"), rare.alias("rare"))
     rows = written(rows.where("rare or not linked"), "prefixes")
     x, y = rows.where("not linked").alias("x"), rows.where("rare").alias("y")
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.e") == F.col("y.e")) & (F.col("x.root") != F.col("y.root"))
-    # Two sets meet at the first difference that they share, and share at most the rest of either behind it: of what
+    # Where this is the first difference that two sets share, they share at most the rest of either behind it: of what
     # both have lost against the center, and of what both have besides.
-    once = ~F.arrays_overlap("x.before", "y.before")
     most = 1 + F.least("x.rest_gone", "y.rest_gone") + F.least("x.rest_new", "y.rest_new")
     enough = 2 * v * most >= v * (F.col("x.n") + F.col("y.n")) - u * (F.col("x.size") + F.col("y.size"))
-    found = x.join(y, same & enough & once & (F.col("y.linked") | (F.col("x.rare") & (F.col("x.b") < F.col("y.b")))))
+    found = x.join(y, same & enough & (F.col("y.linked") | (F.col("x.rare") & (F.col("x.b") < F.col("y.b")))))
     return found.select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
 
