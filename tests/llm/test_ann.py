@@ -35,3 +35,32 @@ def test_odd_vectors_and_few_candidates(spark):
     assert [(r.rank, r.vec_id, r.score) for r in found] == [(1, 1, 2.0), (2, 2, 2.0)]
     none = rows.limit(0)
     assert ann.search(none, none, ann.build(none), k=5).count() == 0
+
+
+def test_recall_in_a_tight_group(spark):
+    """A third of the vectors lie closer together than the codes can tell; some of them are copies."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 32))
+    middle = rng.normal(size=32)
+    x[::3] = middle / np.linalg.norm(middle) + rng.normal(size=(2000, 32)) * 0.02 / np.sqrt(32)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[300:1200:3] = x[300]
+    rows = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    found = {}
+    for r in ann.search(rows.where("vec_id % 20 = 0"), rows, ann.build(rows, lists=20), k=20).collect():
+        found.setdefault(r.query_id, {})[r.vec_id] = r.score
+    for hot in (True, False):
+        asked = [i for i in range(0, 6000, 20) if (i % 3 == 0) == hot]
+        hits = 0
+        for q in asked:
+            exact = np.delete(x @ x[q], q)
+            assert len(found[q]) == 20
+            hits += sum(s >= np.sort(exact)[-20] - 1e-12 for s in found[q].values())
+        assert hits / (20 * len(asked)) >= 0.9, hot
+    copies = list(range(300, 1200, 3))
+    assert sorted(found[300]) == copies[1:21] and sorted(found[1140]) == copies[:20]
+
+
+def test_copies_of_an_id_do_not_hide_others():
+    rows = [(0, i, v) for i, v in [(1, b"a"), (2, b"a"), (2, b"a"), (2, b"a"), (2, b"b"), (3, b"a"), (4, b"a")]]
+    assert ann.copies(rows) == [0, 0, 1, 1, 0, 1, 2]

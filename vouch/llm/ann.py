@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by largest inner product.
 
 An inverted file: k-means centroids, trained on a bounded sample, cut the space
-into lists; each vector is stored in its list as a product-quantised residual.
-A query probes the lists whose centroids have the largest inner products with
-it, scores their codes from tables of partial products (asymmetric distance),
-and the best `rerank` of all lists are scored again exactly, in double
-precision, on the original vectors.
+into lists; each vector is stored in its list with its product-quantised residual
+and the norm of what the codes miss. A query probes the lists whose centroids
+have the largest inner products with it and scores their codes from tables of
+partial products (asymmetric distance). No approximate score is more wrong than
+the norms of query and miss allow, so every vector that by this bound can still
+be among the k best is scored again exactly, in double precision; no count cuts
+candidates off. Of the vectors in probed lists the k best are always found.
 
 How many lists to probe is measured when the index is trained: the fewest that
 hold the share COVER of the exact neighbours among the sample. Vectors in
@@ -15,8 +17,9 @@ and a search then costs in proportion to the vectors, whatever the index.
 Neighbouring lists form GROUPS groups, stored in blocks of at most about BLOCK
 vectors, so a list that holds a third of all vectors is many blocks on many
 tasks; queries meet blocks by an equi-join on the group. Each block yields a
-query's best few, and the last step keeps `rerank` rows a query. Only the
-centroids and codebooks reach the driver.
+query's k best of its own, and the last step keeps the k best of all. Of equal
+vectors in a block only those are scored whose ids can be among the k smallest.
+Only the centroids and codebooks reach the driver.
 
 Vectors that are null, empty, zero or hold null or non-finite components, or
 have a null id, take no part, and neither do those of another dimension than
@@ -44,7 +47,6 @@ GROUPS = 16
 BLOCK = 8192
 QUERY_BLOCK = 256
 SUB = 2  # dimensions of a sub-vector
-KEEP, RERANK = 48, 96
 COVER, NEIGHBOURS = 0.97, 20
 
 
@@ -92,13 +94,15 @@ class Index:
     def pad(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x.astype(np.float32), ((0, 0), (0, self.width - self.d)))
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of vectors."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List and codes of vectors, and the norms of what these miss of them."""
         x = self.pad(x)
         own = nearest(x, self.centroids)
         rest = x - self.centroids[own]
         codes = [nearest(rest[:, j * SUB : (j + 1) * SUB], b).astype(np.uint8) for j, b in enumerate(self.books)]
-        return own, np.stack(codes, axis=1)
+        for j, (b, code) in enumerate(zip(self.books, codes, strict=True)):
+            rest[:, j * SUB : (j + 1) * SUB] -= b[code]
+        return own, np.stack(codes, axis=1), np.sqrt((rest * rest).sum(axis=1))
 
     def calibrate(self, sample: np.ndarray, most: int = 256) -> int:
         """Lists to probe for the share COVER of the exact neighbours among the sample."""
@@ -140,8 +144,55 @@ def matrix(column: pa.Array, d: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, d)
 
 
+def copies(rows: list[tuple]) -> list[int]:
+    """For rows (list, id, vector, ...) in order: so many rows of the same vector and a smaller id stand before one for any query.
+
+    The rows of one id don't count, as a query of that id doesn't see them.
+    """
+    seen: dict[bytes, tuple[int, int, int, int]] = {}  # vector: rows, longest run of an id, the last id and its run
+    out = []
+    for _, i, v, *_ in rows:
+        n, longest, last, run = seen.get(v, (0, 0, i, 0))
+        out.append(n - longest)
+        run = run + 1 if i == last else 1
+        seen[v] = (n + 1, max(longest, run), i, run)
+    return out
+
+
+def kth(x: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest value of each row; -inf in rows of fewer."""
+    return -np.partition(-x, k - 1, axis=1)[:, k - 1] if x.shape[1] >= k else np.full(len(x), -np.inf)
+
+
+def best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, vecs: np.ndarray, near: np.ndarray, miss: np.ndarray, k: int) -> tuple:
+    """(query ids, ids, scores) of the k largest products of each query (rows of near) with the vectors (its columns).
+
+    near are approximate products, -inf where a vector is no candidate, wrong
+    by the norm of the query times `miss` at most, and by rounding.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    if not len(ids) or not len(q):
+        return none
+    norm = np.sqrt((q * q).sum(axis=1))
+    size = np.sqrt((vecs * vecs).sum(axis=1)) + miss
+    likely = np.argpartition(-near, min(k, len(ids)) - 1, axis=1)[:, :k]
+    seed = np.where(np.isfinite(np.take_along_axis(near, likely, axis=1)), np.einsum("qkd,qd->qk", vecs[likely], q), -np.inf)
+    reach = near + norm[:, None] * (miss + 1e-5 * size)
+    may = np.isfinite(near) & (reach >= kth(seed, k)[:, None])
+    some = np.flatnonzero(may.any(axis=0))
+    product = np.where(may[:, some], q @ vecs[some].T, -np.inf)
+    # Rounding of a matrix product depends on the place: what it can't tell apart is summed alike for all.
+    at, column = np.nonzero(np.isfinite(product) & (product >= (kth(product, k) - 1e-12 * norm * size.max())[:, None]))
+    column = some[column]
+    score = np.concatenate([np.zeros(0), *((q[at[i : i + 65536]] * vecs[column[i : i + 65536]]).sum(axis=1) for i in range(0, len(at), 65536))])
+    order = np.lexsort((ids[column], -score, at))
+    at, column, score = at[order], column[order], score[order]
+    own = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return q_ids[at[own]], ids[column[own]], score[own]
+
+
 def build(rows: DataFrame, lists: int | None = None, train: int = TRAIN) -> tuple[Index, DataFrame] | None:
-    """The index and its blocks (list, ids, codes) of usable rows; none without rows.
+    """The index and its blocks (lists, ids, codes, misses, copies, vectors) of usable rows; none without rows.
 
     Every row is indexed; the sample is drawn by a hash of the id.
     """
@@ -162,13 +213,12 @@ def build(rows: DataFrame, lists: int | None = None, train: int = TRAIN) -> tupl
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                own, codes = shared.value.encode(matrix(batch.column(1), d))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary())],
-                    names=["list", "vec_id", "code"],
-                )
+                x = matrix(batch.column(1), d)
+                own, codes, miss = shared.value.encode(x)
+                arrays = [pa.array(own, pa.int32()), batch.column(0), *(pa.array([c.tobytes() for c in y], pa.binary()) for y in (x, codes)), pa.array(miss, pa.float32())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["list", "vec_id", "vec", "code", "miss"])
 
-    coded = written(rows.mapInArrow(encode, "list int, vec_id long, code binary"), "ann-codes")
+    coded = written(rows.mapInArrow(encode, "list int, vec_id long, vec binary, code binary, miss float"), "ann-codes")
     coded = coded.withColumn("group", F.floor(F.col("list") / per).cast("int"))
     counts = {r.group: r.n for r in coded.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group
     salts = F.array(*[F.lit(-(-counts.get(i, 1) // BLOCK)) for i in range(GROUPS)])
@@ -181,25 +231,26 @@ def build(rows: DataFrame, lists: int | None = None, train: int = TRAIN) -> tupl
             got = []
             for key in list(keys):
                 part = sorted(held.pop(key))  # by list, then id
-                lists, ids, codes = zip(*part, strict=True)
-                got.append((key[0], np.array(lists, np.int32).tobytes(), np.array(ids, np.int64).tobytes(), b"".join(codes)))
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            names = ["group", "lists", "ids", "codes"]
+                lists, ids, vecs, codes, miss = zip(*part, strict=True)
+                numbers = [np.array(x, t).tobytes() for x, t in ((lists, np.int32), (ids, np.int64), (miss, np.float32), (copies(part), np.int32))]
+                got.append((key[0], *numbers, b"".join(codes), b"".join(vecs)))
+            kinds = (pa.int32(), *[pa.binary()] * 6)
+            names = ["group", "lists", "ids", "miss", "copies", "codes", "vecs"]
             return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], names=names)
 
         for batch in batches:
-            for g, salt, k, i, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                held.setdefault((g, salt), []).append((k, i, c))
+            for g, salt, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                held.setdefault((g, salt), []).append(tuple(row))
                 if len(held[g, salt]) >= 2 * BLOCK:
                     yield out([(g, salt)])
         yield out(held)
 
-    blocks = dealt.repartition("group", "salt").select("group", "salt", "list", "vec_id", "code")
-    return index, written(blocks.mapInArrow(block, "group int, lists binary, ids binary, codes binary"), "ann-blocks")
+    blocks = dealt.repartition("group", "salt").select("group", "salt", "list", "vec_id", "vec", "code", "miss")
+    schema = "group int, lists binary, ids binary, miss binary, copies binary, codes binary, vecs binary"
+    return index, written(blocks.mapInArrow(block, schema), "ann-blocks")
 
 
-def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] | None, k: int, probes: int | None = None,
-           keep: int = KEEP, rerank: int = RERANK) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] | None, k: int, probes: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each query of (vec_id, vec)."""
     spark = rows.sparkSession
     if built is None:
@@ -212,7 +263,7 @@ def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] |
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, out = np.asarray(batch.column(0)), []
-            x = matrix(batch.column(1), d).astype(np.float32) if batch.num_rows else np.zeros((0, d), np.float32)
+            x = matrix(batch.column(1), d) if batch.num_rows else np.zeros((0, d))
             probed = shared.value.probed(x, probes)
             for group in range(-(-probed.shape[1] // per)):
                 asking = np.flatnonzero(probed[:, group * per : (group + 1) * per].any(axis=1))
@@ -224,37 +275,23 @@ def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] |
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int32, np.int64, np.float32, np.int32, np.uint8, np.float64, np.int64, np.float64)
         for batch in batches:
-            for lists, ids, codes, q_ids, q_vecs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, q_ids, lists = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64), np.frombuffer(lists, np.int32)
-                codes = np.frombuffer(codes, np.uint8).reshape(len(ids), -1)
-                q = np.frombuffer(q_vecs, np.float32).reshape(len(q_ids), d)
-                got = shared.value.scores(q, shared.value.probed(q, probes), lists, codes)
-                by_id = np.argsort(ids, kind="stable")  # so that of equal scores the smaller ids are kept
-                ids, got = ids[by_id], got[:, by_id]
-                got[q_ids[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-got, axis=1, kind="stable")[:, :keep]
-                value = np.take_along_axis(got, best, axis=1)
-                some = np.isfinite(value)
-                arrays = [np.repeat(q_ids, best.shape[1]).reshape(best.shape)[some], ids[best][some], value[some]]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["query_id", "vec_id", "near"])
+            for i in range(batch.num_rows):  # a block and a few queries
+                lists, ids, miss, before, codes, vecs, q_ids, q = (
+                    np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns, kinds, strict=True)
+                )
+                few = np.flatnonzero(before < k)
+                lists, ids, miss = lists[few], ids[few], miss[few]
+                codes, vecs, q = codes.reshape(len(before), -1)[few], vecs.reshape(-1, d)[few], q.reshape(-1, d)
+                near = shared.value.scores(q, shared.value.probed(q, probes), lists, codes)
+                near[q_ids[:, None] == ids[None, :]] = -np.inf
+                arrays = best(q_ids, q, ids, vecs, near, miss, k)
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["query_id", "vec_id", "score"])
 
     dealt = queries.select("vec_id", "vec").mapInArrow(deal, "q_group int, q_ids binary, q_vecs binary")
-    met = blocks.join(dealt, F.col("group") == F.col("q_group")).select("lists", "ids", "codes", "q_ids", "q_vecs")
-    near = met.mapInArrow(score, "query_id long, vec_id long, near float")
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    some = near.withColumn("n", F.row_number().over(best)).where(F.col("n") <= rerank).select("query_id", "vec_id")
-
-    original = rows.select(F.col("vec_id").alias("v"), F.col("vec").alias("v_vec"))
-    asked = queries.select(F.col("vec_id").alias("q"), F.col("vec").alias("q_vec"))
-    pairs = some.join(original, F.col("vec_id") == F.col("v")).join(asked, F.col("query_id") == F.col("q"))
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            product = (matrix(batch.column(2), d) * matrix(batch.column(3), d)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(product, pa.float64())], names=["query_id", "vec_id", "score"])
-
-    scored = pairs.select("query_id", "vec_id", "v_vec", "q_vec").mapInArrow(exact, "query_id long, vec_id long, score double")
+    met = blocks.join(dealt, F.col("group") == F.col("q_group")).select("lists", "ids", "miss", "copies", "codes", "vecs", "q_ids", "q_vecs")
+    scored = met.mapInArrow(score, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
