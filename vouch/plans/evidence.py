@@ -204,7 +204,7 @@ def leader_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The leaders that each domain's pages name."""
     p = V.pages(spark, sf_dir)
     role = F.element_at(T.literals(["General Manager", "Billing Manager", "Manager", "CEO"]), (F.length("title") % 4 + 1).cast("int"))
-    text = F.concat(lit("Leadership\n"), F.initcap("name"), lit(", "), role, lit("\n"), F.substring("text", 1, 300))
+    text = F.concat(lit("Leadership\n"), F.initcap("name"), lit(", "), role, lit("\n"), F.col("text"))
     rows = p.select(F.col("domain").alias("record_id"), F.col("page_id").alias("pos"), "url", text.alias("text"))
     return O.leaders(rows).select("record_id", "rank", "name", "title", "score")
 

@@ -370,8 +370,10 @@ select record_id, email, name, case when ends_with(email, '@mail1.example.com')
   case when ends_with(email, '@mail1.example.com') or ends_with(email, '.mail1.example.com') then 'supported' else 'review' end as identity_status from f"""
 
 
-def fact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact_pages(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """Pages with a statement behind their text, or, for the SQL twins, behind its first 200 characters alone."""
     p = V.pages(spark, sf_dir)
+    text = F.col("text") if whole else F.substring("text", 1, 200)
     k = F.length("title") % 6
     said = (
         F.when(k == 0, F.concat(lit(" An electric cooperative with "), F.format_number(F.col("page_id") * 37 + 100, 0), lit(" customers. ")))
@@ -379,7 +381,7 @@ def fact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k == 3, lit(" Our billing system is Cogs Blue. Water. ")).otherwise(lit(" "))
     )
     kind = F.when(F.length("domain") % 2 == 0, "Association").otherwise("ICP")
-    return p.select(F.col("domain").alias("record_id"), kind.alias("record_type"), F.col("page_id").alias("pos"), "url", F.concat(F.substring("text", 1, 200), said).alias("text"))
+    return p.select(F.col("domain").alias("record_id"), kind.alias("record_type"), F.col("page_id").alias("pos"), "url", F.concat(text, said).alias("text"))
 
 
 FACT_PAGES_SQL = f"""{V.PAGES_SQL},
@@ -390,7 +392,12 @@ v_fact_pages as (select domain as record_id, case when length(domain) % 2 = 0 th
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first statement of each fact on each domain's pages."""
+    """X6 on the beginnings of pages, as its SQL twin has it; `page_facts` reads whole pages."""
+    return O.classify_facts(fact_pages(spark, sf_dir, whole=False))
+
+
+def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first statement of each fact on each domain's whole pages."""
     return O.classify_facts(fact_pages(spark, sf_dir))
 
 
@@ -408,7 +415,13 @@ select record_id, field, value, source_url, quote from every qualify row_number(
 
 
 def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each domain is in scope."""
+    """X7 on the beginnings of pages, as its SQL twin has it; `page_fit` reads whole pages."""
+    rows = fact_pages(spark, sf_dir, whole=False)
+    return O.fit_decision(rows, O.classify_facts(rows)).select("record_id", "value")
+
+
+def page_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each domain is in scope, by its whole pages."""
     rows = fact_pages(spark, sf_dir)
     return O.fit_decision(rows, O.classify_facts(rows)).select("record_id", "value")
 
@@ -443,4 +456,7 @@ QUERIES = {
     "merged_contacts": (merged_contacts, MERGED_SQL),
     "facts": (facts, FACTS_SQL),
     "fit_decision": (fits, FITS_SQL),
+    # Whole pages; a test holds these against literal pages.
+    "page_facts": (page_facts, None),
+    "page_fit": (page_fit, None),
 }
