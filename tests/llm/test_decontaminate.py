@@ -69,3 +69,31 @@ def test_shards(spark, monkeypatch):
     docs = items.selectExpr("item_id as doc_id", "text")
     monkeypatch.setattr(dc, "MAX_WORDS", 30)
     assert len(list(dc.shards(items))) == 4 and dc.contaminated(docs, items).count() == 20 and dc.clean(docs, items).count() == 0
+
+
+def test_edited_and_truncated_items_are_found(duck):
+    """Each item of two sentences with one word changed, wherever it is, and without an answer of a fifth of its words."""
+    items = [(i, t) for i, t in duck.execute("select item_id, text from benchmark where text is not null").fetchall() if dc.question_and_answer(t)[1]]
+    index = dc.Index(items)
+    chunks = dc.Chunks(index)
+    texts, want = [], []
+    for at, (_, t) in enumerate(items[:40]):
+        q, a = dc.question_and_answer(t)
+        for k in range(len(q + a)):
+            texts.append("zz yy " + " ".join([*(q + a)[:k], "changed", *(q + a)[k + 1 :]]) + " xx")
+            want.append(at)
+        if len(a) <= 0.2 * len(q + a):
+            texts.append("zz yy " + " ".join(q) + " xx")
+            want.append(at)
+    found = dc.matches(texts, index, chunks)
+    assert texts and all(at in {i for i, *_ in f} for at, f in zip(want, found, strict=True))
+
+
+def test_shards_do_not_change_scores(spark, monkeypatch):
+    rows = [(i, f"common words that all have and then alpha{i} beta{i % 3} gamma{i % 5}. Answer {i % 4}.") for i in range(20)]
+    items = spark.createDataFrame([*rows, (20, None), (21, "!!")], "item_id long, text string")
+    docs = items.selectExpr("item_id as doc_id", "text")
+    found = lambda: sorted((r.doc_id, r.item_id, round(r.score, 9)) for r in dc.contaminated(docs, items, 0.3).collect())
+    want = found()
+    monkeypatch.setattr(dc, "MAX_WORDS", 100)
+    assert len(list(dc.shards(items))) > 1 and found() == want and len(want) > 20

@@ -11,14 +11,18 @@ item's score in every passage; where that bound falls short nothing can be
 retrieved. In the passages that are left, block-max WAND skips the blocks that
 can't lift an item to the threshold, and every item at or above it is retrieved.
 
-A retrieved item is confirmed by word overlap with the document around the
-passage: the first part of the item (question) and its last sentence (answer)
-must each have at least OVERLAP of their shingles of five words there. An item
-of one sentence is all question.
+A retrieved item is confirmed by the words that the document around the passage
+holds in its order: wherever item and document share five words in a row, all
+words of the item are compared at that offset. Question (what stands before the
+last sentence) and answer (the last sentence) count together, by their lengths:
+at least OVERLAP of all words must be held, so one changed word or a short
+answer cut off doesn't hide an item. A part of fewer than five words is looked
+for as a whole. An item of one sentence is all question.
 
 The index is bounded by the benchmark, not by the corpus. Up to MAX_WORDS words
 it is broadcast; larger benchmarks are cut into shards by item id, a pass over
-the documents each, so no index of unbounded size is sent.
+the documents each, so no index of unbounded size is sent. Scores don't depend
+on the shards: the counts behind them are taken over all items.
 
 Null or empty texts hold no item, and null or empty items are in no document.
 Items that repeat are each reported. Case and punctuation don't count.
@@ -37,10 +41,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import table
+from vouch.llm.common import table, written
 
 K1, B = 1.2, 0.75
-#: Share of an item's own BM25 score from which it is retrieved, and of its shingles from which it is confirmed.
+#: Share of an item's own BM25 score from which it is retrieved, and of its words from which it is confirmed; words in a row that tie it to a place.
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 BLOCK = 64
 #: Words of one broadcast index.
@@ -64,14 +68,16 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 class Index:
     """Postings of items by word, with block-max impacts; one copy a Python worker."""
 
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, counted: tuple[int, float, dict[str, int]] | None = None):
+        """counted: items, mean length and items by word where `items` are a shard of more."""
         self.threshold = threshold
         kept = [(i, q, a) for i, t in items if t for q, a in [question_and_answer(t)] if q]
         self.items = kept
         counts = [Counter(q + a) for _, q, a in kept]
-        df = Counter(w for c in counts for w in c)
-        n = len(kept)
-        mean = sum(c.total() for c in counts) / max(1, n)
+        if counted:
+            n, mean, df = counted
+        else:
+            n, mean, df = len(kept), sum(c.total() for c in counts) / max(1, len(kept)), Counter(w for c in counts for w in c)
         idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in df.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
         for at, c in enumerate(counts):
@@ -87,7 +93,8 @@ class Index:
         self.most = [max(x) for x in self.impacts]
         longest = max((len(q) + len(a) for _, q, a in kept), default=0)
         self.stride = max(LEAST_PASSAGE, longest)
-        self.essential(n)
+        self.words = [np.array([self.at[w] + 1 for w in q + a], np.int32) for _, q, a in kept]
+        self.essential(len(kept))
 
     def essential(self, n: int) -> None:
         """Postings of all but the commonest words, as arrays by word number + 1; 0 is for words that no item has."""
@@ -197,13 +204,32 @@ class Chunks(dict):
         return out
 
 
-def overlap(part: list[str], near: set[tuple[str, ...]]) -> float:
-    """Share of a part's shingles that stand in a text's; 1 for an empty part."""
-    size = min(SHINGLE, len(part))
-    if not size:
-        return 1.0
-    grams = {tuple(part[i : i + size]) for i in range(len(part) - size + 1)}
-    return len(grams & near) / len(grams)
+def places(near: np.ndarray, size: int) -> dict[bytes, list[int]]:
+    """Where each run of so many words begins."""
+    raw, out = near.tobytes(), {}
+    for i in range(len(near) - size + 1):
+        out.setdefault(raw[4 * i : 4 * (i + size)], []).append(i)
+    return out
+
+
+def held(item: np.ndarray, cut: int, near: np.ndarray, runs: dict[int, dict[bytes, list[int]]]) -> np.ndarray:
+    """Whether each word of an item (question up to `cut`) stands in a text at an offset that a shared run gives.
+
+    runs: `places` in the text by size, filled as needed.
+    """
+    raw, offsets = item.tobytes(), set()
+    parts = [(0, len(item)), *((a, b) for a, b in ((0, cut), (cut, len(item))) if 0 < b - a < SHINGLE)]
+    for a, b in parts:
+        size = min(SHINGLE, b - a)
+        if size not in runs:
+            runs[size] = places(near, size)
+        for i in range(a, b - size + 1):
+            offsets.update(p - i for p in runs[size].get(raw[4 * i : 4 * (i + size)], ()))
+    out = np.zeros(len(item), bool)
+    for d in offsets:
+        a, b = max(0, -d), min(len(item), len(near) - d)
+        out[a:b] |= item[a:b] == near[a + d : b + d]
+    return out
 
 
 def matches(texts: list[str | None], index: Index, chunks: Chunks) -> list[list[tuple[int, float, float, float]]]:
@@ -216,35 +242,51 @@ def matches(texts: list[str | None], index: Index, chunks: Chunks) -> list[list[
                 for t in texts[begin : begin + 256]
             ]
             for at, a, b in index.passages(ids):
-                confirm(texts[begin + at], ids[at], a, b, index, found[begin + at])
+                confirm(ids[at], a, b, index, found[begin + at])
     return [[(item, *x) for item, x in sorted(f.items())] for f in found]
 
 
-def confirm(text: str, ids: np.ndarray, a: int, b: int, index: Index, found: dict[int, tuple[float, float, float]]) -> None:
+def confirm(ids: np.ndarray, a: int, b: int, index: Index, found: dict[int, tuple[float, float, float]]) -> None:
     """Retrieve items by one passage and keep those that the words around it hold."""
     retrieved = index.retrieve([w - 1 for w in np.unique(ids[a:b]).tolist() if w])
     if not retrieved:
         return
-    near = WORD.findall(text.lower())[max(0, a - index.stride) : b + index.stride]
-    shingles: dict[int, set] = {}
+    near = ids[max(0, a - index.stride) : b + index.stride]
+    runs: dict[int, dict[bytes, list[int]]] = {}
     for item, score in retrieved:
-        _, q, w = index.items[item]
-        sizes = [min(SHINGLE, len(x)) for x in (q, w)]
-        for s in sizes:
-            if s and s not in shingles:
-                shingles[s] = {tuple(near[i : i + s]) for i in range(len(near) - s + 1)}
-        got = [overlap(x, shingles[s]) if s else 1.0 for x, s in zip((q, w), sizes, strict=True)]
-        if min(got) >= OVERLAP and score > found.get(item, (0.0,))[0]:
-            found[item] = (score, *got)
-
-
-def shards(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, at most about MAX_WORDS words at a time."""
+        cut = len(index.items[item][1])
+        has = held(index.words[item], cut, near, runs)
+        if has.sum() >= OVERLAP * len(has) - 1e-9 and score > found.get(item, (0.0,))[0]:
+            found[item] = (score, *(float(x.mean()) if len(x) else 1.0 for x in (has[:cut], has[cut:])))
+
+
+def shards(items: DataFrame) -> Iterator[tuple[list[tuple[int, str]], tuple[int, float, dict[str, int]] | None]]:
+    """The items, at most about MAX_WORDS words at a time, and what is counted over all where they are several times."""
     size = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first().n
     n = max(1, math.ceil(size / MAX_WORDS))
+    items = items.select("item_id", "text", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).alias("shard"))
+    if n > 1:
+        words = written(items.select("shard", "text").mapInArrow(item_words, "shard long, length long, word string"), "item-words")
+        number, length = words.where("length > 0").agg(F.count("*"), F.avg("length")).first()  # a row an item holds its length
+        df = words.groupBy("word").agg(F.count("*").alias("n"))
     for shard in range(n):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == shard).select("item_id", "text")
-        yield [(r.item_id, r.text) for r in own.collect()]
+        own = items.where(F.col("shard") == shard)
+        counted = None
+        if n > 1:
+            mine = words.where(F.col("shard") == shard).select("word").distinct()
+            counted = (number, length or 0.0, {r.word: r.n for r in mine.join(df, "word").collect()})
+        yield [(r.item_id, r.text) for r in own.collect()], counted
+
+
+def item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shard, length, word) of the different words of each text; the length in words on the first of them alone."""
+    for batch in batches:
+        rows = []
+        for shard, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = WORD.findall((text or "").lower())
+            rows += [(shard, 0 if k else len(words), w) for k, w in enumerate(dict.fromkeys(words))]
+        kinds = (pa.int64(), pa.int64(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["shard", "length", "word"])
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -253,17 +295,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     Returns doc_id, item_id, score, question_overlap, answer_overlap.
     """
     out = None
-    for own in shards(items):
-        one = against(docs, own, threshold)
+    for own, counted in shards(items):
+        one = against(docs, own, threshold, counted)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def against(docs: DataFrame, items: list[tuple[int, str]], threshold: float) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def against(docs: DataFrame, items: list[tuple[int, str]], threshold: float, counted: tuple | None = None) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast((items, threshold, counted))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(shared.value, threshold)
+        index = Index(*shared.value)
         chunks = Chunks(index)
         for batch in batches:
             ids, texts = (c.to_pylist() for c in batch.columns)
@@ -285,11 +327,11 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     """The documents that hold no item, with all their columns."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     where = docs.columns.index("text")
-    for own in shards(items):
-        shared = docs.sparkSession.sparkContext.broadcast(own)
+    for own, counted in shards(items):
+        shared = docs.sparkSession.sparkContext.broadcast((own, threshold, counted))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value, threshold)
+            index = Index(*shared.value)
             chunks = Chunks(index)
             for batch in batches:
                 found = matches(batch.column(where).to_pylist(), index, chunks)
