@@ -64,6 +64,11 @@ def chosen_pages(hits: DataFrame, most: int = 4) -> DataFrame:
     return top(own, ["request_id"], [rank.desc(), F.col("source_order"), F.col("query_pos"), F.col("rank"), F.col("url")], most)
 
 
+def first_listing_hits(hits: DataFrame, most: int = 6) -> DataFrame:
+    """The listing hits of each organization (record_id, hit, ...) that are read, in the order of `hit`."""
+    return top(hits, ["record_id"], [F.col("hit"), F.col("source_url")], most)
+
+
 def chosen_profiles(hits: DataFrame, most: int = 2) -> DataFrame:
     own = hits.where(U.github_username(F.col("url")).isNotNull())
     return top(own, ["request_id"], [F.col("source_order"), F.col("query_pos"), F.col("rank"), F.col("url")], most)

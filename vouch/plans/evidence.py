@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vouch import constants as K
 from vouch.functions import text as T
+from vouch.functions import urls as U
 from vouch.operators import contacts as C
 from vouch.operators import hits as H
 from vouch.operators import identity as I
@@ -14,6 +15,7 @@ from vouch.operators import orgs as O
 from vouch.operators import parse as P
 from vouch.operators import sites as S
 from vouch.plans import views as V
+from vouch.session import shared_folder
 from vouch.sources import tables as IO
 from vouch.streaming import incremental as R
 
@@ -166,7 +168,7 @@ def website_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contacts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contacts of documents, bound to people, of the site and company-wide."""
+    """Contacts of documents, bound to people."""
     docs = V.table(spark, sf_dir, "documents")
     url = F.concat(lit("https://mail1.example.com/"), F.col("doc_id").cast("string"))
     rows = docs.select(F.col("source").alias("record_id"), url.alias("url"), lit("").alias("html"), F.col("text"), lit("").alias("contact_name"))
@@ -174,8 +176,8 @@ def contacts_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "source_url", "name", "email", "kind", "relevance_score", "identity_status")
 
 
-def staff_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A card, a directory row and linked data for each page's person; the best contact of each domain."""
+def card_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A card, a directory row and linked data for each page's person, read again."""
     p = V.pages(spark, sf_dir).where(F.col("name").rlike("^[A-Za-z]{3,} [A-Za-z]{3,}$") & ~F.arrays_overlap(F.split(F.lower("name"), " "), T.literals([*K.NON_PERSON_WORDS, *K.ROLE_WORDS, *K.TITLE_WORDS])))
     who, user = F.initcap("name"), F.lower(F.substring_index("name", " ", 1))
     email = F.concat(user, lit("."), F.col("page_id").cast("string"), lit("@"), "domain")
@@ -183,9 +185,17 @@ def staff_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = F.concat(lit('<script type="application/ld+json">{"@type":"Person","name":"'), who, lit('","jobTitle":"General Manager","email":"'), email, lit('"}</script>'))
     html = F.when(F.length("title") % 2 == 0, card).otherwise(data)
     rows = p.select(F.col("domain").alias("record_id"), "url", F.concat(html, F.concat(lit("<p>support@"), "domain", lit("</p>"))).alias("html"), F.concat(lit("support@"), "domain").alias("text"), lit("").alias("contact_name"))
-    found = C.extract_contacts(rows)
-    domains = p.select(F.col("domain").alias("record_id"), F.col("domain").alias("company_domain")).distinct()
-    return C.merge_contacts(found, domains).select("record_id", "email", "name", "title", "relevance_score", "identity_status", "kind", "source_count")
+    return C.extract_contacts(rows)
+
+
+def merged_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = card_contacts(spark, sf_dir)
+    return C.merge_contacts(found, found.select("record_id", F.col("record_id").alias("company_domain")).distinct())
+
+
+def staff_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contacts of each domain's cards."""
+    return merged_cards(spark, sf_dir).select("record_id", "email", "name", "title", "relevance_score", "identity_status", "kind", "source_count")
 
 
 CARDS_SQL = f"""with {V.PAGES_SQL},
@@ -200,28 +210,92 @@ f as (select * from o qualify row_number() over (partition by record_id order by
 select record_id, email, name, title, r as relevance_score, st as identity_status, kind, source_count from f"""
 
 
-def leader_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaders that each domain's pages name."""
+def best_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best contact of each domain."""
+    return C.best_contacts(merged_cards(spark, sf_dir)).select("record_id", "email", "name", "title", "relevance_score")
+
+
+def contact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, contact_name, company_domain, url, html, text: each person's hits, with a card of theirs or with their first name and address alone."""
+    hits = gather_hits(V.people(spark, sf_dir), V.pages(spark, sf_dir)).where(F.col("name").rlike("^[A-Za-z]{3,} [A-Za-z]{3,}$"))
+    email = F.concat(F.lower(F.replace("name", lit(" "), lit("."))), lit("@"), "company_domain")
+    card = F.concat(lit("<div><h2>"), F.initcap("name"), lit('</h2><p>Billing Director</p><a href="mailto:'), email, lit('">Email</a></div>'))
+    first, last = (F.substring_index("name", " ", n) for n in (1, -1))
+    alone = F.concat(first, lit(" answers mail to "), F.lower(last), lit("."), F.lower(first), lit("@"), "company_domain")
+    carded = F.length("title") % 3 > 0
+    return hits.select(
+        F.col("request_id").alias("record_id"), F.col("name").alias("contact_name"), "company_domain", "url", F.when(carded, card).otherwise("").alias("html"),
+        F.concat("text", lit(" "), F.when(carded, F.concat(F.initcap("name"), lit(" Billing Director"))).otherwise(alone)).alias("text"),
+    )
+
+
+def named_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published addresses of each person, of pages that name them in full and of their own site's others."""
+    rows = contact_hits(spark, sf_dir)
+    full = T.contains_phrase(F.col("text"), F.col("contact_name"))
+    found = C.extract_contacts(rows.where(full)).join(rows.select("record_id", "contact_name", "company_domain").distinct(), "record_id")
+    others = C.address_named_rows(rows.where(~full & U.is_company_url(F.col("url"), F.col("company_domain"))))
+    columns = ["record_id", "source_url", "name", "email", "relevance_score", "email_evidence", "identity_status"]
+    return C.named_contacts(found).select(columns).unionByName(others.withColumnRenamed("url", "source_url").select(columns))
+
+
+def company_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named and relevant persons with addresses on each organization's domain."""
+    rows = contact_hits(spark, sf_dir)
+    found = C.extract_contacts(rows.withColumn("contact_name", lit("")))
+    found = found.join(rows.select("record_id", "company_domain", lit("").alias("contact_name")).distinct(), "record_id")
+    return C.company_contacts(found).select("record_id", "source_url", "name", "email", "relevance_score", "email_evidence", "identity_status")
+
+
+def named_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.pages(spark, sf_dir)
     role = F.element_at(T.literals(["General Manager", "Billing Manager", "Manager", "CEO"]), (F.length("title") % 4 + 1).cast("int"))
     text = F.concat(lit("Leadership\n"), F.initcap("name"), lit(", "), role, lit("\n"), F.col("text"))
     rows = p.select(F.col("domain").alias("record_id"), F.col("page_id").alias("pos"), "url", text.alias("text"))
-    return O.leaders(rows).select("record_id", "rank", "name", "title", "score")
+    return O.leaders(rows)
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The website that directory pages of each organization agree on."""
+def leader_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaders that each domain's pages name."""
+    return named_leaders(spark, sf_dir).select("record_id", "rank", "name", "title", "score")
+
+
+def leader_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contacts of the first leader of each domain that has one."""
+    found = O.leader_contacts(card_contacts(spark, sf_dir), named_leaders(spark, sf_dir))
+    return found.select("record_id", "source_url", "name", "title", "email", "relevance_score", "background")
+
+
+def listing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_id, organization_name, source_url, hit, text: directory pages of each organization."""
     p = V.pages(spark, sf_dir)
     people = V.people(spark, sf_dir).select(F.col("company_domain").alias("domain"), F.col("company").alias("organization_name"))
     text = F.concat("organization_name", lit(" in Florida. Website: https://"), F.col("host"), lit("/ and more. "))
-    rows = p.join(people, "domain").select(
-        F.col("domain").alias("record_id"), "organization_name", lit("FL").alias("state"), lit("US").alias("country"),
-        F.concat(lit("https://list.example.org/"), F.col("page_id").cast("string")).alias("source_url"), F.posexplode(O.listing_blocks(text)).alias("pos", "b"),
-    )
+    source = F.concat(lit("https://list.example.org/"), F.col("page_id").cast("string"))
+    return p.join(people, "domain").select(F.col("domain").alias("record_id"), "organization_name", source.alias("source_url"), F.col("page_id").alias("hit"), text.alias("text"))
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The website that directory pages of each organization agree on."""
+    rows = listing_rows(spark, sf_dir).select(
+        "record_id", "organization_name", lit("FL").alias("state"), lit("US").alias("country"), "source_url", F.posexplode(O.listing_blocks(F.col("text"))).alias("pos", "b")
+    )
     blocks = rows.select("record_id", "organization_name", "state", "country", "source_url", "pos", "b.text", "b.links")
     return O.listing_consensus(blocks).select("record_id", "company_domain", "website")
 
 
+def listing_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing hits of each organization that are read."""
+    return H.first_listing_hits(listing_rows(spark, sf_dir)).select("record_id", "hit", "source_url")
+
+
+def organization_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of each organization with excerpts, its pages before its listings."""
+    own = V.pages(spark, sf_dir).select(F.col("domain").alias("record_id"), F.col("page_id").alias("pos"), "url", "text")
+    listed = listing_rows(spark, sf_dir).select("record_id", F.col("hit").alias("pos"), F.col("source_url").alias("url"), "text")
+    return O.org_evidence(own, listed)
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The closed blocks of every page, with the number of their links."""
     rows = V.table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -240,12 +314,19 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     best = C.best_contacts(merged)
     facts = O.classify_facts(texts.select("record_id", lit("ICP").alias("record_type"), F.col("page_id").alias("pos"), "url", "text"))
     counts = merged.groupBy("record_id").agg(F.count("*").alias("n_contacts"))
-    results = good.join(counts, "record_id", "left").select(
-        "record_id", lit("completed").alias("status"), F.concat(lit("https://"), "domain").alias("website"), F.array().cast("array<string>").alias("warnings"),
-        F.array(F.concat(lit("https://"), "domain")).alias("sources"), F.coalesce("n_contacts", lit(0)).alias("n_contacts"), lit(0.0).alias("minutes"),
-    )
-    left = R.remaining(good.select("record_id", "organization_name"), results.limit(0))
-    return IO.enriched(left, results, best, facts).select("record_id", "organization_name", "website", "contact_candidates", "contact_email", "verification_status")
+
+    def work(left: DataFrame) -> DataFrame:
+        return left.join(counts, "record_id", "left").select(
+            "record_id", lit("completed").alias("status"), F.concat(lit("https://"), "domain").alias("website"), F.array().cast("array<string>").alias("warnings"),
+            F.array(F.concat(lit("https://"), "domain")).alias("sources"), F.coalesce("n_contacts", lit(0)).alias("n_contacts"), lit(0.0).alias("minutes"),
+        )
+
+    # A run that ended after some of the rows, and one that takes up the others.
+    folder = shared_folder(spark, "organization-batch")
+    R.resume(good, folder, lambda left: work(left.where(F.pmod(F.xxhash64("record_id"), lit(2)) == 0)))
+    results = R.resume(good, folder, work)
+    rows = good.select("record_id", "organization_name")
+    return IO.enriched(rows, results, best, facts).select("record_id", "organization_name", "website", "contact_candidates", "contact_email", "verification_status")
 
 
 QUERIES = {
@@ -258,7 +339,13 @@ QUERIES = {
     # Misspelled words, spans of capitalized words and nested blocks are beyond SQL; tests hold these against literal rows.
     "website_choice": (website_choice, None),
     "contacts_found": (contacts_found, None),
+    "best_contact": (best_cards, None),
+    "named_contacts": (named_lookup, None),
+    "company_contacts": (company_lookup, None),
     "leaders": (leader_lookup, None),
+    "leader_contacts": (leader_addresses, None),
+    "listing_hits": (listing_hits, None),
+    "organization_evidence": (organization_evidence, None),
     "listing_consensus": (listings, None),
     "page_blocks": (blocks, None),
     "organization_batch": (batch, None),
