@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vouch.llm import jaccard as J
@@ -55,12 +56,19 @@ def test_classes_are_exact(spark, n, similarity, seed):
     assert sorted(map(tuple, found)) == brute(rows, n, similarity)
 
 
+def signatures(own, bands):
+    rows, sigs = J.signatures(own, np.array([0, len(own)]), bands)
+    assert not rows.any()
+    return sigs
+
+
+@pytest.mark.parametrize("sets", [10**5, 10**8, 10**12])
 @pytest.mark.parametrize("similarity", [(85, 100), (80, 100), (60, 100), (95, 100)])
-def test_linked_sets_share_a_signature(similarity):
-    rng, bands = np.random.default_rng(7), J.Bands(similarity)
+def test_linked_sets_share_a_signature(similarity, sets):
+    rng, bands = np.random.default_rng(7), J.Bands(similarity, sets)
     p, q = similarity
     tried = 0
-    for _ in range(3000):
+    for _ in range(1500):
         n = int(rng.integers(1, 400))
         a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
         drop, add = (int(rng.integers(0, 1 + len(a) * (q - p) // q)) for _ in range(2))
@@ -68,8 +76,8 @@ def test_linked_sets_share_a_signature(similarity):
         both = len(np.intersect1d(a, b))
         if len(b) and q * both >= p * (len(a) + len(b) - both):
             tried += 1
-            assert np.intersect1d(J.signatures(a, bands), J.signatures(b, bands)).size
-    assert tried > 300
+            assert np.intersect1d(signatures(a, bands), signatures(b, bands)).size
+    assert tried > 150
 
 
 def test_bands_cover_every_partner():
@@ -78,7 +86,53 @@ def test_bands_cover_every_partner():
         for a in range(1, 600):
             for b in range(a, bands.most(a) + 1):
                 assert set(bands.of(a)) & set(bands.of(b))
-        assert {bands.allocation(k)[2] for k in range(12)} == {0, 1}
+
+
+def test_layouts_follow_the_cost():
+    """Of bands above 50 shingles small collections take whole segments, large ones mixtures, and no other layout costs less."""
+    for similarity in ((85, 100), (80, 100)):
+        kinds = set()
+        for sets in (10**5, 10**7, 10**8, 10**9, 10**12):
+            bands = J.Bands(similarity, sets)
+            for band in range(30):
+                if bands.last(band) > 50:
+                    form = bands.layout(band)
+                    d = bands.changes(bands.last(band), bands.last(band))
+                    assert form.whole - form.slack + 2 * form.deletion >= d + 1
+                    kinds.add((form.whole > 1, form.deletion > 0))
+                    assert bands.cost(band, form.deletion, form.width) <= min(bands.cost(band, 0, 1), bands.cost(band, (d + 1) // 2, 2)) + 1e-9
+        assert {(True, False), (True, True)} <= kinds
+
+
+def test_classes_are_exact_with_one_deletion_segments(spark, monkeypatch):
+    monkeypatch.setattr(J, "PAIR", 1e9)  # as if unrelated sets were very many
+    assert any(J.Bands((80, 100)).layout(k).deletion and J.Bands((80, 100)).last(k) > 50 for k in range(15))
+    rows = corpus(9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, J.classes(docs, 3, (80, 100)).collect())) == brute(rows, 3, (80, 100))
+
+
+def test_long_texts_are_hashed_alike_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("aBc\u00e9") for _ in range(rng.choice([1, 3, 70, 200]))) for _ in range(400))
+    texts = pa.array([text, None, "", "a b", text + " x", "y" * 5000, "y" * 5000 + " z"])
+    whole, cut = J.shingles(texts, 4)
+    for size in (1000, 97, 7):
+        monkeypatch.setattr(J, "PIECE", size)
+        again, same = J.shingles(texts, 4)
+        assert np.array_equal(whole, again) and np.array_equal(cut, same)
+        again, same = J.hashed(texts, 4)
+        assert np.array_equal(whole, again) and np.array_equal(cut, same)
+    assert [b - a for a, b in zip(cut, cut[1:])][1:4] == [0, 0, 1]
+
+
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    for n in (5, 100, 3000):
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[n // 5 :], rng.integers(0, 2**63, n // 7).astype(np.uint64)]))
+        x, y = J.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert np.bitwise_count((x ^ y).view(np.uint64)).sum() <= len(np.setxor1d(a, b))
 
 
 @pytest.mark.parametrize("most", [1000, 60])
@@ -100,10 +154,29 @@ def test_components(spark, most):
 
 
 def test_repeated_ids_and_empty(spark):
-    docs = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (2, "V W X Y Z"), (None, "a b c d e"), (3, None)], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.component_id or 0) for r in J.classes(docs).collect()) == [(0, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
-    assert sorted(r.doc_id or 0 for r in J.one_of_each(docs).collect()) == [0, 1, 3]
+    docs = spark.createDataFrame([(1, "a b c d e"), (1, "v w x y z"), (2, "V W X Y Z"), (None, "a b c d e"), (None, "k l m n"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in J.classes(docs).collect()) == [(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (3, 3)]
+    assert sorted((r.doc_id or 0, r.text or "") for r in J.one_of_each(docs).collect()) == [(0, "a b c d e"), (0, "k l m n"), (1, "a b c d e"), (3, "")]
     assert J.classes(docs.limit(0)).count() == 0
+    assert J.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_clashing_columns_and_ties(spark):
+    names = ["id", "id_", "rank", "node", "sig", "root", "gone_id", "kept_id", "bits", "a", "b"]
+    rows = [(i, " ".join(f"w{k}" for k in range(30)) + (" z" if i % 2 else ""), *range(len(names))) for i in (4, 7, 5, 4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = J.one_of_each(docs)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [4]
+    assert {r.component_id for r in J.classes(docs).collect()} == {4}
+
+
+def test_very_long_text(spark):
+    rng = random.Random(1)
+    words = [rng.choice("abcdefghij") * rng.randrange(1, 9) + str(rng.randrange(50)) for _ in range(60_000)]
+    near = [*words[:30_000], "other", *words[30_001:]]
+    far = words[:45_000]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, "x" * 1_000_000)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in J.classes(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
 def test_query(twin):

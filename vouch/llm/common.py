@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from vouch.session import shared_folder, ship
 
+#: Ids that are broadcast, at most: 16 MB.
+FEW_IDS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
@@ -27,3 +30,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def fold(column, salt: int = 0):
     """A column's 64-bit hash: the stable order used where a bounded sample is drawn."""
     return F.xxhash64(column, F.lit(salt))
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of these is."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def among(df: DataFrame, key: str, ids: DataFrame, out: bool = False) -> DataFrame:
+    """The rows of df whose key is (with out: isn't) in the one column of ids; null keys never are.
+
+    Up to FEW_IDS ids are broadcast, so df isn't shuffled; more are joined by
+    shuffle, which Spark splits where a key is hot.
+    """
+    other = fresh("id", df.columns)
+    ids = ids.toDF(other).where(F.col(other).isNotNull())
+    if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(f"`{key}`") == F.col(other), "left_anti" if out else "left_semi")
