@@ -1,6 +1,8 @@
 import itertools
+import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from vouch.llm import langid
 
@@ -31,6 +33,84 @@ def test_held_out_accuracy(spark, sf, duck):
     assert len(rows) == duck.execute("select count(*) from documents").fetchone()[0] and all(0 <= r.score <= 1 for r in rows.values())
 
 
+def scored_by_hand(model, word):
+    """Sums of log probabilities less their mean, from the model's table."""
+    rows = {"".join(map(chr, g)): s for g, s in zip(model["grams"].tolist(), model["scores"], strict=True)}
+    padded, total = f" {word.lower()} ", np.zeros(len(model["langs"]))
+    for i in range(len(word)):
+        total += rows.get(padded[i : i + 3], 0)
+    can = model["can"][langid.script_of(np.array([ord(word[0])]))[0]]
+    return np.where(can, total, np.minimum(total, total[can].min() - 2 * langid.SWITCH))
+
+
+def test_query_by_hand(spark, sf, duck):
+    """The query's rows from the model alone: words by a pattern, scores by a dictionary, paths by plain dynamic programming."""
+    import re
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r for r in langid.op5_langid(spark, sf).collect()}
+    some = duck.execute("select doc_id, text from documents where length(coalesce(text, '')) < 1500 order by hash(doc_id) limit 120").fetchall()
+    for i, text in some:
+        words = re.findall(r"[^\W\d_]+", text or "")
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        s = np.array([scored_by_hand(model, w) for w in words])
+        value, back = s[0], []
+        for own in s[1:]:
+            best = value.argmax()
+            move = value[best] - langid.SWITCH > value
+            back.append(np.where(move, best, np.arange(len(value))))
+            value = np.where(move, value[best] - langid.SWITCH, value) + own
+        path = [int(value.argmax())]
+        for b in back[::-1]:
+            path.append(int(b[path[-1]]))
+        held = np.bincount(path[::-1], [len(w) for w in words], len(model["langs"]))
+        assert got[i].lang_pred == model["langs"][held.argmax()] and abs(got[i].score - held.max() / held.sum()) < 1e-9
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    assert len(got) == duck.execute("select count(distinct doc_id) from documents").fetchone()[0]
+
+
+def test_trigram_tables():
+    rng = np.random.default_rng(4)
+    grams = np.unique(np.concatenate([rng.integers(97, 123, (4000, 3)), rng.integers(0x4E00, 0x5000, (4000, 3)), [[32, 97, 32]]]), axis=0)
+    own = langid.Trigrams(grams)
+    keys = own.keys(*own.number[grams].T)
+    assert own.find(keys).tolist() == list(range(1, len(grams) + 1))
+    assert not own.find(np.setdiff1d(np.arange(20_000), keys)).any()
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    rows = [(i, "the thing of that and with", "en") for i in range(3000)] + [(5000, "xyx yxx xyyx", "zz"), (5001, "漢字 仮名", "ja")]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string, g string")
+    model = langid.learn(docs, most=20)
+    assert model["langs"] == ["en", "ja", "zz"]
+    asked = spark.createDataFrame([(1, "XYX yxx"), (2, "仮名 12 漢字"), (3, "That thing")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.lang_pred) for r in langid.identify(asked, model).collect()) == [(1, "zz"), (2, "ja"), (3, "en")]
+
+
+def test_many_languages(spark):
+    """More languages than a byte can number."""
+    letters = [chr(0x4E00 + 7 * k) for k in range(300)]
+    rows = [(k, c * 5, f"l{k:03d}") for k, c in enumerate(letters)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs)
+    assert len(model["langs"]) == 300
+    assert all(r.lang_pred == f"l{r.doc_id:03d}" for r in langid.identify(docs, model).collect())
+
+
+def test_long_text_ties_and_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "aab", "x"), (1, "aab", "y"), (2, "der die und", "de")], "doc_id long, text string, lang string")
+    scorer = langid.Scorer(langid.learn(docs))
+    texts = ["aab", "der die " * 50_000, None, "", "1 2", "aab"]
+    langs, share = langid.predict(texts, scorer)
+    assert langs == ["x", "de", "und", "und", "und", "x"] and share == [1.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    monkeypatch.setattr(langid, "TOGETHER", 10)
+    monkeypatch.setattr(langid, "LETTERS", 5)
+    assert langid.predict(texts, scorer) == (langs, share)
+
+
 def test_mixed_text_and_shapes(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the thing of that and with", "en"), ("der die und nicht schön", "de"), ("жить не тужить", "ru")] * 30)]
     docs = spark.createDataFrame([*rows, (900, None, "en"), (901, "x", None)], "doc_id long, text string, lang string")

@@ -1,26 +1,28 @@
 """Language identification of mixed-language text.
 
-A text is cut at white space. Each word gets a score for every language: the
-sum of the log probabilities of its letter trigrams. The script of its letters
+Words are runs of letters. Each word gets a score for every language: the sum
+of the log probabilities of its letter trigrams. The script of its first letter
 first narrows the candidates, as a language whose training words never use
 that script can't claim the word. Viterbi decoding over the words, with a
 penalty for each switch of language, then labels spans, and the language that
 holds most letters is the text's.
 
 The trigram counts are learned in Spark from a sample of whole labelled texts,
-drawn by a hash of the id; TRAIN_DOCS bounds its expected size, so the model
-and the time to learn it don't grow with the corpus. Prediction covers every
-text, whole, and looks at nothing but the text.
+drawn by a hash of the id: all texts of a language that has up to TRAIN_DOCS,
+about so many of any other. So the model and the time to learn it don't grow
+with the corpus, and a rare language is learned like a frequent one. Every
+trigram of the sample counts. Prediction covers every text, whole, and looks at
+nothing but the text.
 
 Null texts and texts without a letter are `und` with score 0; so is every text
 when nothing can be learned. Of languages with as many letters the
-alphabetically first is taken. Rows that repeat are labelled each on its own.
+alphabetically first is taken. Rows that repeat are labelled each on its own;
+an empty table gives none. A very long text needs memory for its own letters
+and words. Further columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +32,15 @@ from pyspark.sql import functions as F
 
 from vouch.llm.common import fold, table
 
-#: Expected number of labelled texts learned from.
-TRAIN_DOCS = 12_000
-MAX_TRIGRAMS = 120_000
+#: Expected number of labelled texts learned from, for each language.
+TRAIN_DOCS = 4_000
 SWITCH = 8.0
 UND = "und"
-#: Words kept with their scores in a Python worker; when full, the table starts anew.
-CACHED_WORDS = 300_000
-#: Words decoded together; longer texts are decoded alone.
-TOGETHER = 1 << 20
+#: Words decoded together; longer texts are decoded alone. Letters scored together.
+TOGETHER, LETTERS = 1 << 21, 1 << 18
 #: A script belongs to a language if at least this share of its letters is in it.
 SCRIPT_SHARE = 1e-4
+POINTS = 0x110000
 
 #: First code points of Unicode blocks at which the script of letters changes, by Unicode's block list.
 SCRIPTS = [
@@ -52,88 +52,156 @@ SCRIPTS = [
     (0xFB13, "Other"), (0x20000, "Han"), (0x323B0, "Other"),
 ]
 STARTS = np.array([s for s, _ in SCRIPTS])
-LETTERS = re.compile(r"[^\W\d_]+")
+
+_points: list[np.ndarray] = []
+
+
+def points() -> tuple[np.ndarray, np.ndarray]:
+    """Of every code point, whether it is a letter, and its lower-case form (itself, if that is no single letter); made once a process."""
+    if not _points:
+        letter, lower = np.zeros(POINTS, bool), np.arange(POINTS, dtype=np.int32)
+        for p in range(POINTS):
+            c = chr(p)
+            if c.isalpha():
+                letter[p] = True
+                if c.isupper() or c.istitle():
+                    low = c.lower()
+                    lower[p] = ord(low) if len(low) == 1 else p
+        _points.extend([letter, lower])
+    return _points[0], _points[1]
+
+
+def script_of(letters: np.ndarray) -> np.ndarray:
+    """The place in SCRIPTS of each code point."""
+    return np.maximum(0, np.searchsorted(STARTS, letters, "right") - 1)
 
 
 def script(letter: str) -> str:
-    return SCRIPTS[max(0, int(np.searchsorted(STARTS, ord(letter), "right")) - 1)][1]
+    return SCRIPTS[int(script_of(np.array([ord(letter)]))[0])][1]
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS) -> dict:
-    """A model from labelled texts: languages, trigram log probabilities, scripts.
+    """A model from labelled texts: languages, trigrams and their log probabilities, scripts.
 
     docs: the rows that may be learned from, with a column doc_id to draw the
     sample by. Rows with a null text or language are left out.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select("doc_id", F.col(text).alias("t"), F.col(lang).alias("lang"))
-    n = rows.count()
-    part = min(1.0, most / n) if n else 1.0
-    sample = rows.where(F.pmod(fold(F.coalesce(F.col("doc_id"), F.lit(0)), 5), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)) + 1))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), 0)).alias("w"))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    if not sizes:
+        return {"langs": []}
+    part = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, int(min(1.0, most / n) * (1 << 30)) + 1)])
+    drawn = F.pmod(fold(F.coalesce(F.col("doc_id"), F.lit(0)), 5), F.lit(1 << 30)) < F.element_at(part, F.col("lang"))
+    words = rows.where(drawn).select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), 0)).alias("w"))
     words = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), "w", F.lit(" "))
     grams = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3)))
-    counted = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("lang", "g").agg(F.sum("n").alias("n"))
-    kept = counted.orderBy(F.desc("n"), "g", "lang").limit(MAX_TRIGRAMS).collect()
-    langs = sorted({r.lang for r in kept})
-    at = {x: i for i, x in enumerate(langs)}
-    counts: dict[str, list[int]] = {}
-    for r in kept:
-        counts.setdefault(r.g, [0] * len(langs))[at[r.lang]] += r.n
-    totals = [sum(c[i] for c in counts.values()) + 0.5 * (len(counts) + 1) for i in range(len(langs))]
-    scripts: dict[str, list[int]] = {}
-    for g, c in counts.items():
-        if len(g) > 1 and g[1] != " ":
-            own = scripts.setdefault(script(g[1]), [0] * len(langs))
-            scripts[script(g[1])] = [a + b for a, b in zip(own, c, strict=True)]
-    letters = [max(1, sum(c[i] for c in scripts.values())) for i in range(len(langs))]
-    return {
-        "langs": langs,
-        "grams": {g: [math.log((x + 0.5) / t) for x, t in zip(c, totals, strict=True)] for g, c in counts.items()},
-        "unseen": [math.log(0.5 / t) for t in totals] if langs else [],
-        "scripts": {s: [x / n >= SCRIPT_SHARE for x, n in zip(c, letters, strict=True)] for s, c in scripts.items()},
-    }
-
-
-class Words(dict):
-    """Words to rows of a table of scores; row 0 is for words without letters."""
+    counted = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
+    return model_of(counted.toArrow())
+
+
+def model_of(counted: pa.Table) -> dict:
+    """The model from (g, lang, n): how often each trigram stands in the sample of each language."""
+    grams, langs = (counted.column(c).to_pylist() for c in ("g", "lang"))
+    names = sorted(set(langs))
+    if not names:
+        return {"langs": []}
+    rows = {g: i for i, g in enumerate(sorted(set(grams)))}
+    n = np.zeros((len(rows), len(names)))
+    at = {x: i for i, x in enumerate(names)}
+    np.add.at(n, ([rows[g] for g in grams], [at[x] for x in langs]), counted.column("n").to_numpy())
+    scores = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * (len(rows) + 1)))
+    scores -= scores.mean(axis=1, keepdims=True)
+    letters = np.array([[ord(c) for c in g] for g in rows], np.int64).reshape(-1, 3)
+    used = np.zeros((len(SCRIPTS), len(names)))
+    np.add.at(used, script_of(letters[:, 1]), n)
+    kinds = np.array([[x == y for _, y in SCRIPTS] for _, x in SCRIPTS])  # blocks of one script count together
+    used = kinds @ used
+    can = used / np.maximum(1, n.sum(axis=0)) >= SCRIPT_SHARE
+    can[~can.any(axis=1)] = True  # a script that no language has leaves all of them
+    return {"langs": names, "grams": letters, "scores": scores.astype(np.float32), "can": can}
+
+
+class Trigrams:
+    """Trigrams of letters to rows of the model's scores, by hash tables; row 0 is for trigrams that the model doesn't have."""
+
+    def __init__(self, grams: np.ndarray):
+        alphabet = np.unique(grams)
+        letter, lower = points()
+        self.number = np.zeros(POINTS, np.int64)  # of letters of the alphabet in either case, from 1; space is one of them
+        self.number[alphabet] = np.arange(1, len(alphabet) + 1)
+        self.number = np.where(letter, self.number[lower], self.number)
+        self.space = int(self.number[32])
+        self.width = len(alphabet) + 1
+        keys, rows = self.keys(*self.number[grams].T), np.arange(1, len(grams) + 1)
+        self.tables = []
+        while len(keys):
+            bits = int(len(keys)).bit_length() + 2
+            slot = self.slots(keys, bits)
+            held, row = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+            held[slot], row[slot] = keys, rows  # of keys with one slot the last stays here
+            self.tables.append((bits, held, row))
+            rest = held[slot] != keys
+            keys, rows = keys[rest], rows[rest]
+
+    def keys(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return (a * self.width + b) * self.width + c
+
+    @staticmethod
+    def slots(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * bits)) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        out, open_ = np.zeros(len(keys), np.int32), None
+        for bits, held, row in self.tables:
+            own = keys if open_ is None else keys[open_]
+            slot = self.slots(own, bits)
+            hit = held[slot] == own
+            if open_ is None:
+                out = np.where(hit, row[slot], 0)
+                open_ = np.flatnonzero(~hit)
+            else:
+                out[open_[hit]] = row[slot[hit]]
+                open_ = open_[~hit]
+            if not len(open_):
+                break
+        return out
+
+
+class Scorer:
+    """A model ready to score words: a column of scores for each language."""
 
     def __init__(self, model: dict):
-        super().__init__()
-        self.model, self.size = model, len(model["langs"])
-        self.scores, self.letters = [[0.0] * self.size], [0]
-        self.even = [sum(model["unseen"]) / max(1, self.size)] * self.size
-
-    def scored(self, word: str) -> list[float]:
-        padded, grams = f" {word} ", self.model["grams"]
-        total = [0.0] * self.size
-        for i in range(len(word)):
-            own = grams.get(padded[i : i + 3], self.even)
-            total = [a + b for a, b in zip(total, own, strict=True)]
-        mean = sum(total) / self.size
-        total = [a - mean for a in total]
-        # Script ranges narrow the candidates; a script that no language has leaves all of them.
-        can = self.model["scripts"].get(script(word[0]))
-        if can and any(can):
-            least = min(t for t, c in zip(total, can, strict=True) if c) - 2 * SWITCH
-            total = [t if c else min(t, least) for t, c in zip(total, can, strict=True)]
-        return total
-
-    def __missing__(self, chunk: str) -> int:
-        words = LETTERS.findall(chunk)
-        if not words:
-            self[chunk] = 0
-            return 0
-        row = [sum(x) for x in zip(*map(self.scored, words), strict=True)]
-        self[chunk] = at = len(self.scores)
-        self.scores.append(row)
-        self.letters.append(sum(map(len, words)))
-        return at
-
-    def renew(self) -> None:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-            del self.scores[1:], self.letters[1:]
+        self.langs = model["langs"]
+        if self.langs:
+            self.trigrams = Trigrams(model["grams"])
+            scores = np.concatenate([np.zeros((1, len(self.langs)), np.float32), model["scores"]])
+            self.columns = [np.ascontiguousarray(c) for c in scores.T]
+            self.can = model["can"]
+
+    def words(self, text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(begin, end, scores) of the words of some code points; at `edges` a word ends, whatever stands there."""
+        is_letter, _ = points()
+        letter = is_letter[text]
+        first, last = letter.copy(), letter.copy()
+        first[1:] &= ~letter[:-1]
+        last[:-1] &= ~letter[1:]
+        edges = edges[(edges > 0) & (edges < len(text))]
+        first[edges], last[edges - 1] = letter[edges], letter[edges - 1]
+        begin, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        if not len(begin):
+            return begin, end, np.zeros((0, len(self.langs)), np.float32)
+        place = np.flatnonzero(letter)
+        number = self.trigrams.number[text[place]]
+        before, after = np.empty_like(number), np.empty_like(number)
+        before[1:], after[:-1] = number[:-1], number[1:]
+        heads = np.searchsorted(place, begin)
+        before[heads], after[np.append(heads[1:], len(place)) - 1] = self.trigrams.space, self.trigrams.space
+        row = self.trigrams.find(self.trigrams.keys(before, number, after))
+        scores = np.stack([np.add.reduceat(c[row], heads) for c in self.columns], axis=1)
+        can = self.can[script_of(text[begin])]
+        least = np.where(can, scores, np.inf).min(axis=1) - 2 * SWITCH
+        return begin, end, np.where(can, scores, np.minimum(scores, least[:, None]))
 
 
 def decode(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -143,6 +211,7 @@ def decode(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> n
     words of each text. Going from one word to the next costs `switch` if the
     label changes. Of equal paths the one that stays wins, then the first label.
     """
+    kind = np.int16 if scores.shape[1] < 1 << 15 else np.int32
     order = np.argsort(-lengths, kind="stable")
     longest = int(lengths.max(initial=0))
     active = len(lengths) - np.searchsorted(np.sort(lengths), np.arange(longest), "right")
@@ -153,8 +222,8 @@ def decode(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> n
     place = first[time] + np.repeat(rank, lengths)  # by word number, then by length of text
     turned = np.empty_like(scores)
     turned[place] = scores
-    back = np.empty(scores.shape, np.int8)
-    own = np.arange(scores.shape[1], dtype=np.int8)
+    back = np.empty(scores.shape, kind)
+    own = np.arange(scores.shape[1], dtype=kind)
     value = turned[: active[0]].copy() if longest else turned
     ends = np.empty((len(lengths), scores.shape[1]), scores.dtype)
     n = active[0] if longest else 0
@@ -163,14 +232,13 @@ def decode(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> n
         if k < n:
             ends[k:n] = value[k:]
             value, n = value[:k], k
-        best = value.argmax(axis=1)
-        changed = value[np.arange(k), best][:, None] - switch
-        move = changed > value
-        back[first[t] : first[t + 1]] = np.where(move, best[:, None], own)
-        value = np.where(move, changed, value) + turned[first[t] : first[t + 1]]
+        best = value.argmax(axis=1)[:, None]
+        changed = np.take_along_axis(value, best, 1) - switch
+        back[first[t] : first[t + 1]] = np.where(changed > value, best, own)
+        value = np.maximum(value, changed) + turned[first[t] : first[t + 1]]
     if longest:
         ends[:n] = value
-    labels = np.empty(len(scores), np.int8)
+    labels = np.empty(len(scores), kind)
     now = np.zeros(len(lengths), np.int64)
     for t in range(longest - 1, -1, -1):
         k = active[t]
@@ -183,72 +251,71 @@ def decode(scores: np.ndarray, lengths: np.ndarray, switch: float = SWITCH) -> n
     return labels[place]
 
 
-def predict(texts: list[str | None], words: Words) -> tuple[list[str], list[float]]:
+def code_points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def predict(texts: list[str | None], scorer: Scorer) -> tuple[list[str], list[float]]:
     """Language and share of letters of each text."""
-    langs = words.model["langs"]
+    langs = scorer.langs
     out, share = [UND] * len(texts), [0.0] * len(texts)
-    if not langs:
-        return out, share
-    rows, lengths, at = [], [], []
+    scores, letters, lengths, waiting = [], [], [], 0  # of the texts done .. done + len(lengths)
+    done = 0
 
     def flush():
-        if not rows:
-            return
-        ids = np.concatenate(rows)
-        size = np.array(lengths)
-        table = np.array(words.scores, np.float32)
-        labels = decode(table[ids], size)
-        letters = np.array(words.letters, np.int64)[ids]
-        doc = np.repeat(np.arange(len(size)), size)
-        held = np.bincount(doc * len(langs) + labels, letters, len(size) * len(langs)).reshape(len(size), len(langs))
-        for i, h in zip(at, held, strict=True):
-            if h.sum():
-                out[i], share[i] = langs[int(h.argmax())], float(h.max() / h.sum())
-        rows.clear(), lengths.clear(), at.clear()
-
-    total = 0
-    for i, t in enumerate(texts):
-        chunks = t.lower().split() if t else []
-        if chunks:
-            if total + len(chunks) > TOGETHER or len(words) > 2 * CACHED_WORDS:
-                flush()
-                words.renew()
-                total = 0
-            rows.append(np.fromiter(map(words.__getitem__, chunks), np.int64, len(chunks)))
-            lengths.append(len(chunks))
-            at.append(i)
-            total += len(chunks)
-    flush()
-    words.renew()
+        size = np.array(lengths, np.int64)
+        labels = decode(np.concatenate(scores), size)
+        text = np.repeat(np.arange(len(size)), size)
+        held = np.bincount(text * len(langs) + labels, np.concatenate(letters), len(size) * len(langs)).reshape(len(size), len(langs))
+        total = held.sum(axis=1)
+        for i in np.flatnonzero(total).tolist():
+            top = int(held[i].argmax())
+            out[done + i], share[done + i] = langs[top], float(held[i, top] / total[i])
+
+    begin = 0
+    while begin < len(texts) and langs:
+        end, size = begin, 0
+        while end < len(texts) and (end == begin or size + len(texts[end] or "") <= LETTERS):
+            size += len(texts[end] or "")
+            end += 1
+        part = [t or "" for t in texts[begin:end]]
+        cut = np.concatenate([[0], np.cumsum([len(t) for t in part])])
+        at, stop, own = scorer.words(code_points(part), cut)
+        n = np.diff(np.searchsorted(at, cut))
+        if waiting and waiting + len(own) > TOGETHER:
+            flush()
+            done, waiting = begin, 0
+            scores, letters, lengths = [], [], []
+        scores.append(own)
+        letters.append(stop - at)
+        lengths += n.tolist()
+        waiting += len(own)
+        begin = end
+    if waiting:
+        flush()
     return out, share
 
 
-def spans(text: str | None, words: Words) -> list[tuple[int, int, str]]:
-    """(start, end, language) of the spans of one text, in code points; words without letters join the span before."""
-    langs = words.model["langs"]
-    found = list(re.finditer(r"\S+", text or ""))
-    if not found or not langs:
+def spans(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
+    """(start, end, language) of the spans of one text, in code points, from the first word of each to its last."""
+    if not text or not scorer.langs:
         return []
-    ids = [words[m.group().lower()] for m in found]
-    labels = decode(np.array([words.scores[i] for i in ids], np.float32), np.array([len(ids)]))
-    out: list[tuple[int, int, str]] = []
-    for m, label in zip(found, labels, strict=True):
-        if out and out[-1][2] == langs[label]:
-            out[-1] = (out[-1][0], m.end(), langs[label])
-        else:
-            out.append((m.start(), m.end(), langs[label]))
-    return out
+    begin, end, scores = scorer.words(code_points([text]), np.zeros(0, np.int64))
+    labels = decode(scores, np.array([len(begin)]))
+    new = np.flatnonzero(np.append(True, labels[1:] != labels[:-1])) if len(labels) else labels
+    last = np.append(new[1:], len(labels)) - 1
+    return [(int(begin[a]), int(end[b]), scorer.langs[int(labels[a])]) for a, b in zip(new, last, strict=True)] if len(labels) else []
 
 
 def label_spans(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and the spans of each text as an array of (start, end, lang)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams of a bounded sample
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model)
+        scorer = Scorer(shared.value)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
-            rows = [[dict(zip(("start", "end", "lang"), s, strict=True)) for s in spans(t, words)] for t in batch.column(1).to_pylist()]
-            words.renew()
+            rows = [[dict(zip(("start", "end", "lang"), s, strict=True)) for s in spans(t, scorer)] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, kind)], names=["doc_id", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(each, "doc_id long, spans array<struct<start:long,end:long,lang:string>>")
@@ -256,12 +323,12 @@ def label_spans(docs: DataFrame, model: dict) -> DataFrame:
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_TRIGRAMS rows
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams of a bounded sample
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(shared.value)
+        scorer = Scorer(shared.value)
         for batch in batches:
-            langs, share = predict(batch.column(1).to_pylist(), words)
+            langs, share = predict(batch.column(1).to_pylist(), scorer)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )
