@@ -87,7 +87,7 @@ LONGS = BITS // 64
 #: Bytes of text hashed together; bytes and documents whose signatures are brought together in a task.
 PIECE, SLICE, SLICE_DOCS = 1 << 17, 1 << 23, 2048
 #: Times that sets outside their group's largest class try one more set of it, before all are compared.
-TURNS = 2
+TURNS = 1
 #: Edges that one task joins into classes, at most.
 EDGES = 500_000
 U = np.uint64
@@ -125,8 +125,8 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data if data else b"", np.uint8)[cut[0] : cut[-1]], cut - cut[0]
 
 
-def words_of(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words of texts, and how many each text has."""
+def words_of(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all words of texts, how many each text has, and where in data they begin."""
     hashes, starts, begin = [np.zeros(0, U)], [np.zeros(0, np.int64)], 0
     while begin < len(data):
         end = min(len(data), begin + PIECE)
@@ -159,13 +159,13 @@ def words_of(data: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             hashes.append(np.add.reduceat(value, at))
             starts.append(at + begin)
         begin = end
-    first = np.searchsorted(np.concatenate(starts), cut)
-    return mixed(np.concatenate(hashes)), np.diff(first)
+    starts = np.concatenate(starts)
+    return mixed(np.concatenate(hashes)), np.diff(np.searchsorted(starts, cut)), starts
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted distinct shingle hashes of each text, one text after another, and where each text's begin and end."""
-    words, count = words_of(*bytes_of(texts))
+    words, count, _ = words_of(*bytes_of(texts))
     if ((count > 0) & (count < n)).any():
         short = (count > 0) & (count < n)
         words = np.insert(words, np.repeat(np.cumsum(count)[short], n - count[short]), PAD)
@@ -574,6 +574,8 @@ def classes(docs: DataFrame, n: int = WORDS, similarity: tuple[int, int] = SIMIL
     members = written(crowds(groups), "crowds")
     for turn in range(TURNS + 1):
         rows = opened(members, roots)
+        if rows.isEmpty():
+            break
         pairs = near(with_center(rows, turn), known, similarity) if turn < TURNS else apart(rows, known, similarity)
         pairs = written(pairs, "pairs")
         if not pairs.isEmpty():

@@ -40,31 +40,34 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vouch.llm.common import table, written
+from vouch.llm.jaccard import SPACE, words_of
 
 WINDOW, GRAIN, END = 4096, 256, 2
 MAX_QUEUES = 1024
 #: Credits are whole numbers of 1/UNIT tokens a round.
 UNIT = 1 << 12
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their ids in a Python worker; when full, the table starts anew.
-CACHED_WORDS = 1_000_000
-LONGEST_CACHED = 48
+#: Words kept with their ids in a Python worker, about; when full, the table starts anew.
+CACHED_WORDS = 1_500_000
 #: Texts of these characters alone are cut at white space and looked up word by word: for them NFC changes nothing,
 #: lower-casing looks at one character at a time, and white space means the same to Python and to the tokenizer.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
 #: Fixed value: the pieces that this tokenizer cuts a text into, for such texts.
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Texts whose new words are encoded together.
-TOGETHER = 64
+#: Bytes of texts whose words are looked up together.
+TOGETHER = 1 << 20
 
 _tokenizers: dict[str, Tokens] = {}
 
 
-class Tokens(dict):
-    """Ids of white-space-separated words as little-endian unsigned 16-bit (32-bit for larger vocabularies)."""
+class Tokens:
+    """Ids of texts, by a table of the ids of white-space-separated words.
+
+    Words are looked up by 64-bit hashes, all those of many texts at once. Ids
+    are little-endian unsigned 16-bit (32-bit for larger vocabularies).
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -72,46 +75,96 @@ class Tokens(dict):
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)  # of the tokens that end a piece of a word
         for token, number in self.tokenizer.get_vocab().items():
             self.last[number] = token.endswith("</w>")
+        self.clear()
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
+    def clear(self) -> None:
+        """Forget all words: hashes in order, where the ids of each begin in the pool and end, and what of the pool is used."""
+        self.known = np.zeros(0, np.uint64)
+        self.begin = self.end = np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, self.type), 0
 
-    def learn(self, words: list[str]) -> None:
-        """Enter the ids of plain words: all of them encoded as one text and cut at the words' ends."""
-        counts = np.array([len(PIECE.findall(w)) for w in words])
-        ids = np.frombuffer(self.encode(" ".join(words)), self.type)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.type) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of plain words, one word after another, and how many each has: encoded as one text, cut at the words' ends."""
+        pieces = np.array([1 if w.isalpha() else len(PIECE.findall(w)) for w in words])
+        ids = self.encode([" ".join(words)])[0]
         ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != counts.sum() or (len(ids) and ends[-1] != len(ids)):
-            self.update((w, self.encode(w)) for w in words)
-            return
-        cuts = np.concatenate([[0], ends])[np.cumsum(counts)].tolist()
-        data, width, begin = ids.tobytes(), self.type.itemsize, 0
-        for word, end in zip(words, cuts, strict=True):
-            self[word] = data[begin * width : end * width]
-            begin = end
-
-    def __missing__(self, word: str) -> bytes:
-        return self.encode(word)
+        if len(ends) != pieces.sum() or (len(ids) and ends[-1] != len(ids)):
+            own = self.encode(words)
+            return np.concatenate(own), np.array(list(map(len, own)))
+        return ids, np.diff(np.concatenate([[0], ends])[np.cumsum(pieces)], prepend=0)
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Enter words that aren't known, by their hashes in order."""
+        sizes = []
+        for k in range(0, len(words), 1000):
+            ids, size = self.ids_of(words[k : k + 1000])
+            if self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), self.type)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+            sizes.append(size)
+        size = np.concatenate(sizes)
+        end = self.used - size.sum() + np.cumsum(size)
+        at = np.searchsorted(self.known, hashes)
+        self.begin, self.end = np.insert(self.begin, at, end - size), np.insert(self.end, at, end)
+        self.known = np.insert(self.known, at, hashes)
+
+    def plain(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of lower-case texts of plain characters."""
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        cut = np.concatenate([[0], np.cumsum(list(map(len, texts)))])
+        # A full stop or comma between a letter and a space is a word of its own: it is a piece of its own, and words without are fewer.
+        stop = np.flatnonzero((data[1:] == 46) | (data[1:] == 44)) + 1
+        after = np.append(data, np.uint8(32))[stop + 1]
+        stop = stop[(data[stop - 1] >= 97) & (data[stop - 1] <= 122) & SPACE[after] & ~np.isin(stop, cut)]
+        hashes, _, starts = words_of(data, np.sort(np.concatenate([cut, stop])))
+        count = np.diff(np.searchsorted(starts, cut))
+        if not len(hashes):
+            return [b""] * len(texts)
+        if len(self.known) > CACHED_WORDS or self.used > 8 * CACHED_WORDS:
+            self.clear()
+        some, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, some)
+        new = np.ones(len(some), bool)
+        inside = at < len(self.known)
+        new[inside] = self.known[at[inside]] != some[inside]
+        new = np.flatnonzero(new)
+        if len(new):
+            ends = np.append(starts[1:], len(data))  # a word, and the space behind it
+            words = [data[starts[i] : ends[i]].tobytes().decode().rstrip() for i in first[new].tolist()]
+            self.learn(some[new], words)
+            at = np.searchsorted(self.known, some)
+        row = at[which]
+        begin, size = self.begin[row], self.end[row] - self.begin[row]
+        cut = np.concatenate([[0], np.cumsum(size)])
+        raw = self.pool[np.repeat(begin - cut[:-1], size) + np.arange(cut[-1])].tobytes()
+        edges = (cut[np.concatenate([[0], np.cumsum(count)])] * self.type.itemsize).tolist()
+        return [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         """The ids of texts, as the tokenizer gives for the whole of each."""
-        out = [b""] * len(texts)
-        for begin in range(0, len(texts), TOGETHER):
-            plain, other = {}, []
-            for i, t in enumerate(texts[begin : begin + TOGETHER], begin):
-                if t and PLAIN.fullmatch(t) and "<|" not in t:
-                    plain[i] = t.lower().split()
-                elif t:
-                    other.append(i)
-            if len(self) > CACHED_WORDS:
-                self.clear()
-            new = [w for w in set().union(*plain.values()) if w not in self and len(w) <= LONGEST_CACHED]
-            for k in range(0, len(new), 1000):
-                self.learn(new[k : k + 1000])
-            for i, words in plain.items():
-                out[i] = b"".join(map(self.__getitem__, words))
-            for i in other:
-                out[i] = self.encode(texts[i])
+        out, plain, size = [b""] * len(texts), {}, 0
+
+        def flush():
+            for i, ids in zip(plain, self.plain(list(plain.values())), strict=True):
+                out[i] = ids
+            plain.clear()
+
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if not PLAIN.fullmatch(t) or "<|" in t:
+                out[i] = self.encode([t])[0].tobytes()
+                continue
+            plain[i] = t.lower().encode()
+            size += len(plain[i])
+            if size >= TOGETHER:
+                flush()
+                size = 0
+        flush()
         return out
 
 
