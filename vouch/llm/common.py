@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vouch.session import shared_folder, ship
 
+#: Rows of a batch that are taken apart in Python at once.
+SMALL = 1024
 #: Ids that are broadcast, at most: 16 MB.
 FEW_IDS = 1 << 20
 
@@ -51,3 +56,15 @@ def among(df: DataFrame, key: str, ids: DataFrame, out: bool = False) -> DataFra
     if ids.limit(FEW_IDS + 1).count() <= FEW_IDS:
         ids = F.broadcast(ids)
     return df.join(ids, F.col(f"`{key}`") == F.col(other), "left_anti" if out else "left_semi")
+
+
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most SMALL rows, so that few of their texts are Python objects at a time."""
+    for batch in batches:
+        for begin in range(0, max(1, batch.num_rows), SMALL):
+            yield batch.slice(begin, SMALL)
+
+
+def ddl(df: DataFrame) -> str:
+    """The schema of df as text, whatever the names of its columns."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)

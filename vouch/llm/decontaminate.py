@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import table, written
+from vouch.llm.common import ddl, small, table, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score from which it is retrieved, and of its words from which it is confirmed; words in a row that tie it to a place.
@@ -307,7 +307,7 @@ def against(docs: DataFrame, items: list[tuple[int, str]], threshold: float, cou
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value)
         chunks = Chunks(index)
-        for batch in batches:
+        for batch in small(batches):
             ids, texts = (c.to_pylist() for c in batch.columns)
             rows = [
                 (d, index.items[i][0], s, q, a)
@@ -325,7 +325,7 @@ def against(docs: DataFrame, items: list[tuple[int, str]], threshold: float, cou
 
 def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    schema = ddl(docs)
     where = docs.columns.index("text")
     for own, counted in shards(items):
         shared = docs.sparkSession.sparkContext.broadcast((own, threshold, counted))
@@ -333,7 +333,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(*shared.value)
             chunks = Chunks(index)
-            for batch in batches:
+            for batch in small(batches):
                 found = matches(batch.column(where).to_pylist(), index, chunks)
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 

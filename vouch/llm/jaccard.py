@@ -85,7 +85,7 @@ CHANCE, SHARED, SHORT, PAIR, WIDTHS = 1e-3, 0.25, 10, 4.0, (1, 2, 3)
 BITS = 1024
 LONGS = BITS // 64
 #: Bytes of text hashed together; bytes and documents whose signatures are brought together in a task.
-PIECE, SLICE, SLICE_DOCS = 1 << 17, 1 << 23, 2048
+PIECE, SLICE, SLICE_DOCS = 1 << 17, 1 << 21, 1024
 #: Times that sets outside their group's largest class try one more set of it, before all are compared.
 TURNS = 1
 #: Edges that one task joins into classes, at most.

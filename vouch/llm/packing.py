@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouch.llm.common import table, written
+from vouch.llm.common import small, table, written
 from vouch.llm.jaccard import SPACE, words_of
 
 WINDOW, GRAIN, END = 4096, 256, 2
@@ -188,7 +188,7 @@ def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
         lookup, part, places = tokens(path), TaskContext.get().partitionId(), {}
         tail = np.array([end], lookup.type).tobytes()
         width = lookup.type.itemsize
-        for batch in batches:
+        for batch in small(batches):
             ids = [x + tail for x in lookup.of(batch.column(2).to_pylist())]
             local = []
             for source, x in zip(batch.column(1).to_pylist(), ids, strict=True):
@@ -310,7 +310,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
     placed = placed.select("doc_id", "source", "ids", "n_tokens", "queue", (F.col("base") + F.col("local")).alias("begin"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             if not batch.num_rows:
                 continue
             doc, source, ids, n, queue, begin = (c.to_pylist() for c in batch.columns)
