@@ -1,8 +1,8 @@
 """Quality classification by co-training two views of a document.
 
 The content view sees words: which occur, how often words repeat, how many are
-odd in form. The metadata view sees the page around them: source, declared
-language, length, lines and layout. Both are logistic models, fitted on a
+odd in form. The metadata view sees the page around them and no word: source,
+declared language, length, lines and their length. Both are logistic models, fitted on a
 sample of labelled documents. Over ROUNDS rounds each view labels the
 unlabelled documents of a pool that it is surest of, and hands them to the
 other view as further training rows. Then each view's output is calibrated on
@@ -16,7 +16,9 @@ The driver fits on at most about TRAIN labelled and POOL unlabelled documents
 (both expectations, drawn by a hash of the id) of a few hundred numbers each;
 scoring covers all documents, whole. Null texts are scored as empty; null
 metadata is a value of its own. With no labels, or labels of one kind, nothing
-is rejected and every score is 1.
+is rejected and every score is 1; an empty table gives no row. Rows that repeat
+are scored each on its own, and equal rows alike; further columns are not looked
+at, whatever their names. A very long text needs memory for its own words.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import fold, table
+from vouch.llm.common import ddl, fold, small, table
 
 TRAIN, POOL, ROUNDS = 8_000, 4_000, 3
 #: Share of labelled rows kept for calibration, and of the pool that a view may label in a round.
@@ -71,7 +73,7 @@ def features(text: str | None, n_chars: int | None, chunks: Chunks) -> tuple[np.
     odd, upper = float((form >= 2).sum()) / n, float((form & 1).sum()) / n
     lines, size = text.count("\n") + 1, len(text)
     content = [repeated, len(once) / n, odd, upper, math.log1p(len(split)), size / n / 10]
-    page = [math.log1p(n_chars if n_chars is not None and n_chars >= 0 else size), math.log1p(lines), math.log1p(size / lines), upper, odd, len(split) / max(1, size)]
+    page = [math.log1p(n_chars if n_chars is not None and n_chars >= 0 else size), math.log1p(lines), math.log1p(size / lines)]
     return once, content, page
 
 
@@ -80,7 +82,7 @@ def extract(docs: DataFrame) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks()
-        for batch in batches:
+        for batch in small(batches):
             got = [features(t, n, chunks) for t, n in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True)]
             lists = pa.list_(pa.float64())
             yield pa.RecordBatch.from_arrays(
@@ -215,11 +217,12 @@ def fit(docs: DataFrame, labels: DataFrame, train: int = TRAIN, pool: int = POOL
     n_labels, n_docs = labels.count(), docs.count()
     drawn = lambda c, n, of, salt: F.pmod(fold(c, salt), F.lit(1 << 30)) < F.lit(math.ceil(min(1.0, n / max(1, of)) * (1 << 30)))
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = docs.select(*columns)
     some = labels.where(drawn(F.col("l_id"), train, n_labels, 1))
     labelled = docs.where(drawn(F.col("doc_id"), train, n_labels, 1)).join(some, F.col("doc_id") == F.col("l_id")).select(*columns, "bad")
     rest = docs.where(drawn(F.col("doc_id"), pool, n_docs, 2)).join(labels, F.col("doc_id") == F.col("l_id"), "left_anti")
     rows = extract(labelled).unionByName(extract(rest.withColumn("bad", F.lit(None).cast("int"))))
-    return CoTrained(rows.toArrow().sort_by("doc_id"))
+    return CoTrained(rows.toArrow().sort_by([(c, "ascending") for c in ("doc_id", "bad", "lang", "source")]))
 
 
 def score(docs: DataFrame, model: CoTrained, keep: bool = False) -> DataFrame:
@@ -230,7 +233,7 @@ def score(docs: DataFrame, model: CoTrained, keep: bool = False) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, own = Chunks(), shared.value
-        for batch in batches:
+        for batch in small(batches):
             if not batch.num_rows:
                 continue
             ids, text, lang, source, n = (batch.column(i) for i in at)
@@ -250,7 +253,7 @@ def score(docs: DataFrame, model: CoTrained, keep: bool = False) -> DataFrame:
             )
 
     if keep:
-        return docs.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+        return docs.mapInArrow(each, ddl(docs))
     return docs.mapInArrow(each, "doc_id long, quality double, p_content double, p_page double, rejected boolean")
 
 
