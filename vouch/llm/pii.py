@@ -11,8 +11,9 @@ phone (the base kinds), then url (an address with a user and password in it)
 and account (a secret or account number after a cue).
 
 A span is (kind, start, end) in code points, end exclusive. Null and empty
-texts have none. Rows that repeat are scanned each on its own; further columns
-of the input are not touched.
+texts have none, an empty table gives no row. Of spans of one kind that could
+overlap the leftmost stands. Rows that repeat are scanned each on its own;
+further columns of the input are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import table
+from vouch.llm.common import ddl, small, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "url", "account")
@@ -90,7 +91,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 for k in range(0, len(parts) - 3, 4):
                     four = parts[k : k + 4]
                     end = begin + sum(map(len, four)) + 3
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                    if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in four):
                         found.append(("ip", begin, end))
                     begin = end + 1
         elif kind == "email":
@@ -153,19 +154,18 @@ def find(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         item = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in small(batches):
             rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t)] for t in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, item)], names=[*kept, out])
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(each, f"{ddl}, `{out}` {SPANS}")
+    return docs.mapInArrow(each, f"{ddl(docs)}, `{out}` {SPANS}" if kept else f"`{out}` {SPANS}")
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """One row a document: counts of the base kinds, the digest of the base spans, and all spans."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [spans(t) for t in batch.column(1).to_pylist()]
             counts = [pa.array([sum(s[0] == k for s in f) for f in found], pa.int64()) for k in BASE]
             sha = [hashlib.sha256(shown([s for s in f if s[0] in BASE]).encode()).hexdigest() for f in found]
@@ -186,12 +186,12 @@ def redacted(docs: DataFrame) -> DataFrame:
     where = names.index("text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             columns = list(batch.columns)
             columns[where] = pa.array(list(map(redact, columns[where].to_pylist())), pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    out = docs.mapInArrow(each, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    out = docs.mapInArrow(each, ddl(docs))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 
