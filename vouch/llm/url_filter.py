@@ -8,8 +8,8 @@ block).
 
 Only prefix lengths that some rule has are expanded, so a URL yields at most
 (labels of its host) x (distinct lengths of rule paths) rows. Distinct lengths
-are the one thing taken to the driver: they are bounded by MAX_PATH, the
-longest path a rule may have.
+are the one thing taken to the driver: a number for each, however many rules
+have it, and at most as many as the longest rule has characters.
 
 Only distinct (host, path) pairs are expanded, and their verdicts are joined
 back to the rows, so a URL that repeats is looked up once. A common host only
@@ -26,9 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import table
+from vouch.llm.common import fresh, table
 
-MAX_PATH = 2048
 #: Rules up to this many are broadcast (about 100 bytes each); beyond it both sides are shuffled and the URL side is salted.
 BROADCAST_RULES = 50_000
 SALTS = 16
@@ -72,13 +71,12 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     """urls with host, path, rule and verdict.
 
     rules: verdict, host, path. Rows with a null in any of the three, with an
-    empty host, or with a path over MAX_PATH characters are refused as rules
-    and do nothing.
+    empty host, or with another verdict are refused as rules and do nothing.
     """
     spark = urls.sparkSession
     rules = rules.select(
         F.lower("verdict").alias("r_verdict"), F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")
-    ).where("r_host <> '' and length(r_path) <= 2048 and r_verdict in ('allow', 'block')")
+    ).where("r_host <> '' and r_path is not null and r_verdict in ('allow', 'block')")
     rules = (
         rules.groupBy("r_host", "r_path")
         .agg(F.max("r_verdict").alias("r_verdict"))  # block stands after allow
@@ -120,10 +118,11 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
         F.col("r_verdict").alias("verdict"),
     )
     best = joined.groupBy("host", "path").agg(F.max(size).alias("best"))
-    best = best.select(F.col("host").alias("b_host"), F.col("path").alias("b_path"), "best")
-    judged = base.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
+    h, p, b = (fresh(name, base.columns) for name in ("b_host", "b_path", "best"))
+    best = best.select(F.col("host").alias(h), F.col("path").alias(p), F.col("best").alias(b))
+    judged = base.join(best, (F.col("host") == F.col(h)) & (F.col("path") == F.col(p)), "left")
     rows = [F.col(f"`{c}`") for c in base.columns]
-    return judged.select(*rows, F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged.select(*rows, F.col(f"{b}.rule").alias("rule"), F.coalesce(F.col(f"{b}.verdict"), F.lit(default)).alias("verdict"))
 
 
 def rule_table(spark: SparkSession) -> DataFrame:
