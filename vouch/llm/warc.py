@@ -18,7 +18,10 @@ Records whose payloads are equal and have at least `least` bytes are stored
 once: the row with the smallest id is the response, the others are revisit
 records that name it (rows that repeat this id are all responses). Null
 payloads count as empty; null ids come last and are never referred to while
-another id is there. Memory is bounded by one record, not by one archive.
+another id is there. Rows that repeat are records each, further columns are not
+looked at, whatever their names, and an empty table gives no archive. Memory is
+bounded by one record, of whatever length, not by one archive, however strongly
+it is compressed.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import shared_folder, table, written
+from vouch.llm.common import fresh, shared_folder, table, written
 
 #: Payload bytes after which a task begins a new archive.
 ARCHIVE_BYTES = 256 << 20
@@ -94,12 +97,13 @@ def revisits(rows: DataFrame, key: str, payload: str, least: int = 0) -> DataFra
     the other side.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    rows = rows.withColumns({"_sha1": F.sha1(F.encode(body, "utf-8")), "_size": F.octet_length(body)})
-    groups = rows.where(F.col("_size") >= least).groupBy("_sha1", "_size").agg(F.min(key).alias("_first"), F.count("*").alias("_n"))
-    many = groups.where("_n > 1").select(F.col("_sha1").alias("_h"), F.col("_size").alias("_s"), "_first")
-    joined = rows.join(many, (F.col("_sha1") == F.col("_h")) & (F.col("_size") == F.col("_s")), "left")
-    other = F.col("_first").isNotNull() & ~F.col(key).eqNullSafe(F.col("_first"))
-    return joined.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_sha1", "_size", "_h", "_s", "_first")
+    sha1, size, h, s, first = (fresh(name, rows.columns) for name in ("_sha1", "_size", "_h", "_s", "_first"))
+    rows = rows.withColumns({sha1: F.sha1(F.encode(body, "utf-8")), size: F.octet_length(body)})
+    groups = rows.where(F.col(size) >= least).groupBy(F.col(sha1).alias(h), F.col(size).alias(s)).agg(F.min(key).alias(first), F.count("*").alias("n"))
+    many = groups.where("n > 1").select(h, s, first)
+    joined = rows.join(many, (F.col(sha1) == F.col(h)) & (F.col(size) == F.col(s)), "left")
+    other = F.col(first).isNotNull() & ~F.col(key).eqNullSafe(F.col(first))
+    return joined.withColumn("refers_to", F.when(other, F.col(first))).drop(sha1, size, h, s, first)
 
 
 class Archive:
@@ -162,20 +166,17 @@ class Records:
 
     def more(self) -> bool:
         """Append some inflated bytes to what is held; False at the end."""
-        rest = self.inflate.unused_data if self.inflate.eof else b""
         while True:
+            rest = self.inflate.unconsumed_tail
             if self.inflate.eof:
-                self.inflate = zlib.decompressobj(31)
+                rest, self.inflate = self.inflate.unused_data, zlib.decompressobj(31)
             data = rest or self.stream.read(BLOCK)
-            rest = b""
             if not data:
                 return False
-            got = self.inflate.decompress(data)
+            got = self.inflate.decompress(data, BLOCK)
             if got:
                 self.held += got
                 return True
-            if self.inflate.eof:
-                rest = self.inflate.unused_data
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
         """(headers, the whole record)"""
