@@ -16,8 +16,15 @@ SMALL = 1024
 FEW_IDS = 1 << 20
 
 
+#: The rows that Spark hands to Python at once, and how many that are where nobody has chosen.
+ROWS, UNCHOSEN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Texts may be long, so fewer rows than Spark's own number go to Python at once, unless the session says so."""
     ship(spark)
+    if spark.conf.get(ROWS) == UNCHOSEN:
+        spark.conf.set(ROWS, str(SMALL))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
