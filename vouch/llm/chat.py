@@ -14,8 +14,9 @@ character, and each backslash is doubled, so `unescape` gives every text back
 and no text can forge a turn or an attachment. A role is escaped likewise, its
 colons too. Null texts, roles and parts are empty. Turns stand in the order of
 `turn` (null first), then role, then content; a repeated row is a turn of its
-own. A conversation is one row and so must fit in one (2 GB); what is shuffled
-is each turn once, by conversation.
+own. An empty table has no conversation; further columns are not looked at,
+whatever their names. A conversation is one row and so must fit in one (2 GB);
+what is shuffled is each turn once, by conversation.
 """
 
 from __future__ import annotations
@@ -178,9 +179,23 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, escapes undone."""
-    cut = F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    return F.array_join(cut, "")
+    """The text under the loss mask, escapes undone.
+
+    Each span ends where a turn does, so the turns are split off once and the
+    spans followed beside them; no span is cut out of the whole text.
+    """
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
+
+    def step(state: Column, turn: Column) -> Column:
+        span, end = F.get(spans, state["k"]), state["at"] + F.length(turn)
+        mine = F.coalesce(span["end"] == end, F.lit(False))
+        text = unescape(F.substring(turn, (span["start"] - state["at"] + 1).cast("int"), (end - span["start"]).cast("int")))
+        return F.struct(
+            (end + len(CLOSE)).cast("long").alias("at"), (state["k"] + mine.cast("int")).alias("k"),
+            F.when(mine, F.concat(state["out"], F.array(text))).otherwise(state["out"]).alias("out"),
+        )
+
+    return F.array_join(F.aggregate(F.split(formatted, CLOSE), start, step, lambda s: s["out"]), "")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
