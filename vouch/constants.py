@@ -89,3 +89,19 @@ STATES = {
 
 EMAIL = r"(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
 PERSON_NAME = r"(?:[A-Z][a-zA-Z'’-]+\.?\s+){1,3}[A-Z][a-zA-Z'’-]+\.?"
+
+#: How relevant a contact is, the first line that fits deciding: the score, what the title must hold, what the
+#: text around must hold, and what it mustn't ("" asks for nothing). Generic mailboxes score 0, what fits no line OTHER_RANK.
+CONTACT_RANKS = [
+    (10, "", r"(?i)\b(?:animal services|animal shelter|recreation|police|fire department|library|building permits)\b", ""),
+    (25, "^(?:manager|director)$", "", r"(?i)\b(?:utility|utilities|water|gas|electric|billing|finance|information|technology)\b"),
+    (10, "media|communications|public relations|human resources|recruit|customer service", "", ""),
+    (90, "billing|information|technology|finance|general manager|utility director|utilities director|executive director|president"
+         "|chief|ceo|cfo|cio|administrator|superintendent", "", ""),
+    (55, "(?s).", "", ""),
+]
+OTHER_RANK = 25
+#: Letters that a name's word must have to count in a mailbox, and short forms of names there, each as (which
+#: word, how many letters of it, all for None).
+NAME_WORD = 3
+LOCAL_FORMS = [((0, 1), (-1, None)), ((-1, None), (0, 1)), ((0, None), (-1, 1))]

@@ -121,14 +121,12 @@ def letters(text: Column) -> Column:
 
 
 def local_matches_name(email: Column, name: Column) -> Column:
-    """Whether the part before the at-sign holds a name word of three letters, or is first initial + surname or the like."""
+    """Whether the part before the at-sign holds a word of the name, or is one of its short forms."""
     local = F.regexp_replace(F.lower(F.substring_index(F.coalesce(email, F.lit("")), "@", 1)), "[^a-z]", "")
-    parts = F.filter(letters(name), lambda w: F.length(w) >= 3)
-    first, last = F.get(parts, F.lit(0)), F.try_element_at(parts, F.lit(-1))
-    initials = F.array(
-        F.concat(F.left(first, F.lit(1)), last), F.concat(last, F.left(first, F.lit(1))), F.concat(first, F.left(last, F.lit(1)))
-    )
-    return F.exists(parts, lambda w: F.contains(local, w)) | ((F.size(parts) >= 2) & F.array_contains(initials, local))
+    parts = F.filter(letters(name), lambda w: F.length(w) >= K.NAME_WORD)
+    word = {0: F.get(parts, F.lit(0)), -1: F.try_element_at(parts, F.lit(-1))}
+    forms = F.array(*[F.concat(*[word[i] if n is None else F.left(word[i], F.lit(n)) for i, n in form]) for form in K.LOCAL_FORMS])
+    return F.exists(parts, lambda w: F.contains(local, w)) | ((F.size(parts) >= 2) & F.array_contains(forms, local))
 
 
 def same_person(found: Column, wanted: Column) -> Column:
@@ -153,29 +151,16 @@ def spelled_out(name: Column) -> Column:
 
 
 def rank_contact(title: Column, generic: Column, context: Column) -> Column:
-    """How relevant a contact's position is, 0 to 90; the first rule that fits decides."""
-    low = F.lower(F.coalesce(title, F.lit("")))
-    around = F.coalesce(context, F.lit(""))
-    has = lambda *parts: low.rlike("|".join(parts))
-    return (
-        F.when(generic, 0)
-        .when(around.rlike(r"(?i)\b(?:animal services|animal shelter|recreation|police|fire department|library|building permits)\b"), 10)
-        .when(
-            low.isin("manager", "director")
-            & ~around.rlike(r"(?i)\b(?:utility|utilities|water|gas|electric|billing|finance|information|technology)\b"),
-            25,
-        )
-        .when(has("media", "communications", "public relations", "human resources", "recruit", "customer service"), 10)
-        .when(
-            has(
-                "billing", "information", "technology", "finance", "general manager", "utility director", "utilities director",
-                "executive director", "president", "chief", "ceo", "cfo", "cio", "administrator", "superintendent",
-            ),
-            90,
-        )
-        .when(low != "", 55)
-        .otherwise(25)
-    )
+    """How relevant a contact's position is, 0 to 90, by the table of ranks."""
+    low, around = F.lower(F.coalesce(title, F.lit(""))), F.coalesce(context, F.lit(""))
+    out = F.when(generic, 0)
+    for score, said, near, without in K.CONTACT_RANKS:
+        holds = [x.rlike(p) for x, p in ((low, said), (around, near)) if p] + [~around.rlike(p) for p in (without,) if p]
+        fits = holds[0]
+        for h in holds[1:]:
+            fits = fits & h
+        out = out.when(fits, score)
+    return out.otherwise(K.OTHER_RANK)
 
 
 def window_around(text: Column, start: Column, length: Column, before: int, after: int) -> Column:

@@ -45,7 +45,10 @@ def official_posts(hits: DataFrame, accounts: DataFrame) -> DataFrame:
 
 
 def near(page: Column, variant: Column, email: Column, before: int = 150, after: int = 600) -> Column:
-    """Whether an address stands around some literal place of a spelling: pieces between places give all windows."""
+    """Whether an address stands around some literal place of a spelling: pieces between places give all windows.
+
+    A spelling has three characters or more, so after // 3 + 2 pieces are as long as the window behind.
+    """
     low = F.lower(page)
     pieces = F.split(low, F.concat(F.lit(r"\Q"), variant, F.lit(r"\E")))
     return F.exists(
@@ -53,7 +56,7 @@ def near(page: Column, variant: Column, email: Column, before: int = 150, after:
         lambda i: F.contains(
             F.concat(
                 F.right(F.get(pieces, i - 1), F.lit(before)), variant,
-                F.left(F.call_function("array_join", F.slice(pieces, i + 1, F.size(pieces)), variant), F.lit(after)),
+                F.left(F.call_function("array_join", F.slice(pieces, i + 1, F.lit(after // 3 + 2)), variant), F.lit(after)),
             ), email,
         ),
     ) & (F.size(pieces) > 1)

@@ -146,8 +146,12 @@ BLOCK = pa.struct([("text", pa.string()), ("links", pa.list_(pa.string()))])
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """One row for each distinct url of pages (url, html): text, links, branding, blocks, people (JSON)."""
-    once = pages.select("url", "html").where(F.col("url").isNotNull()).dropDuplicates(["url"])
+    """One row for each distinct url of pages (url, html): text, links, branding, blocks, people (JSON).
+
+    Of a url's pages that with the smallest page_id counts, without page_ids that with the smallest html.
+    """
+    first = F.min_by("html", "page_id") if "page_id" in pages.columns else F.min("html")
+    once = pages.where(F.col("url").isNotNull()).groupBy("url").agg(first.alias("html"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -370,10 +370,9 @@ select record_id, email, name, case when ends_with(email, '@mail1.example.com')
   case when ends_with(email, '@mail1.example.com') or ends_with(email, '.mail1.example.com') then 'supported' else 'review' end as identity_status from f"""
 
 
-def fact_pages(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
-    """Pages with a statement behind their text, or, for the SQL twins, behind its first 200 characters alone."""
+def fact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a statement behind their whole text."""
     p = V.pages(spark, sf_dir)
-    text = F.col("text") if whole else F.substring("text", 1, 200)
     k = F.length("title") % 6
     said = (
         F.when(k == 0, F.concat(lit(" An electric cooperative with "), F.format_number(F.col("page_id") * 37 + 100, 0), lit(" customers. ")))
@@ -381,19 +380,19 @@ def fact_pages(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFram
         .when(k == 3, lit(" Our billing system is Cogs Blue. Water. ")).otherwise(lit(" "))
     )
     kind = F.when(F.length("domain") % 2 == 0, "Association").otherwise("ICP")
-    return p.select(F.col("domain").alias("record_id"), kind.alias("record_type"), F.col("page_id").alias("pos"), "url", F.concat(text, said).alias("text"))
+    return p.select(F.col("domain").alias("record_id"), kind.alias("record_type"), F.col("page_id").alias("pos"), "url", F.concat("text", said).alias("text"))
 
 
 FACT_PAGES_SQL = f"""{V.PAGES_SQL},
 v_fact_pages as (select domain as record_id, case when length(domain) % 2 = 0 then 'Association' else 'ICP' end as record_type, page_id as pos, url,
-  substr(text, 1, 200) || case length(title) % 6 when 0 then ' An electric cooperative with ' || format('{{:,}}', page_id * 37 + 100) || ' customers. '
+  text || case length(title) % 6 when 0 then ' An electric cooperative with ' || format('{{:,}}', page_id * 37 + 100) || ' customers. '
     when 1 then ' Dues for systems under 500 meters. Natural gas. ' when 2 then ' Our trade association has 730 members and a member directory. '
     when 3 then ' Our billing system is Cogs Blue. Water. ' else ' ' end as text from v_pages)"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X6 on the beginnings of pages, as its SQL twin has it; `page_facts` reads whole pages."""
-    return O.classify_facts(fact_pages(spark, sf_dir, whole=False))
+    """The first statement of each fact on each domain's pages, with its quote."""
+    return O.classify_facts(fact_pages(spark, sf_dir))
 
 
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -415,8 +414,8 @@ select record_id, field, value, source_url, quote from every qualify row_number(
 
 
 def fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X7 on the beginnings of pages, as its SQL twin has it; `page_fit` reads whole pages."""
-    rows = fact_pages(spark, sf_dir, whole=False)
+    """Whether each domain is in scope."""
+    rows = fact_pages(spark, sf_dir)
     return O.fit_decision(rows, O.classify_facts(rows)).select("record_id", "value")
 
 

@@ -20,10 +20,14 @@ def check_org_rows(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     missing = {"record_id", "organization_name"} - set(rows.columns)
     if missing:
         raise ValueError(f"columns missing: {', '.join(sorted(missing))}")
-    seen = F.count("*").over(Window.partitionBy("record_id"))
-    why = F.when(~F.coalesce(F.col("record_id").rlike(RECORD_ID), F.lit(False)), "unsafe record_id").when(F.col("_n") > 1, "repeated record_id")
-    told = rows.withColumn("_n", seen).withColumn("reason", why).drop("_n")
-    return told.where("reason is null").drop("reason"), told.where("reason is not null")
+    safe = F.coalesce(F.col("record_id").rlike(RECORD_ID), F.lit(False))
+    # Ids are counted before they are joined, and unsafe ones (blank ones, say) meet nobody.
+    many = rows.where(safe).groupBy(F.col("record_id").alias("_id")).agg(F.count("*").alias("_n")).where("_n > 1").select("_id")
+    told = rows.where(safe).join(many, F.col("record_id") == F.col("_id"), "left")
+    why = F.when(F.col("_id").isNotNull(), "repeated record_id")
+    told = told.withColumn("reason", why).drop("_id")
+    unsafe = rows.where(~safe).withColumn("reason", F.lit("unsafe record_id"))
+    return told.where("reason is null").drop("reason"), told.where("reason is not null").unionByName(unsafe)
 
 
 def read_org_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
