@@ -88,3 +88,22 @@ def test_shapes(spark, tokenizer):
     check(rows, texts, tokenizer, 512)
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_more_sources_than_queues(spark, tokenizer, monkeypatch):
+    """Every id once and no gap, a small source with a weight is held to it, and the table of rounds may be taken in blocks."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    texts = {i: "word " * (20 + i % 7) for i in range(300)}
+    docs = spark.createDataFrame([(i, t, f"s{i % 40}") for i, t in texts.items()] + [(999, "few " * 60, "own")], "doc_id long, text string, source string").repartition(3)
+    texts[999] = "few " * 60
+    rows = packing.pack(docs, weights={"own": 0.5, "absent": 1.0}, window=256, grain=16).collect()
+    check(rows, texts, tokenizer, 256)
+    assert min(r.sequence_id for r in rows if r.source == "own") == 0 and max(r.sequence_id for r in rows if r.source == "own") <= 2
+    with pytest.raises(ValueError, match="at most 4"):
+        packing.pack(docs, weights=dict.fromkeys("abcde", 1.0))
+    rounds = packing.Rounds(np.arange(1, 60) * 37, None, 256, 16)
+    queue = np.repeat(np.arange(59), 30)
+    place = np.minimum(np.tile(np.arange(30), 59), rounds.totals[queue] - 1)
+    whole = rounds.position(queue, place)
+    monkeypatch.setattr(packing, "CELLS", 100)
+    assert np.array_equal(whole, rounds.position(queue, place))

@@ -20,11 +20,15 @@ the queue) to the shared folder; (2) sum tokens by task and source, and turn
 these sums into each task's start in each queue; (3) cut the written rows at
 grains and windows. No text or token is shuffled by source, so a source that
 holds a third of all rows is spread like any other. What the driver takes is
-the total of each queue: at most MAX_QUEUES numbers, as sources beyond the
-largest MAX_QUEUES - 1 share one queue.
+the total of each queue: at most MAX_QUEUES + TAIL numbers. Sources with a
+weight of their own and the largest others have a queue each, up to MAX_QUEUES;
+those beyond are dealt by a hash to TAIL queues, each with its own total.
 
 Null texts are empty and yield the end token alone; null sources are a queue
-of their own; repeated rows are packed each on its own.
+of their own; repeated rows are packed each on its own; an empty table gives no
+sequence. Documents of a source come in the order of tasks and rows; of sources
+with as many tokens the first by name comes first. Further columns are not
+looked at, whatever their names. A very long text needs memory for its own ids.
 """
 
 from __future__ import annotations
@@ -43,7 +47,9 @@ from vouch.llm.common import small, table, written
 from vouch.llm.jaccard import SPACE, words_of
 
 WINDOW, GRAIN, END = 4096, 256, 2
-MAX_QUEUES = 1024
+MAX_QUEUES, TAIL = 1024, 64
+#: Numbers of a table of rounds and queues that are held at once.
+CELLS = 1 << 20
 #: Credits are whole numbers of 1/UNIT tokens a round.
 UNIT = 1 << 12
 TOKENIZER = "word_bpe_49k.json"
@@ -239,10 +245,17 @@ class Rounds:
         queue, place = np.asarray(queue, np.int64), np.asarray(place, np.int64)
         turn = self.round_of(queue, place)
         rounds, at = np.unique(turn, return_inverse=True)
-        before, after = self.served(rounds - 1), self.served(rounds)
-        earlier = np.cumsum(after - before, axis=1) - (after - before)  # queues served before it in the round
-        start = before.sum(axis=1)
-        return start[at] + earlier[at, queue] + place - before[at, queue]
+        order, out = np.argsort(at, kind="stable"), np.empty(len(queue), np.int64)
+        step = max(1, CELLS // len(self.totals))
+        for begin in range(0, len(rounds), step):
+            some = rounds[begin : begin + step]
+            before, after = self.served(some - 1), self.served(some)
+            earlier = np.cumsum(after - before, axis=1) - (after - before)  # queues served before it in the round
+            start = before.sum(axis=1)
+            rows = order[slice(*np.searchsorted(at[order], [begin, begin + step]))]
+            row, own = at[rows] - begin, queue[rows]
+            out[rows] = start[row] + earlier[row, own] + place[rows] - before[row, own]
+        return out
 
     def pieces(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(row, start, length, window, offset) of the pieces that rows are cut into.
@@ -277,31 +290,34 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
     ids are little-endian unsigned 32-bit; without with_ids only their CRC-32
     is returned.
 
-    weights: target token shares by source, in proportion; sources that it
-    doesn't name keep their share of the tokens. By default all do.
+    weights: target token shares by source, in proportion, of at most
+    MAX_QUEUES sources; sources that it doesn't name keep their share of the
+    tokens. By default all do.
     """
+    weights = weights or {}
+    if len(weights) > MAX_QUEUES:
+        raise ValueError(f"at most {MAX_QUEUES} sources may have a weight")
     rows = written(tokenise(docs, path, end), "tokens")
     sums = rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
     sums = written(sums, "token-sums")
 
-    largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.col("source").asc_nulls_first())
+    wanted = F.lit(False) if not weights else F.coalesce(F.col("source").isin([s for s in weights if s is not None]), F.lit(None in weights))
+    largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(wanted.desc(), F.desc("n"), F.col("source").asc_nulls_first())
     named = [r.source for r in largest.limit(MAX_QUEUES).collect()]
-    if len(named) == MAX_QUEUES:
-        named.pop()  # the last queue is of all the others
     numbers = docs.sparkSession.createDataFrame(
         [(s, i) for i, s in enumerate(named)], "queue_source string, queue int"
     )
     sums = sums.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("queue_source")), "left")
-    sums = sums.select("source", "part", "n", F.coalesce("queue", F.lit(len(named))).alias("queue"))
+    sums = sums.select("source", "part", "n", F.coalesce("queue", F.lit(len(named)) + F.pmod(F.xxhash64("source"), F.lit(TAIL)).cast("int")).alias("queue"))
     order = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_first())
     starts = sums.withColumn("base", F.sum("n").over(order) - F.col("n"))
     starts = written(starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", "base", "n"), "token-starts")
 
-    totals = np.zeros(max(1, len(named) + 1), np.int64)
+    totals = np.zeros(len(named) + TAIL, np.int64)
     for r in starts.groupBy("queue").agg(F.sum("n").alias("n")).collect():
         totals[r.queue] = r.n
     share = totals.astype(float)
-    for s, w in (weights or {}).items():
+    for s, w in weights.items():
         if s in named:
             share[named.index(s)] = w * totals.sum()
     rounds = Rounds(totals, share, window, grain)
