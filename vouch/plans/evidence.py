@@ -215,6 +215,10 @@ def best_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.best_contacts(merged_cards(spark, sf_dir)).select("record_id", "email", "name", "title", "relevance_score")
 
 
+BEST_SQL = f"""{CARDS_SQL.rsplit("select record_id, email", 1)[0]} select record_id, email, name, title, r as relevance_score from f
+where name <> '' and st = 'supported' and r >= 50 qualify row_number() over (partition by record_id order by r desc, url, email) = 1"""
+
+
 def contact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, contact_name, company_domain, url, html, text: each person's hits, with a card of theirs or with their first name and address alone."""
     hits = gather_hits(V.people(spark, sf_dir), V.pages(spark, sf_dir)).where(F.col("name").rlike("^[A-Za-z]{3,} [A-Za-z]{3,}$"))
@@ -289,6 +293,45 @@ def listing_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.first_listing_hits(listing_rows(spark, sf_dir)).select("record_id", "hit", "source_url")
 
 
+LISTING_SQL = f"""with {V.PAGES_SQL}, {V.PEOPLE_SQL}
+select domain as record_id, page_id as hit, 'https://list.example.org/' || page_id as source_url from v_pages join v_people on company_domain = domain
+qualify row_number() over (partition by domain order by page_id) <= 6"""
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts named after each page, of accounts that their site lists or doesn't, with the account's authority."""
+    p = V.pages(spark, sf_dir)
+    handle, slug = F.replace("domain", lit("."), lit("_")), F.regexp_replace(F.lower("name"), "[^a-z]+", "-")
+    linked = lambda who: F.concat(lit("https://www.linkedin.com/posts/"), who, lit("_"), slug, lit("-activity"))
+    url = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(lit("https://www.facebook.com/"), handle, lit("/posts/"), F.col("page_id").cast("string")))
+        .when(F.col("page_id") % 4 == 1, linked(F.concat(lit("unlisted_"), handle))).otherwise(linked(handle))
+    )
+    hits = p.select(F.col("page_id").alias("hit_id"), url.alias("url"), F.col("host").alias("company_domain"))
+    kinds = F.posexplode(T.literals(["linkedin", "facebook"])).alias("list_order", "platform")
+    proof = F.concat(lit("https://"), "domain", lit("/about")).alias("proof_url")
+    accounts = p.select("domain").distinct().select("domain", handle.alias("handle"), proof, kinds)
+    return I.official_posts(hits, accounts).select("hit_id", "authority_url", "authority_domain")
+
+
+POSTS_SQL = f"""with {V.PAGES_SQL}
+select page_id as hit_id, 'https://' || domain || '/about' as authority_url, domain as authority_domain from v_pages where page_id % 4 <> 1"""
+
+
+def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile pages of each person's hits that are read; reserved paths are no profiles."""
+    p, people = V.pages(spark, sf_dir), V.people(spark, sf_dir)
+    user = F.when(F.col("page_id") % 5 == 0, "topics").otherwise(F.concat(lit("u"), F.col("page_id").cast("string")))
+    rows = p.select("domain", "page_id", F.concat(lit("https://github.com/"), user).alias("url")).join(people, F.col("domain") == F.col("company_domain"))
+    hits = rows.select("request_id", "url", lit(2).alias("source_order"), (F.col("page_id") % 3).alias("query_pos"), F.col("page_id").alias("rank"))
+    return H.chosen_profiles(hits).select("request_id", "url")
+
+
+PROFILE_CHOICE_SQL = f"""with {V.PAGES_SQL}, {V.PEOPLE_SQL}
+select request_id, 'https://github.com/u' || page_id as url from v_pages join v_people on company_domain = domain where page_id % 5 <> 0
+qualify row_number() over (partition by request_id order by page_id % 3, page_id) <= 2"""
+
+
 def organization_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of each organization with excerpts, its pages before its listings."""
     own = V.pages(spark, sf_dir).select(F.col("domain").alias("record_id"), F.col("page_id").alias("pos"), "url", "text")
@@ -339,12 +382,14 @@ QUERIES = {
     # Misspelled words, spans of capitalized words and nested blocks are beyond SQL; tests hold these against literal rows.
     "website_choice": (website_choice, None),
     "contacts_found": (contacts_found, None),
-    "best_contact": (best_cards, None),
+    "best_contact": (best_cards, BEST_SQL),
+    "official_posts": (posts, POSTS_SQL),
+    "profile_choice": (profile_choice, PROFILE_CHOICE_SQL),
     "named_contacts": (named_lookup, None),
     "company_contacts": (company_lookup, None),
     "leaders": (leader_lookup, None),
     "leader_contacts": (leader_addresses, None),
-    "listing_hits": (listing_hits, None),
+    "listing_hits": (listing_hits, LISTING_SQL),
     "organization_evidence": (organization_evidence, None),
     "listing_consensus": (listings, None),
     "page_blocks": (blocks, None),
