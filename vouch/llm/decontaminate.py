@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import ddl, small, table, written
+from vouch.llm.common import ddl, small, table, tidy, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own BM25 score from which it is retrieved, and of its words from which it is confirmed; words in a row that tie it to a place.
@@ -319,7 +319,7 @@ def against(docs: DataFrame, items: list[tuple[int, str]], threshold: float, cou
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
     return docs.select("doc_id", "text").mapInArrow(
-        each, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+        tidy(each), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     )
 
 
@@ -337,7 +337,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 found = matches(batch.column(where).to_pylist(), index, chunks)
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-        docs = docs.mapInArrow(each, schema)
+        docs = docs.mapInArrow(tidy(each), schema)
     return docs
 
 

@@ -70,7 +70,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouch.llm.common import among, fresh, table, written
+from vouch.llm.common import among, fresh, table, tidy, written
 
 #: Similarity as a fraction, and words of a shingle, of the registered query.
 SIMILARITY, WORDS = (85, 100), 4
@@ -347,7 +347,7 @@ def sets(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
             for r in runs(batch.column(1), SLICE):
                 yield signed(batch.slice(r.start, r.stop - r.start), n, bands, seen)
 
-    return docs.select("doc_id", "text").mapInArrow(each, SETS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(each), SETS)
 
 
 def signed(batch: pa.RecordBatch, n: int, bands: Bands, seen: set[int]) -> pa.RecordBatch:
@@ -359,7 +359,7 @@ def signed(batch: pa.RecordBatch, n: int, bands: Bands, seen: set[int]) -> pa.Re
     for k, node in enumerate(nodes):
         if node is not None and node not in seen:
             first[k] = True
-            if len(seen) < 500_000:
+            if len(seen) < 200_000:
                 seen.add(node)
     new = np.flatnonzero(first)
     inside = np.repeat(cut[:-1][new] - (np.cumsum(size[new]) - size[new]), size[new]) + np.arange(size[new].sum())
@@ -424,7 +424,7 @@ def verified(pairs: DataFrame, contents: DataFrame, similarity: tuple[int, int])
                 keep.append(q * both >= p * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return met(pairs, contents).mapInArrow(each, "a long, b long")
+    return met(pairs, contents).mapInArrow(tidy(each), "a long, b long")
 
 
 def contents_of(docs: DataFrame, known: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -439,7 +439,7 @@ def contents_of(docs: DataFrame, known: DataFrame, nodes: DataFrame, n: int) ->
                 rows = [own[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(names_of(own, cut), pa.int64()), pa.array(rows, pa.binary())], names=["node", "own"])
 
-    return texts.mapInArrow(each, "node long, own binary").where("node is not null").dropDuplicates(["node"])
+    return texts.mapInArrow(tidy(each), "node long, own binary").where("node is not null").dropDuplicates(["node"])
 
 
 def links(docs: DataFrame, known: DataFrame, pairs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vouch.llm.common import small, table, written
+from vouch.llm.common import small, table, tidy, written
 from vouch.llm.jaccard import SPACE, words_of
 
 WINDOW, GRAIN, END = 4096, 256, 2
@@ -53,8 +53,8 @@ CELLS = 1 << 20
 #: Credits are whole numbers of 1/UNIT tokens a round.
 UNIT = 1 << 12
 TOKENIZER = "word_bpe_49k.json"
-#: Words kept with their ids in a Python worker, about; when full, the table starts anew.
-CACHED_WORDS = 1_500_000
+#: Words kept with their ids in a task, about; when full, the table starts anew.
+CACHED_WORDS = 1_000_000
 #: Texts of these characters alone are cut at white space and looked up word by word: for them NFC changes nothing,
 #: lower-casing looks at one character at a time, and white space means the same to Python and to the tokenizer.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-įı-ɏ]*")
@@ -63,9 +63,6 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: Bytes of texts whose words are looked up together.
 TOGETHER = 1 << 20
 
-_tokenizers: dict[str, Tokens] = {}
-
-
 class Tokens:
     """Ids of texts, by a table of the ids of white-space-separated words.
 
@@ -174,12 +171,6 @@ class Tokens:
         return out
 
 
-def tokens(path: str) -> Tokens:
-    if path not in _tokenizers:
-        _tokenizers[path] = Tokens(path)
-    return _tokenizers[path]
-
-
 def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
     """doc_id, source, ids, n_tokens, with each row's task (part) and its tokens' place in that task's queue (local).
 
@@ -191,7 +182,7 @@ def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
         path = public_tokenizers.path(TOKENIZER)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, part, places = tokens(path), TaskContext.get().partitionId(), {}
+        lookup, part, places = Tokens(path), TaskContext.get().partitionId(), {}
         tail = np.array([end], lookup.type).tobytes()
         width = lookup.type.itemsize
         for batch in small(batches):
@@ -207,7 +198,7 @@ def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
             )
 
     return docs.select("doc_id", "source", "text").mapInArrow(
-        each, "doc_id long, source string, ids binary, n_tokens long, part long, local long"
+        tidy(each), "doc_id long, source string, ids binary, n_tokens long, part long, local long"
     )
 
 
@@ -346,7 +337,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
             yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
-    return placed.mapInArrow(each, schema + ", ids binary" * with_ids)
+    return placed.mapInArrow(tidy(each), schema + ", ids binary" * with_ids)
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.llm.common import ddl, fold, small, table
+from vouch.llm.common import ddl, fold, small, table, tidy
 
 TRAIN, POOL, ROUNDS = 8_000, 4_000, 3
 #: Share of labelled rows kept for calibration, and of the pool that a view may label in a round.
@@ -91,7 +91,7 @@ def extract(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "words", "content", "page", "lang", "source", "bad"],
             )
 
-    return docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), "bad").mapInArrow(each, ROW)
+    return docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long"), "bad").mapInArrow(tidy(each), ROW)
 
 
 class Logistic:
@@ -253,8 +253,8 @@ def score(docs: DataFrame, model: CoTrained, keep: bool = False) -> DataFrame:
             )
 
     if keep:
-        return docs.mapInArrow(each, ddl(docs))
-    return docs.mapInArrow(each, "doc_id long, quality double, p_content double, p_page double, rejected boolean")
+        return docs.mapInArrow(tidy(each), ddl(docs))
+    return docs.mapInArrow(tidy(each), "doc_id long, quality double, p_content double, p_page double, rejected boolean")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
