@@ -12,6 +12,8 @@ IN_RESULT, ON_PAGE, ON_DOCUMENT = "full name in search result", "full name on co
 SHORT, ON_PROFILE = "short name linked to surname by official email", "full name on public GitHub profile"
 COMPANY, DOMAIN = "company name matches", "company domain"
 LISTED, IN_POST, EMAIL = "institution-listed social account", "full name in indexed institutional post", "exact work email publicly listed"
+OUTSIDE = "The supplied page is not on the company's domain, so it is no company evidence."
+UNREAD, NOT_NAMED = "The supplied page could not be read.", "The supplied page does not name this person."
 #: What each fact about a hit adds to its score.
 POINTS = {"in_result": 25, "on_page": 35, "on_profile": 30, "company_named": 15, "official": 20, "exact_email": 35, "has_profile": 10, "social": 35, "short": 30}
 
@@ -44,6 +46,23 @@ def official_posts(hits: DataFrame, accounts: DataFrame) -> DataFrame:
     return first.select("hit_id", F.col("a.proof_url").alias("authority_url"), "a.authority_domain")
 
 
+def supplied_sources(requests: DataFrame, pages: DataFrame) -> DataFrame:
+    """request_id, url, text and warning of each request that names a source_url.
+
+    A read page of the company's site that names the person has no warning and
+    is a hit; any other is none. pages: page_id, url, text; of pages with one
+    canonical URL the smallest id counts.
+    """
+    given = requests.where(F.coalesce("source_url", F.lit("")) != "").select("request_id", "name", "company_domain", F.col("source_url").alias("url"))
+    given = given.withColumn("own", F.coalesce(U.is_company_url(F.col("url"), F.col("company_domain")), F.lit(False)))
+    given = given.withColumn("key", F.when(F.col("own"), U.canonical_url(F.col("url"))))
+    texts = pages.select(U.canonical_url(F.col("url")).alias("key"), "page_id", "text").join(given.select("key"), "key", "left_semi")
+    rows = given.join(texts.groupBy("key").agg(F.min_by("text", "page_id").alias("text")), "key", "left")
+    named = F.coalesce(T.contains_person_name(F.col("text"), F.col("name")), F.lit(False))
+    warning = F.when(~F.col("own"), OUTSIDE).when(F.col("text").isNull(), UNREAD).when(~named, NOT_NAMED)
+    return rows.select("request_id", "url", "text", warning.alias("warning"))
+
+
 def near(page: Column, variant: Column, email: Column, before: int = 150, after: int = 600) -> Column:
     """Whether an address stands around some literal place of a spelling: pieces between places give all windows.
 
@@ -198,8 +217,8 @@ def resolve_status(requests: DataFrame, evidence: DataFrame) -> DataFrame:
     )
 
 
-def assemble_reports(requests: DataFrame, evidence: DataFrame, hits_seen: DataFrame | None = None) -> DataFrame:
-    """One report a request: its status, its evidence best first, its searches and warnings."""
+def assemble_reports(requests: DataFrame, evidence: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
+    """One report a request: its status, its evidence best first, its searches and warnings, those of supplied_sources first."""
     status = resolve_status(requests, evidence)
     items = evidence.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "hit_id", "url", "host", "title", "excerpt", "signals", "score", "category"))).alias("evidence")
@@ -207,13 +226,18 @@ def assemble_reports(requests: DataFrame, evidence: DataFrame, hits_seen: DataFr
     rows = requests.join(status, "request_id").join(items, "request_id", "left")
     unconfirmed = (F.coalesce("work_email", F.lit("")) != "") & ~F.col("email_confirmed")
     nothing = (F.col("n_evidence") == 0) & ~unconfirmed
+    if supplied is None:
+        rows = rows.withColumn("source_warning", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(supplied.select("request_id", F.col("warning").alias("source_warning")), "request_id", "left")
     warnings = F.array(
+        F.col("source_warning"),
         F.when(unconfirmed, F.lit("Work email was not publicly confirmed; mailbox ownership and deliverability are untested.")),
         F.when(nothing, F.lit("No result named this person; this does not prove the person does not exist.")),
     )
     return rows.withColumns(
         {"warnings": F.array_compact(warnings), "queries": T.query_plan(*[F.col(x) for x in ("name", "company", "company_domain", "work_email")])}
-    )
+    ).drop("source_warning")
 
 
 def pages_of_domains(pages: DataFrame, requests: DataFrame) -> DataFrame:

@@ -37,12 +37,12 @@ def person_evidence(requests: DataFrame, hits: DataFrame, accounts: DataFrame, p
     """Scored hits of person requests: one a page, the chosen pages read, posts attributed, profiles attached.
 
     requests: request_id, name, company, company_domain, work_email. hits:
-    those columns and hit_id, url, title, text, source_order, query_pos, rank.
-    Page texts are joined to the few chosen hits alone.
+    those columns and hit_id, url, title, text, source_order, query_pos, rank;
+    a supplied page has order 0, is always read and has no snippet.
     """
-    first = H.first_hits(hits.withColumn("snippet", F.substring("text", 1, 200)))
+    first = H.first_hits(hits.withColumn("snippet", F.when(F.col("source_order") == 0, "").otherwise(F.substring("text", 1, 200))))
     chosen = H.chosen_pages(first.drop("text")).select("hit_id", lit(True).alias("read"))
-    rows = first.join(chosen, "hit_id", "left").withColumn("page", F.when(F.col("read"), F.col("text")))
+    rows = first.join(chosen, "hit_id", "left").withColumn("page", F.when(F.col("read") | (F.col("source_order") == 0), F.col("text")))
     posts = I.official_posts(first.select("hit_id", "url", "company_domain"), accounts)
     rows = rows.join(posts, "hit_id", "left")
     profile = "struct<name:string,company:string,bio:string,email:string>"
@@ -55,6 +55,32 @@ def person_evidence(requests: DataFrame, hits: DataFrame, accounts: DataFrame, p
     return I.score_evidence(rows)
 
 
+def supplied_hits(supplied: DataFrame, requests: DataFrame) -> DataFrame:
+    """The hits, of order 0, of the supplied pages that have no warning."""
+    rows = supplied.where(F.col("warning").isNull()).select("request_id", "url", "text").join(requests, "request_id")
+    ident = F.concat(F.col("request_id").cast("string"), lit("-supplied"))
+    return rows.select(
+        "request_id", "name", "company", "company_domain", "work_email", lit(None).cast("long").alias("page_id"), "url",
+        F.concat(lit("Supplied page: "), "url").alias("title"), "text", lit(0).alias("source_order"), lit(0).alias("query_pos"),
+        lit(0).cast("long").alias("rank"), ident.alias("hit_id"),
+    )
+
+
+def person_reports(requests: DataFrame, pages: DataFrame, found: DataFrame, accounts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The whole person job: supplied page, site pages, search hits, listed accounts and profiles give one report a request.
+
+    requests: request_id, name, company, company_domain, work_email, source_url;
+    pages: those of views.pages; found: further search hits (request_id,
+    hit_id, url, title, text, query_pos, rank).
+    """
+    supplied = I.supplied_sources(requests, pages)
+    asked = requests.drop("source_url")
+    hits = gather_hits(asked, pages).unionByName(supplied_hits(supplied, asked))
+    more = found.join(asked, "request_id").withColumns({"page_id": lit(None).cast("long"), "source_order": lit(2)})
+    scored = person_evidence(asked, hits.unionByName(more.select(*hits.columns)), accounts, profiles)
+    return I.assemble_reports(asked, I.counted_evidence(scored), supplied)
+
+
 def inputs(spark: SparkSession, sf_dir: str):
     people = V.people(spark, sf_dir)
     pages = V.pages(spark, sf_dir)
@@ -298,20 +324,29 @@ select domain as record_id, page_id as hit, 'https://list.example.org/' || page_
 qualify row_number() over (partition by domain order by page_id) <= 6"""
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Posts named after each page, of accounts that their site lists or doesn't, with the account's authority."""
-    p = V.pages(spark, sf_dir)
+def made_posts(p: DataFrame) -> DataFrame:
+    """page_id, domain, host, name, company and the url of a post named after each page, of an account that its site lists or doesn't."""
     handle, slug = F.replace("domain", lit("."), lit("_")), F.regexp_replace(F.lower("name"), "[^a-z]+", "-")
     linked = lambda who: F.concat(lit("https://www.linkedin.com/posts/"), who, lit("_"), slug, lit("-activity"))
     url = (
         F.when(F.col("page_id") % 4 == 0, F.concat(lit("https://www.facebook.com/"), handle, lit("/posts/"), F.col("page_id").cast("string")))
         .when(F.col("page_id") % 4 == 1, linked(F.concat(lit("unlisted_"), handle))).otherwise(linked(handle))
     )
-    hits = p.select(F.col("page_id").alias("hit_id"), url.alias("url"), F.col("host").alias("company_domain"))
+    return p.select("page_id", "domain", "host", "name", "company", url.alias("url"))
+
+
+def made_accounts(p: DataFrame) -> DataFrame:
+    """The accounts that each site lists."""
     kinds = F.posexplode(T.literals(["linkedin", "facebook"])).alias("list_order", "platform")
     proof = F.concat(lit("https://"), "domain", lit("/about")).alias("proof_url")
-    accounts = p.select("domain").distinct().select("domain", handle.alias("handle"), proof, kinds)
-    return I.official_posts(hits, accounts).select("hit_id", "authority_url", "authority_domain")
+    return p.select("domain").distinct().select("domain", F.replace("domain", lit("."), lit("_")).alias("handle"), proof, kinds)
+
+
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts named after each page, of accounts that their site lists or doesn't, with the account's authority."""
+    p = V.pages(spark, sf_dir)
+    hits = made_posts(p).select(F.col("page_id").alias("hit_id"), "url", F.col("host").alias("company_domain"))
+    return I.official_posts(hits, made_accounts(p)).select("hit_id", "authority_url", "authority_domain")
 
 
 POSTS_SQL = f"""with {V.PAGES_SQL}
@@ -332,6 +367,46 @@ select request_id, 'https://github.com/u' || page_id as url from v_pages join v_
 qualify row_number() over (partition by request_id order by page_id % 3, page_id) <= 2"""
 
 
+def asked_with_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Person requests, by id in turn with a page of their site, one that is not there, one elsewhere and none."""
+    kind = F.col("request_id") % 4
+    own = V.pages(spark, sf_dir).select(F.col("page_id").alias("request_id"), "url")
+    source = F.when(kind == 0, F.col("url")).when(kind == 1, F.concat(lit("https://"), "company_domain", lit("/not-there"))).when(kind == 2, "https://elsewhere.example/x")
+    return V.people(spark, sf_dir).join(own, "request_id").withColumn("source_url", source).drop("url")
+
+
+def supplied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page that comes with a request, and why it is no hit."""
+    pages = V.pages(spark, sf_dir).select("page_id", "url", "text")
+    return I.supplied_sources(asked_with_sources(spark, sf_dir), pages).select("request_id", "url", "warning")
+
+
+SUPPLIED_SQL = f"""with {V.PAGES_SQL}, {V.PEOPLE_SQL},
+c as (select *, 'https://' || host || regexp_replace(path, '/+$', '') as canonical from v_pages),
+k as (select canonical, arg_min(text, page_id) as text from c group by canonical),
+q as (select r.request_id, r.name, c.canonical, case r.request_id % 4 when 0 then c.url when 1 then 'https://' || r.company_domain || '/not-there' when 2 then 'https://elsewhere.example/x' end as url
+  from v_people r join c on c.page_id = r.request_id)
+select q.request_id, q.url, case q.request_id % 4 when 2 then '{I.OUTSIDE.replace("'", "''")}' when 1 then '{I.UNREAD}'
+  when 0 then (case when {V.sql_person("k.text", "q.name")} then null else '{I.NOT_NAMED}' end) end as warning
+from q join k using (canonical) where q.url is not null"""
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A4 over the whole job: supplied pages, posts of listed accounts and public profiles beside the pages of a site."""
+    p, asked = V.pages(spark, sf_dir), asked_with_sources(spark, sf_dir)
+    who = asked.select("request_id", F.col("company_domain").alias("_domain"))
+    said = F.concat_ws(" of ", "name", "company")
+    account = F.concat(lit("https://github.com/u"), F.col("page_id").cast("string"))
+    rows = made_posts(p).withColumn("url", F.explode(F.array("url", account)))
+    found = rows.join(who, F.col("domain") == F.col("_domain")).select(
+        "request_id", F.concat_ws("-", F.col("request_id").cast("string"), "url").alias("hit_id"), "url", F.col("name").alias("title"), said.alias("text"),
+        (F.col("page_id") % 3).cast("int").alias("query_pos"), F.col("page_id").alias("rank"),
+    )
+    profiles = p.select(account.alias("url"), "name", "company", lit(None).cast("string").alias("bio"), lit(None).cast("string").alias("email"))
+    made = person_reports(asked, p, found, made_accounts(p), profiles)
+    return made.select("request_id", "status", "best_score", "n_evidence", "warnings", F.transform("evidence", lambda e: e["url"]).alias("urls"))
+
+
 def organization_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sources of each organization with excerpts, its pages before its listings."""
     own = V.pages(spark, sf_dir).select(F.col("domain").alias("record_id"), F.col("page_id").alias("pos"), "url", "text")
@@ -385,6 +460,9 @@ QUERIES = {
     "best_contact": (best_cards, BEST_SQL),
     "official_posts": (posts, POSTS_SQL),
     "profile_choice": (profile_choice, PROFILE_CHOICE_SQL),
+    "supplied_sources": (supplied, SUPPLIED_SQL),
+    # Tests hold the job against literal requests.
+    "person_reports": (reports, None),
     "named_contacts": (named_lookup, None),
     "company_contacts": (company_lookup, None),
     "leaders": (leader_lookup, None),

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 
 def fresh_requests(rows: DataFrame, hours: int) -> DataFrame:
@@ -118,13 +119,26 @@ def resume(rows: DataFrame, folder: str, work, start: int | None = None, end: in
         known = own
     if known != own:
         raise ValueError("these results belong to another input or range; choose another folder")
+    add_results(rows, folder, work)
+    return spark.read.parquet(f"{folder}/results")
+
+
+def add_results(rows: DataFrame, folder: str, work) -> None:
+    """Append what work gives for the rows that have no result in the folder yet."""
     try:
-        done = spark.read.parquet(f"{folder}/results")
-        left = remaining(rows, done)
+        left = remaining(rows, rows.sparkSession.read.parquet(f"{folder}/results"))
     except Exception as error:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         left = rows
     if not left.isEmpty():
         work(left).write.mode("append").parquet(f"{folder}/results")
-    return spark.read.parquet(f"{folder}/results")
+
+
+def resume_stream(rows: DataFrame, folder: str, work) -> DataStreamWriter:
+    """Stream form of resume: every micro-batch runs work on its rows without a result; set a checkpoint and start it.
+
+    A batch that is repeated after a loss finds the results it wrote and adds
+    nothing twice. A record_id stands once in a batch, as in a CSV batch.
+    """
+    return rows.writeStream.foreachBatch(lambda batch, _: add_results(batch, folder, work))
