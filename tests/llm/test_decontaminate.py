@@ -97,3 +97,21 @@ def test_shards_do_not_change_scores(spark, monkeypatch):
     want = found()
     monkeypatch.setattr(dc, "MAX_WORDS", 100)
     assert len(list(dc.shards(items))) > 1 and found() == want and len(want) > 20
+
+
+def test_a_long_item_widens_no_passage_of_short_ones(spark):
+    """An item of thousands of words has passages of its own width; short ones keep theirs, and all scores are those of one index."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=20))) for i in range(30)]
+    rows += [(30, " ".join(rng.choices(words, k=4000))), (31, " ".join(rng.choices(words, k=200))), (32, None), (33, "!!")]
+    assert [x.stride for x in dc.indexes(rows)] == [dc.LEAST_PASSAGE, 200, 4000]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    docs = spark.createDataFrame([(i, "before all " + t + " after all") for i, t in rows[:32]], "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in dc.contaminated(docs, items).collect()}
+    assert found.keys() == {(i, i) for i in range(32)} and dc.clean(docs, items).count() == 0
+    whole = dc.Index(rows)
+    for i in range(32):
+        at = [x[0] for x in whole.items].index(i)
+        score = dict(whole.retrieve(sorted(whole.at[w] for w in set(rows[i][1].split()))))[at]
+        assert abs(found[i, i] - score) < 1e-9

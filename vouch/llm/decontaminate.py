@@ -3,8 +3,10 @@
 The test items are the indexed side: an inverted index with BM25 impacts,
 divided by each item's own full score, so that an item whose words all stand in
 a passage scores 1 there. Postings are cut into blocks with their largest
-impacts. Every document is cut into overlapping passages, wide enough that an
-item lies whole in at least one, and each passage is a query. Words so common
+impacts. Items are indexed by classes of length, so that a long item doesn't
+widen the passages that short ones are looked for in. For each class, every
+document is cut into overlapping passages, wide enough that an item lies whole
+in at least one, and each passage is a query. Words so common
 that no item draws more than half the threshold from them can't lift an item
 alone, so a first, vectorised look at the other (essential) words bounds every
 item's score in every passage; where that bound falls short nothing can be
@@ -22,7 +24,7 @@ for as a whole. An item of one sentence is all question.
 The index is bounded by the benchmark, not by the corpus. Up to MAX_WORDS words
 it is broadcast; larger benchmarks are cut into shards by item id, a pass over
 the documents each, so no index of unbounded size is sent. Scores don't depend
-on the shards: the counts behind them are taken over all items.
+on shards or classes: the counts behind them are taken over all items.
 
 Null or empty texts hold no item, and null or empty items are in no document.
 Items that repeat are each reported. Case and punctuation don't count.
@@ -48,8 +50,9 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP, SHINGLE = 0.6, 0.8, 5
 BLOCK = 64
 #: Words of one broadcast index.
-MAX_WORDS = 4_000_000
-LEAST_PASSAGE = 64
+MAX_WORDS = 1_000_000
+#: Words of the longest item of the first class, and how many times longer those of each next class may be.
+LEAST_PASSAGE, LONGER = 64, 4
 CACHED_WORDS = 300_000
 
 OTHER = bytes(4)
@@ -65,19 +68,21 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
+def totals(counts: list[Counter]) -> tuple[int, float, dict[str, int]]:
+    """How many items there are, their mean length, and the items by word."""
+    return len(counts), sum(c.total() for c in counts) / max(1, len(counts)), Counter(w for c in counts for w in c)
+
+
 class Index:
     """Postings of items by word, with block-max impacts; one copy a Python worker."""
 
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, counted: tuple[int, float, dict[str, int]] | None = None):
-        """counted: items, mean length and items by word where `items` are a shard of more."""
+        """counted: items, mean length and items by word where `items` are a part of more."""
         self.threshold = threshold
         kept = [(i, q, a) for i, t in items if t for q, a in [question_and_answer(t)] if q]
         self.items = kept
         counts = [Counter(q + a) for _, q, a in kept]
-        if counted:
-            n, mean, df = counted
-        else:
-            n, mean, df = len(kept), sum(c.total() for c in counts) / max(1, len(kept)), Counter(w for c in counts for w in c)
+        n, mean, df = counted or totals(counts)
         idf = {w: math.log(1 + (n - f + 0.5) / (f + 0.5)) for w, f in df.items()}
         lists: dict[str, list[tuple[int, float]]] = {}
         for at, c in enumerate(counts):
@@ -186,15 +191,32 @@ class Index:
         return out
 
 
+def indexes(items: list[tuple[int, str]], threshold: float = THRESHOLD, counted: tuple[int, float, dict[str, int]] | None = None) -> list[Index]:
+    """An index for each class of length that has items; what is counted is counted over all of them."""
+    classes: dict[int, list[tuple[int, str]]] = {}
+    counts = []
+    for item, text in items:
+        words = Counter(WORD.findall((text or "").lower()))
+        if words:
+            counts.append(words)
+            size, last = 0, LEAST_PASSAGE
+            while last < words.total():
+                size, last = size + 1, last * LONGER
+            classes.setdefault(size, []).append((item, text))
+    counted = counted or totals(counts)
+    return [Index(own, threshold, counted) for _, own in sorted(classes.items())]
+
+
 class Chunks(dict):
     """White-space-separated chunks to the numbers of their words in the index (+1; 0 for other words), as 32-bit."""
 
-    def __init__(self, index: Index):
+    def __init__(self, index: Index, most: int = CACHED_WORDS):
         super().__init__()
+        self.most = most
         self.numbers = {w: (k + 1).to_bytes(4, "little") for w, k in index.at.items()}
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHED_WORDS:
+        if len(self) >= self.most:
             self.clear()
         if chunk.isalnum():
             out = self.numbers.get(chunk, OTHER)
@@ -246,6 +268,20 @@ def matches(texts: list[str | None], index: Index, chunks: Chunks) -> list[list[
     return [[(item, *x) for item, x in sorted(f.items())] for f in found]
 
 
+def held_items(texts: list[str | None], indexed: list[tuple[Index, Chunks]]) -> list[list[tuple[int, float, float, float]]]:
+    """(item id, score, question overlap, answer overlap) of the items of any class that each text holds."""
+    out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
+    for index, chunks in indexed:
+        for own, found in zip(out, matches(texts, index, chunks), strict=True):
+            own += [(index.items[i][0], *x) for i, *x in found]
+    return out
+
+
+def with_chunks(items: list[tuple[int, str]], threshold: float, counted: tuple | None) -> list[tuple[Index, Chunks]]:
+    own = indexes(items, threshold, counted)
+    return [(x, Chunks(x, CACHED_WORDS // len(own))) for x in own]
+
+
 def confirm(ids: np.ndarray, a: int, b: int, index: Index, found: dict[int, tuple[float, float, float]]) -> None:
     """Retrieve items by one passage and keep those that the words around it hold."""
     retrieved = index.retrieve([w - 1 for w in np.unique(ids[a:b]).tolist() if w])
@@ -305,15 +341,10 @@ def against(docs: DataFrame, items: list[tuple[int, str]], threshold: float, cou
     shared = docs.sparkSession.sparkContext.broadcast((items, threshold, counted))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
-        chunks = Chunks(index)
+        indexed = with_chunks(*shared.value)
         for batch in small(batches):
             ids, texts = (c.to_pylist() for c in batch.columns)
-            rows = [
-                (d, index.items[i][0], s, q, a)
-                for d, found in zip(ids, matches(texts, index, chunks), strict=True)
-                for i, s, q, a in found
-            ]
+            rows = [(d, *x) for d, found in zip(ids, held_items(texts, indexed), strict=True) for x in found]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             names = ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
@@ -331,10 +362,9 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
         shared = docs.sparkSession.sparkContext.broadcast((own, threshold, counted))
 
         def each(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(*shared.value)
-            chunks = Chunks(index)
+            indexed = with_chunks(*shared.value)
             for batch in small(batches):
-                found = matches(batch.column(where).to_pylist(), index, chunks)
+                found = held_items(batch.column(where).to_pylist(), indexed)
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
         docs = docs.mapInArrow(tidy(each), schema)
