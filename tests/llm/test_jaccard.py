@@ -179,5 +179,30 @@ def test_very_long_text(spark):
     assert sorted((r.doc_id, r.component_id) for r in J.classes(docs).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
+@pytest.mark.parametrize("most", [200_000, 50, 0])
+def test_shared_signatures_are_known_in_later_slices(monkeypatch, most):
+    """Every set stands with each of its signatures, beside a set that stands with it too; a hot signature has one row a task."""
+    monkeypatch.setattr(J, "KNOWN", most)
+    bands, rows = J.Bands(), corpus(4)
+    rows += [(2000 + i, " ".join(f"h{k}" for k in range(60)) + f" tail{i}") for i in range(200)]
+    random.Random(8).shuffle(rows)
+    shared, seen, heads, all_of, want = J.Shared(), set(), {}, {}, {}
+    for at in range(0, len(rows), 20):
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows[at : at + 20]]), pa.array([t for _, t in rows[at : at + 20]])], names=["doc_id", "text"])
+        own, cut = J.hashed(batch.column(1), 4)
+        for set_, sig in zip(*J.signatures(own, cut, bands), strict=True):
+            want.setdefault(int(sig.view(np.int64)), set()).add(J.names_of(own, cut)[set_])
+        for r in J.signed(batch, 4, bands, seen, shared).to_pylist():
+            for s in r["sigs"] or []:
+                heads.setdefault(s, []).append(r["node"])
+                all_of.setdefault(s, set()).add(r["node"])
+            for s, c in zip(r["again"] or [], r["centers"] or [], strict=True):
+                assert c in heads[s]
+                all_of.setdefault(s, set()).add(r["node"])
+    assert all_of == want and len(shared.sigs) <= most
+    hot = max(want, key=lambda s: len(want[s]))
+    assert len(want[hot]) > 190 and (most < 1000 or len(heads[hot]) < 4)
+
+
 def test_query(twin):
     twin(J, "op1_jaccard")

@@ -45,8 +45,9 @@ left out, so the classes are exact.
 Documents with equal sets are one from the start (a set is named by its hash),
 and a set is indexed once a task, however often it occurs there. Within a slice
 of a task the sets of a signature are brought under its first set before
-anything is shuffled, so a signature that a third of all sets have is one row a
-slice there. Copies, whatever their number, cost one short row each.
+anything is shuffled, and signatures that were shared in a slice are known in
+the slices after it, so one that a third of all sets have is about a row a task
+there. Copies, whatever their number, cost one short row each.
 
 Texts are lower-cased (A-Z), words are runs of characters other than space and
 \\x09-\\x0D. With fewer words than n the whole sequence is the one shingle. Null
@@ -86,6 +87,8 @@ BITS = 1024
 LONGS = BITS // 64
 #: Bytes of text hashed together; bytes and documents whose signatures are brought together in a task.
 PIECE, SLICE, SLICE_DOCS = 1 << 17, 1 << 21, 1024
+#: Sets, and signatures shared in a slice, that a task remembers; beyond that they cost more rows.
+KNOWN = 200_000
 #: Times that sets outside their group's largest class try one more set of it, before all are compared.
 TURNS = 1
 #: Edges that one task joins into classes, at most.
@@ -336,21 +339,45 @@ SETS = "doc_id long, n_shingles long, node long, bits array<long>, sigs array<lo
 def sets(docs: DataFrame, n: int, bands: Bands) -> DataFrame:
     """doc_id, n_shingles, and the name (node) and bitmap of each document's set, with its signatures.
 
-    A set's signatures stand at its first row in a task. In a slice, those that
-    an earlier set has too stand in `again`, beside that set in `centers`; the
-    others in `sigs`.
+    A set's signatures stand at its first row in a task. Those that an earlier
+    set of its slice has too, or that are known to be shared in an earlier slice,
+    stand in `again`, beside the first such set in `centers`; the others in `sigs`.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        shared = Shared()
         for batch in batches:
             for r in runs(batch.column(1), SLICE):
-                yield signed(batch.slice(r.start, r.stop - r.start), n, bands, seen)
+                yield signed(batch.slice(r.start, r.stop - r.start), n, bands, seen, shared)
 
     return docs.select("doc_id", "text").mapInArrow(tidy(each), SETS)
 
 
-def signed(batch: pa.RecordBatch, n: int, bands: Bands, seen: set[int]) -> pa.RecordBatch:
+class Shared:
+    """Signatures that several sets of an earlier slice of a task share, with the first of them."""
+
+    def __init__(self) -> None:
+        self.sigs, self.centers = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the signatures are known, and the set of each that is."""
+        if not len(self.sigs):
+            return np.zeros(len(sigs), bool), np.zeros(len(sigs), np.int64)
+        at = np.minimum(np.searchsorted(self.sigs, sigs), len(self.sigs) - 1)
+        return self.sigs[at] == sigs, self.centers[at]
+
+    def add(self, sigs: np.ndarray, centers: np.ndarray) -> None:
+        """More of them, none known yet; those beyond the room keep a row a slice."""
+        room = max(0, KNOWN - len(self.sigs))
+        if not room or not len(sigs):
+            return
+        sigs, centers = np.concatenate([self.sigs, sigs[:room]]), np.concatenate([self.centers, centers[:room]])
+        order = np.argsort(sigs)
+        self.sigs, self.centers = sigs[order], centers[order]
+
+
+def signed(batch: pa.RecordBatch, n: int, bands: Bands, seen: set[int], shared: Shared) -> pa.RecordBatch:
     """The rows of a slice; seen: names of sets that have had their signatures."""
     rows = batch.num_rows
     own, cut = hashed(batch.column(1), n)
@@ -359,7 +386,7 @@ def signed(batch: pa.RecordBatch, n: int, bands: Bands, seen: set[int]) -> pa.Re
     for k, node in enumerate(nodes):
         if node is not None and node not in seen:
             first[k] = True
-            if len(seen) < 200_000:
+            if len(seen) < KNOWN:
                 seen.add(node)
     new = np.flatnonzero(first)
     inside = np.repeat(cut[:-1][new] - (np.cumsum(size[new]) - size[new]), size[new]) + np.arange(size[new].sum())
@@ -369,18 +396,25 @@ def signed(batch: pa.RecordBatch, n: int, bands: Bands, seen: set[int]) -> pa.Re
     row, sig = row[order], sig[order]
     head = np.ones(len(sig), bool)
     head[1:] = sig[1:] != sig[:-1]
-    center = row[np.flatnonzero(head)[np.cumsum(head) - 1]] if len(sig) else row
     name = np.array([0 if x is None else x for x in nodes], np.int64)
+    group = np.cumsum(head) - 1
+    known, center = shared.of(sig)
+    center = np.where(known, center, name[row[np.flatnonzero(head)[group]]])
+    head &= ~known
+    more = ~head & (name[row] != center)
+    several = np.zeros(len(sig), bool)
+    several[group[more & ~known]] = True
+    new_shared = head & several[group]
+    shared.add(sig[new_shared], center[new_shared])
 
     def lists(keep: np.ndarray, values: np.ndarray) -> pa.Array:
         of = row[keep]
         cuts = pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=rows))]), pa.int32())
         return pa.ListArray.from_arrays(cuts, pa.array(values[keep][np.argsort(of, kind="stable")]), mask=pa.array(~first))
 
-    more = ~head & (row != center)
     bits = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * LONGS, pa.int32()), pa.array(bitmaps(own, cut).ravel()))
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), pa.array(size), pa.array(nodes, pa.int64()), bits, lists(head, sig), lists(more, sig), lists(more, name[center])],
+        [batch.column(0), pa.array(size), pa.array(nodes, pa.int64()), bits, lists(head, sig), lists(more, sig), lists(more, center)],
         names=["doc_id", "n_shingles", "node", "bits", "sigs", "again", "centers"],
     )
 
@@ -389,7 +423,7 @@ def groups_of(named: DataFrame) -> DataFrame:
     """(sig, center, node): sets that share a signature, each beside the first set of its slice or of all slices."""
     inside = named.select("node", F.explode(F.arrays_zip("again", "centers")).alias("m")).select(F.col("m.again").alias("sig"), F.col("m.centers").alias("center"), "node")
     rows = named.select("node", F.explode("sigs").alias("sig"))
-    first = F.first("node").over(Window.partitionBy("sig").orderBy("node"))  # a row a slice and signature
+    first = F.first("node").over(Window.partitionBy("sig").orderBy("node"))  # about a row a task and signature
     across = rows.withColumn("center", first).where("node <> center").select("sig", "center", "node")
     return across.unionByName(inside)
 
