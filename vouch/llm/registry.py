@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vouch.llm import ann, bond, chat, decontaminate, jaccard, langid, packing, pii, quality, trie, url_filter, warc
+from vouch.llm import ann, bond, chat, decontaminate, jaccard, langid, packing, pii, quality, toxicity, trie, url_filter, warc
 
-MODULES = [jaccard, chat, warc, decontaminate, langid, quality, ann, url_filter, packing, pii, trie, bond]
+MODULES = [jaccard, chat, warc, decontaminate, langid, quality, ann, url_filter, packing, pii, trie, toxicity, bond]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
