@@ -15,9 +15,7 @@ from vouch.operators import orgs as O
 from vouch.operators import parse as P
 from vouch.operators import sites as S
 from vouch.plans import views as V
-from vouch.session import shared_folder
 from vouch.sources import tables as IO
-from vouch.streaming import incremental as R
 
 lit = F.lit
 
@@ -421,32 +419,6 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "url").join(parsed, "url").select("page_id", "pos", F.length("b.text").alias("chars"), F.size("b.links").alias("n_links"))
 
 
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Organization contacts as a resumable batch: read, selected, extracted, merged, enriched."""
-    p = V.pages(spark, sf_dir)
-    rows = p.groupBy("domain").agg(F.min_by("company", "page_id").alias("organization_name")).withColumn("record_id", F.regexp_replace("domain", r"[^A-Za-z0-9_.:-]", "-"))
-    good, _ = IO.check_org_rows(IO.suppress(rows.select("record_id", "organization_name", "domain")))
-    texts = p.join(good.select("record_id", "domain"), "domain")
-    found = C.extract_contacts(texts.select("record_id", "url", "html", "text", lit("").alias("contact_name")))
-    merged = C.merge_contacts(found, good.select("record_id", F.col("domain").alias("company_domain")))
-    best = C.best_contacts(merged)
-    facts = O.classify_facts(texts.select("record_id", lit("ICP").alias("record_type"), F.col("page_id").alias("pos"), "url", "text"))
-    counts = merged.groupBy("record_id").agg(F.count("*").alias("n_contacts"))
-
-    def work(left: DataFrame) -> DataFrame:
-        return left.join(counts, "record_id", "left").select(
-            "record_id", lit("completed").alias("status"), F.concat(lit("https://"), "domain").alias("website"), F.array().cast("array<string>").alias("warnings"),
-            F.array(F.concat(lit("https://"), "domain")).alias("sources"), F.coalesce("n_contacts", lit(0)).alias("n_contacts"), lit(0.0).alias("minutes"),
-        )
-
-    # A run that ended after some of the rows, and one that takes up the others.
-    folder = shared_folder(spark, "organization-batch")
-    R.resume(good, folder, lambda left: work(left.where(F.pmod(F.xxhash64("record_id"), lit(2)) == 0)))
-    results = R.resume(good, folder, work)
-    rows = good.select("record_id", "organization_name")
-    return IO.enriched(rows, results, best, facts).select("record_id", "organization_name", "website", "contact_candidates", "contact_email", "verification_status")
-
-
 QUERIES = {
     "person_evidence": (evidence, EVIDENCE_SQL),
     "person_status": (statuses, STATUS_SQL),
@@ -471,5 +443,4 @@ QUERIES = {
     "organization_evidence": (organization_evidence, None),
     "listing_consensus": (listings, None),
     "page_blocks": (blocks, None),
-    "organization_batch": (batch, None),
 }
