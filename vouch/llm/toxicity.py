@@ -121,32 +121,32 @@ def train(bags: Iterable[list[str]], toxic: np.ndarray, rounds: int = ROUNDS, se
     del parts, columns, number
 
     rng, n_words, n_grams = np.random.default_rng(seed), len(lengths), len(kept)
-    embeddings, softmax, constant = rng.normal(0, 0.01, (n_grams, DIM)), rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
-    theta = [embeddings, softmax, constant]
-    pace, size = [np.zeros_like(t) for t in theta], [0.0] * 3
+    embeddings = rng.normal(0, 0.01, (n_grams, DIM)).astype(np.float32)
+    softmax, constant = rng.normal(0, 0.3, (DIM, 2)), np.zeros(2)
+    pace, size = [np.zeros_like(embeddings), np.zeros_like(softmax), np.zeros_like(constant)], [0.0] * 3
     weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.5  # half-way to equal classes
     weight /= weight.sum()
 
-    def spoken() -> np.ndarray:
-        return theta[0] @ (theta[1][:, 1] - theta[1][:, 0])
-
     for step in range(1, rounds + 1):
-        said = np.add.reduceat(spoken()[of_gram], begins) / lengths
-        z = np.bincount(of_pair, share * said[of_doc], len(y)) + theta[2][1] - theta[2][0]
+        between = (softmax[:, 1] - softmax[:, 0]).astype(np.float32)
+        said = np.add.reduceat((embeddings @ between)[of_gram], begins) / lengths
+        z = np.bincount(of_pair, share * said[of_doc], len(y)) + constant[1] - constant[0]
         residual = weight * (sigmoid(z) - y)
         by_word = np.bincount(of_doc, share * residual[of_pair], n_words) / lengths
-        slope = np.bincount(of_gram, np.repeat(by_word, lengths), n_grams)
-        both = np.stack([-slope, slope], axis=1)
-        slopes = [both @ theta[1].T, theta[0].T @ both, np.array([-residual.sum(), residual.sum()])]
-        rate = RATE * min(1.0, 2 * (1 - step / (rounds + 1)))
-        for k, g in enumerate(slopes):
-            # One scale for all of a layer: the steps keep the proportions of the slopes, so rare n-grams don't learn the sample by heart.
-            pace[k] = MOMENTUM * pace[k] + (1 - MOMENTUM) * g
-            size[k] = 0.99 * size[k] + 0.01 * float((g * g).mean())
-            theta[k] = theta[k] - rate * (pace[k] / (1 - MOMENTUM**step)) / (math.sqrt(size[k] / (1 - 0.99**step)) + 1e-12)
+        slope = np.bincount(of_gram, np.repeat(by_word, lengths), n_grams).astype(np.float32)
+        classes = np.array([-1.0, 1.0])
+        slopes = [None, np.outer(slope @ embeddings, classes), classes * residual.sum()]  # of an embedding: its n-gram's slope times `between`
+        # One scale for all of a layer: the steps keep the proportions of the slopes, so rare n-grams don't learn the sample by heart.
+        squares = [float((slope * slope).mean() * (between * between).mean()), *(float((g * g).mean()) for g in slopes[1:])]
+        rate = RATE * min(1.0, 2 * (1 - step / (rounds + 1))) / (1 - MOMENTUM**step)
+        for k, theta in enumerate((embeddings, softmax, constant)):
+            size[k] = 0.99 * size[k] + 0.01 * squares[k]
+            pace[k] *= MOMENTUM
+            pace[k] += (1 - MOMENTUM) * (slopes[k] if k else np.multiply.outer(slope, between))
+            theta -= (rate / (math.sqrt(size[k] / (1 - 0.99**step)) + 1e-12)) * pace[k]
     numbers = np.zeros(1 << BITS, np.float32)
-    numbers[kept] = spoken()
-    return Classifier(numbers, float(theta[2][1] - theta[2][0]))
+    numbers[kept] = embeddings @ (softmax[:, 1] - softmax[:, 0])
+    return Classifier(numbers, float(constant[1] - constant[0]))
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
