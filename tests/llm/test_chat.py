@@ -13,7 +13,8 @@ def formatted(spark, rows):
 def test_hard_texts_come_back(spark):
     roles = ["user", "assistant", "a: b", "c\nd", "\\c", "\\n", "</turn>", None, ""]
     rows = [(1, i, roles[i % len(roles)], t) for i, t in enumerate(HARD)]
-    out = formatted(spark, rows).select(chat.read_turns(F.col("formatted")).alias("t"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "n_turns").first()
+    chats = formatted(spark, rows)
+    out = chats.join(chat.read_losses(chats), "conv_id").select(chat.read_turns(F.col("formatted")).alias("t"), "loss", "n_turns").first()
     assert [(t.role, t.text) for t in out.t] == [(r or "", t) for _, _, r, t in rows] and out.n_turns == len(rows)
     assert out.loss == "".join(t for _, _, r, t in rows if r == "assistant")
 
@@ -42,3 +43,25 @@ def test_repeats_and_empty(spark):
 
 def test_query(twin):
     twin(chat, "op2_chat_format")
+
+
+def test_long_conversations_are_linear(spark):
+    """Twice the turns, each with a text and an image, take about twice the time; numbers and spans hold to the end."""
+    import time
+
+    def took(n):
+        parts = F.array(
+            F.struct(F.lit("text").alias("type"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"), *[F.lit(None).cast(t).alias(c) for c, t in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]),
+            F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.col("id").cast("string").alias("ref"), *[F.lit(None).cast(t).alias(c) for c, t in (("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]),
+        )
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), parts.alias("parts"))
+        began = time.time()
+        chats = chat.format_chats(rows).persist()
+        one = chats.join(chat.read_losses(chats), "conv_id").select("loss", F.size("attachments").alias("a"), F.element_at("attachments", -1).alias("last"), F.size("loss_spans").alias("s"), "formatted").first()
+        assert one.a == n and one.s == n // 2 and one.last.number == n and one.last.turn == n - 1 and one.formatted.endswith(f"t{n - 1}<attachment {n} image></turn>\n")
+        assert one.loss == "".join(f"t{i}<attachment {i + 1} image>" for i in range(1, n, 2))
+        return time.time() - began
+
+    took(100)
+    took(8_000)
+    assert took(16_000) < 2.5 * took(8_000) + 1

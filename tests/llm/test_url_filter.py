@@ -33,3 +33,15 @@ def test_many_rules_take_the_shuffled_way(spark, monkeypatch):
 
 def test_query(twin):
     twin(uf, "op8_url_filter")
+
+
+def test_very_long_hosts(spark):
+    import time
+
+    pages = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "example.org/en/1"), (2, "http://" + "b" * 1_000_000 + ".com/de/x"), (3, "http://" + "." * 50_000 + "com/de/")], "page_id long, url string")
+    rules = uf.rule_table(spark)
+    uf.judge(pages.where("page_id = 3"), rules).collect()
+    began = time.time()
+    got = uf.judge(pages, rules).orderBy("page_id").select("rule", "verdict").collect()
+    assert [tuple(r) for r in got] == [("example.org/en/1", "block"), ("com/de/", "block"), ("com/de/", "block")]
+    assert time.time() - began < 15

@@ -16,12 +16,13 @@ colons too. Null texts, roles and parts are empty. Turns stand in the order of
 `turn` (null first), then role, then content; a repeated row is a turn of its
 own. An empty table has no conversation; further columns are not looked at,
 whatever their names. A conversation is one row and so must fit in one (2 GB);
-what is shuffled is each turn once, by conversation.
+what is shuffled is each turn once, by conversation. Work is linear in the turns,
+parts and characters of a conversation, however long.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vouch.llm.common import table
@@ -83,86 +84,45 @@ def format_chats(messages: DataFrame) -> DataFrame:
     assistant content in formatted, end exclusive), attachments (number, type,
     ref, turn, tokens) and expanded_tokens. Parts of an unknown type are kept
     as text.
+
+    Turns are shuffled once and sorted. Numbers of attachments and offsets of
+    spans are running sums over a conversation's parts and turns, which lie in
+    that one order; so the work is linear in turns and parts.
     """
     parts = F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>"))
-    turns = messages.select(
-        "conv_id",
-        F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts")).alias("m"),
-    )
+    turns = messages.select("conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts")).alias("m"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("m")).alias("m"))
 
-    # The visitor: parts of all turns in one row, attachments numbered, each piece of text with its turn.
-    flat = F.flatten(
-        F.transform(
-            "m", lambda m, i: F.transform(m["parts"], lambda p: F.struct(i.alias("at"), m["turn"].alias("turn"), p.alias("part")))
-        )
-    )
-    chats = chats.withColumn("attached", F.filter(flat, lambda x: is_attachment(x["part"])))
-    chats = chats.withColumn(
-        "attachments",
-        F.transform(
-            "attached",
-            lambda x, k: F.struct(
-                (k + 1).alias("number"), x["part"]["type"].alias("type"), x["part"]["ref"].alias("ref"), x["turn"].alias("turn"),
-                expanded_tokens(x["part"]).alias("tokens"),
-            ),
-        ),
+    # The visitor: a row a part, in order.
+    each = chats.select("conv_id", F.posexplode("m").alias("i", "m"))
+    each = each.select("conv_id", "i", "m.turn", "m.role", F.posexplode_outer("m.parts").alias("k", "part"))
+    in_order = Window.partitionBy("conv_id").orderBy("i", "k").rowsBetween(Window.unboundedPreceding, 0)
+    attached = F.coalesce(is_attachment(F.col("part")), F.lit(False))
+    each = each.withColumn("number", F.sum(attached.cast("int")).over(in_order).cast("int"))
+    mark = F.concat(F.lit("<attachment "), F.col("number").cast("string"), F.lit(" "), F.col("part.type"), F.lit(">"))
+    shown = F.when(attached, mark).when(F.col("part").isNotNull(), escape(F.col("part.text"))).otherwise("")
+    record = F.struct(F.col("number"), F.col("part.type").alias("type"), F.col("part.ref").alias("ref"), F.col("turn"), expanded_tokens(F.col("part")).alias("tokens"))
+    each = each.select("conv_id", "i", "role", F.struct("k", shown.alias("shown"), F.when(attached, record).alias("attachment")).alias("p"))
+
+    # A row a turn: its text, and where that begins.
+    lines = each.groupBy("conv_id", "i").agg(F.first("role").alias("role"), F.sort_array(F.collect_list("p")).alias("p"))
+    lines = lines.select(
+        "conv_id", "i", (F.col("role") == "assistant").alias("loss"), F.concat(F.lit(OPEN), escape_role(F.col("role")), F.lit(": ")).alias("head"),
+        F.array_join(F.transform("p", lambda p: p["shown"]), "").alias("body"), F.array_compact(F.transform("p", lambda p: p["attachment"])).alias("attachments"),
     )
-    # Attachments before each turn, from one running count over the turns.
-    before = F.transform(
-        "m",
-        lambda m, i: F.when(F.size("attached") == 0, F.lit(0)).otherwise(F.size(F.filter("attached", lambda x: x["at"] < i))),
-    )
-    chats = chats.withColumn("before", before)
-
-    def content(m: Column, i: Column) -> Column:
-        own = F.filter(m["parts"], is_attachment)
-
-        def shown(p: Column, k: Column) -> Column:
-            number = F.get("before", i) + F.size(F.filter(F.slice(m["parts"], 1, k), is_attachment)) + 1
-            return F.when(
-                is_attachment(p), F.concat(F.lit("<attachment "), number.cast("string"), F.lit(" "), p["type"], F.lit(">"))
-            ).otherwise(escape(p["text"]))
-
-        return F.when(F.size(own) == 0, F.array_join(F.transform(m["parts"], lambda p: escape(p["text"])), "")).otherwise(
-            F.array_join(F.transform(m["parts"], shown), "")
-        )
-
-    chats = chats.withColumn(
-        "lines",
-        F.transform(
-            "m",
-            lambda m, i: F.struct(
-                (m["role"] == "assistant").alias("loss"),
-                F.concat(F.lit(OPEN), escape_role(m["role"]), F.lit(": ")).alias("head"),
-                content(m, i).alias("body"),
-            ),
-        ),
-    )
-    return chats.select(
+    before = Window.partitionBy("conv_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    head, body = F.length("head").cast("long"), F.length("body").cast("long")
+    begin = F.coalesce(F.sum(head + body + len(CLOSE)).over(before), F.lit(0).cast("long")) + head
+    span = F.when(F.col("loss"), F.struct(begin.alias("start"), (begin + body).alias("end")))
+    lines = lines.select("conv_id", F.struct("i", F.concat("head", "body", F.lit(CLOSE)).alias("line"), span.alias("span"), "attachments").alias("t"))
+    whole = lines.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    return whole.select(
         "conv_id",
-        F.size("m").cast("long").alias("n_turns"),
-        F.array_join(F.transform("lines", lambda x: F.concat(x["head"], x["body"], F.lit(CLOSE))), "").alias("formatted"),
-        "attachments",
-        F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]).alias("expanded_tokens"),
-        F.transform("lines", lambda x: F.struct(
-            x["loss"].alias("loss"), F.length(x["head"]).alias("head"), F.length(x["body"]).alias("body"))).alias("sizes"),
-    ).withColumn("loss_spans", loss_spans(F.col("sizes"))).drop("sizes")
-
-
-def loss_spans(sizes: Column) -> Column:
-    """Spans of the assistant bodies, from the lengths of heads and bodies."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["head"]
-        end = begin + x["body"]
-        span = F.array(F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end")))
-        return F.struct(
-            (end + len(CLOSE)).cast("long").alias("at"), F.when(x["loss"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans")
-        )
-
-    return F.aggregate(sizes, start, step, lambda s: s["spans"])
+        F.size("t").cast("long").alias("n_turns"),
+        F.array_join(F.transform("t", lambda t: t["line"]), "").alias("formatted"),
+        F.flatten(F.transform("t", lambda t: t["attachments"])).alias("attachments"),
+        F.array_compact(F.transform("t", lambda t: t["span"])).alias("loss_spans"),
+    ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -178,24 +138,25 @@ def read_turns(formatted: Column) -> Column:
     )
 
 
-def read_loss(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, escapes undone.
+def read_losses(chats: DataFrame) -> DataFrame:
+    """(conv_id, loss): the text under the loss mask of chats (conv_id, formatted, loss_spans), escapes undone.
 
-    Each span ends where a turn does, so the turns are split off once and the
-    spans followed beside them; no span is cut out of the whole text.
+    Each span ends where a turn does. Turns, with their ends by a running sum,
+    and spans are put in one order, so a span's turn stands right before it.
     """
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), F.array().cast("array<string>").alias("out"))
-
-    def step(state: Column, turn: Column) -> Column:
-        span, end = F.get(spans, state["k"]), state["at"] + F.length(turn)
-        mine = F.coalesce(span["end"] == end, F.lit(False))
-        text = unescape(F.substring(turn, (span["start"] - state["at"] + 1).cast("int"), (end - span["start"]).cast("int")))
-        return F.struct(
-            (end + len(CLOSE)).cast("long").alias("at"), (state["k"] + mine.cast("int")).alias("k"),
-            F.when(mine, F.concat(state["out"], F.array(text))).otherwise(state["out"]).alias("out"),
-        )
-
-    return F.array_join(F.aggregate(F.split(formatted, CLOSE), start, step, lambda s: s["out"]), "")
+    blank = lambda kind: F.lit(None).cast(kind)
+    pieces = F.transform(F.split("formatted", CLOSE), lambda x, i: F.struct(F.lit(0).alias("kind"), i.alias("n"), x.alias("text"), blank("long").alias("start"), blank("long").alias("end")))
+    spans = F.transform("loss_spans", lambda x, i: F.struct(F.lit(1).alias("kind"), i.alias("n"), blank("string").alias("text"), x["start"].alias("start"), x["end"].alias("end")))
+    rows = chats.select("conv_id", F.explode(F.concat(pieces, spans)).alias("x")).select("conv_id", "x.*")
+    through = Window.partitionBy("conv_id").orderBy("kind", "n").rowsBetween(Window.unboundedPreceding, 0)
+    ends = F.sum(F.length("text").cast("long") + len(CLOSE)).over(through) - len(CLOSE)
+    rows = rows.withColumn("end", F.coalesce("end", ends))
+    turn = F.lag("text").over(Window.partitionBy("conv_id").orderBy("end", "kind"))
+    rows = rows.withColumn("turn", turn).where("kind = 1")
+    begin = F.col("end") - F.length("turn")
+    cut = unescape(F.substring("turn", (F.col("start") - begin + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
+    got = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("end", cut.alias("text")))).alias("t"))
+    return got.select("conv_id", F.array_join(F.transform("t", lambda t: t["text"]), "").alias("loss"))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,7 +164,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = format_chats(rows.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts")))
-    chats = chats.withColumns({"turns": read_turns(F.col("formatted")), "loss": read_loss(F.col("formatted"), F.col("loss_spans"))})
+    read = read_losses(chats).select(F.col("conv_id").alias("read_id"), "loss")
+    chats = chats.withColumn("turns", read_turns(F.col("formatted"))).join(read, F.col("conv_id").eqNullSafe(F.col("read_id")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     return chats.select(
         "conv_id",

@@ -6,10 +6,11 @@ the whole digest then confirms the match, and the longest rule wins (of two as
 long, the one whose host is longer; of one rule given with both verdicts,
 block).
 
-Only prefix lengths that some rule has are expanded, so a URL yields at most
-(labels of its host) x (distinct lengths of rule paths) rows. Distinct lengths
-are the one thing taken to the driver: a number for each, however many rules
-have it, and at most as many as the longest rule has characters.
+Only prefix lengths and label counts that some rule has are expanded, so a URL
+yields at most (distinct label counts of rule hosts) x (distinct lengths of rule
+paths) rows, however long its host is. Distinct lengths and counts are the one
+thing taken to the driver: a number for each, however many rules have it, and at
+most as many as the longest rule has characters.
 
 Only distinct (host, path) pairs are expanded, and their verdicts are joined
 back to the rows, so a URL that repeats is looked up once. A common host only
@@ -54,12 +55,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def host_suffixes(host: Column) -> Column:
-    """The host and each of its parent domains, longest first."""
-    labels = F.split(host, r"\.")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
+def host_suffixes(host: Column, counts: list[int]) -> Column:
+    """The host's last so many labels, for each of the counts that it has enough labels for."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    return F.array_compact(F.array(*[F.when(labels >= n, F.substring_index(host, ".", -n)) for n in counts]))
 
 
 def key_of(digest: Column) -> Column:
@@ -83,7 +82,10 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
         .withColumn("r_digest", F.sha2(F.concat("r_host", F.lit("\n"), "r_path"), 256))
         .withColumn("key", key_of(F.col("r_digest")))
     )
-    found = rules.agg(F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths")).first()
+    labels = F.size(F.split("r_host", r"\."))
+    found = rules.agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_set(F.length("r_path"))).alias("lengths"), F.sort_array(F.collect_set(labels)).alias("labels")
+    ).first()
 
     taken = {"host", "path", "rule", "verdict"}
     base = urls.select(*[F.col(f"`{c}`") for c in urls.columns if c not in taken])
@@ -95,7 +97,7 @@ def judge(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "a
     fitting = F.filter(lengths, lambda n: n <= F.length("path"))
     expressions = F.flatten(
         F.transform(
-            host_suffixes(F.col("host")),
+            host_suffixes(F.col("host"), found.labels),
             lambda h: F.transform(fitting, lambda n: F.struct(h.alias("h"), F.substring(F.col("path"), F.lit(1), n).alias("p"))),
         )
     )
