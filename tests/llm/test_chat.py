@@ -14,7 +14,7 @@ def test_hard_texts_come_back(spark):
     roles = ["user", "assistant", "a: b", "c\nd", "\\c", "\\n", "</turn>", None, ""]
     rows = [(1, i, roles[i % len(roles)], t) for i, t in enumerate(HARD)]
     chats = formatted(spark, rows)
-    out = chats.join(chat.read_losses(chats), "conv_id").select(chat.read_turns(F.col("formatted")).alias("t"), "loss", "n_turns").first()
+    out = chats.join(chat.read_back(chats), "conv_id").select(F.col("turns").alias("t"), "loss", "n_turns").first()
     assert [(t.role, t.text) for t in out.t] == [(r or "", t) for _, _, r, t in rows] and out.n_turns == len(rows)
     assert out.loss == "".join(t for _, _, r, t in rows if r == "assistant")
 
@@ -57,7 +57,7 @@ def test_long_conversations_are_linear(spark):
         rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), parts.alias("parts"))
         began = time.time()
         chats = chat.format_chats(rows).persist()
-        one = chats.join(chat.read_losses(chats), "conv_id").select("loss", F.size("attachments").alias("a"), F.element_at("attachments", -1).alias("last"), F.size("loss_spans").alias("s"), "formatted").first()
+        one = chats.join(chat.read_back(chats), "conv_id").select("loss", F.size("attachments").alias("a"), F.element_at("attachments", -1).alias("last"), F.size("loss_spans").alias("s"), "formatted").first()
         assert one.a == n and one.s == n // 2 and one.last.number == n and one.last.turn == n - 1 and one.formatted.endswith(f"t{n - 1}<attachment {n} image></turn>\n")
         assert one.loss == "".join(f"t{i}<attachment {i + 1} image>" for i in range(1, n, 2))
         return time.time() - began

@@ -125,38 +125,39 @@ def format_chats(messages: DataFrame) -> DataFrame:
     ).withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))
 
 
-def read_turns(formatted: Column) -> Column:
-    """The turns of a formatted conversation, as (role, text) with escapes undone."""
-    pieces = F.split(formatted, CLOSE)
-    whole = F.slice(pieces, 1, F.size(pieces) - 1)  # after the last mark stands nothing
-    return F.transform(
-        whole,
-        lambda t: F.struct(
-            unescape_role(F.regexp_extract(t, r"(?s)^### ([^:]*): ", 1)).alias("role"),
-            unescape(F.regexp_extract(t, r"(?s)^### [^:]*: (.*)$", 1)).alias("text"),
-        ),
+def read_turn(line: Column) -> Column:
+    """The (role, text) of a formatted turn without its end mark, escapes undone."""
+    return F.struct(
+        unescape_role(F.regexp_extract(line, r"(?s)^### ([^:]*): ", 1)).alias("role"),
+        unescape(F.regexp_extract(line, r"(?s)^### [^:]*: (.*)$", 1)).alias("text"),
     )
 
 
-def read_losses(chats: DataFrame) -> DataFrame:
-    """(conv_id, loss): the text under the loss mask of chats (conv_id, formatted, loss_spans), escapes undone.
+def read_back(chats: DataFrame) -> DataFrame:
+    """(conv_id, turns, loss, formatted_chars) of chats (conv_id, formatted, loss_spans), escapes undone.
 
-    Each span ends where a turn does. Turns, with their ends by a running sum,
-    and spans are put in one order, so a span's turn stands right before it.
+    turns are (role, text); loss is the text under the loss mask. Each span ends
+    where a turn does: turns, with their ends by a running sum, and spans are put
+    in one order, so a span's turn stands right before it. Conversations stay
+    where they are; nothing is shuffled for this.
     """
     blank = lambda kind: F.lit(None).cast(kind)
-    pieces = F.transform(F.split("formatted", CLOSE), lambda x, i: F.struct(F.lit(0).alias("kind"), i.alias("n"), x.alias("text"), blank("long").alias("start"), blank("long").alias("end")))
+    split = F.split("formatted", CLOSE)
+    pieces = F.transform(F.slice(split, 1, F.size(split) - 1), lambda x, i: F.struct(F.lit(0).alias("kind"), i.alias("n"), x.alias("text"), blank("long").alias("start"), blank("long").alias("end")))
     spans = F.transform("loss_spans", lambda x, i: F.struct(F.lit(1).alias("kind"), i.alias("n"), blank("string").alias("text"), x["start"].alias("start"), x["end"].alias("end")))
     rows = chats.select("conv_id", F.explode(F.concat(pieces, spans)).alias("x")).select("conv_id", "x.*")
     through = Window.partitionBy("conv_id").orderBy("kind", "n").rowsBetween(Window.unboundedPreceding, 0)
-    ends = F.sum(F.length("text").cast("long") + len(CLOSE)).over(through) - len(CLOSE)
-    rows = rows.withColumn("end", F.coalesce("end", ends))
-    turn = F.lag("text").over(Window.partitionBy("conv_id").orderBy("end", "kind"))
-    rows = rows.withColumn("turn", turn).where("kind = 1")
+    size = F.length("text").cast("long") + len(CLOSE)
+    rows = rows.withColumn("end", F.coalesce("end", F.sum(size).over(through) - len(CLOSE)))
+    rows = rows.withColumn("turn", F.lag("text").over(Window.partitionBy("conv_id").orderBy("end", "kind")))
     begin = F.col("end") - F.length("turn")
     cut = unescape(F.substring("turn", (F.col("start") - begin + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")))
-    got = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("end", cut.alias("text")))).alias("t"))
-    return got.select("conv_id", F.array_join(F.transform("t", lambda t: t["text"]), "").alias("loss"))
+    own, masked = F.col("kind") == 0, F.col("kind") == 1
+    got = rows.groupBy("conv_id").agg(
+        F.sort_array(F.collect_list(F.when(own, F.struct("n", read_turn(F.col("text")).alias("turn"))))).alias("turns"),
+        F.sort_array(F.collect_list(F.when(masked, F.struct("n", cut.alias("text"))))).alias("loss"), F.sum(size).alias("formatted_chars"),
+    )
+    return got.select("conv_id", F.transform("turns", lambda t: t["turn"]).alias("turns"), F.array_join(F.transform("loss", lambda t: t["text"]), "").alias("loss"), "formatted_chars")
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,16 +165,14 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     chats = format_chats(rows.select("conv_id", "turn", "role", text_parts(F.col("text")).alias("parts")))
-    read = read_losses(chats).select(F.col("conv_id").alias("read_id"), "loss")
-    chats = chats.withColumn("turns", read_turns(F.col("formatted"))).join(read, F.col("conv_id").eqNullSafe(F.col("read_id")), "left").withColumn("loss", F.coalesce("loss", F.lit("")))
     line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
-    return chats.select(
+    return read_back(chats).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        "formatted_chars",
     )
 
 
