@@ -102,17 +102,22 @@ def packed(rows: DataFrame) -> DataFrame:
 
 
 class Block:
-    """Rows in columns, sorted by label; float where all sums are exact in it."""
+    """Rows in columns, sorted by label, as the shortest kind of number in which all sums are exact."""
 
     def __init__(self, ids: bytes, labels: bytes, columns: bytes):
         self.ids, self.labels = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64)
-        self.real = np.frombuffer(columns, np.int32).reshape(-1, len(self.ids)).astype(np.float64)
-        self.low, self.high = self.real.min(axis=1), self.real.max(axis=1)
-        self.most = max(float(np.abs(self.low).max()), float(np.abs(self.high).max()), 1.0)
+        self.whole = np.frombuffer(columns, np.int32).reshape(-1, len(self.ids))
+        self.low, self.high = self.whole.min(axis=1), self.whole.max(axis=1)
+        self.most = max(abs(float(self.low.min())), abs(float(self.high.max())), 1.0)
+        self.kinds: dict[type, np.ndarray] = {}
 
     def columns(self, anchor: np.ndarray) -> np.ndarray:
-        """Doubles hold whole numbers up to 2^53; larger sums are made of 64-bit integers."""
-        return self.real if float(np.abs(anchor.astype(float)).sum()) * self.most < 2.0**52 else self.real.astype(np.int64)
+        """Floats hold whole numbers up to 2^24, doubles up to 2^53; larger sums are made of 64-bit integers."""
+        size = 2 * float(np.abs(anchor.astype(float)).sum()) * self.most
+        kind = np.float32 if size < 2.0**24 else np.float64 if size < 2.0**53 else np.int64
+        if kind not in self.kinds:
+            self.kinds[kind] = self.whole.astype(kind)
+        return self.kinds[kind]
 
     def own(self, label: int) -> slice:
         return slice(*np.searchsorted(self.labels, [label, label + 1]))
@@ -122,8 +127,9 @@ def scan(block: Block, anchor: np.ndarray, part: slice, fit: np.ndarray, alive)
     """Places in the block and scores of the rows that stay candidates through all columns.
 
     Candidates are at first the rows of a part of the block that `fit` marks.
-    `alive` is asked, with the least and the largest score that each candidate
-    may still have, which of them can matter.
+    `alive` is asked, from the candidates' scores so far and the least and the
+    most that the remaining columns can add, for the least and the largest
+    score so far that can matter.
     """
     columns = block.columns(anchor)[:, part]
     anchor = anchor.astype(columns.dtype)
@@ -135,7 +141,8 @@ def scan(block: Block, anchor: np.ndarray, part: slice, fit: np.ndarray, alive)
     for at in range(0, len(order), COLUMNS):
         some, after = order[at : at + COLUMNS], min(at + COLUMNS, len(order))
         score += anchor[some] @ columns[some]
-        fit[fit] = alive(score[fit] + least[after], score[fit] + largest[after])
+        low, high = alive(score[fit], least[after], largest[after])
+        fit = fit & (score >= low) & (score <= high)
         left = int(fit.sum())
         if not left or after == len(order):
             return may[fit], score[fit]
@@ -161,10 +168,10 @@ def positives_of(block: Block, anchor: np.ndarray, anchor_id: int, label: int, k
     if not fit.any():
         return block.ids[:0], block.ids[:0]
 
-    def alive(least: np.ndarray, largest: np.ndarray) -> np.ndarray:
-        bound = kth(least, k)
-        bound = floor if bound is None or (floor is not None and floor > bound) else bound
-        return np.ones(len(least), bool) if bound is None else largest >= bound
+    def alive(so_far: np.ndarray, least, most) -> tuple:
+        best = kth(so_far, k)
+        bounds = [x for x in (floor, None if best is None else best + least) if x is not None]
+        return max(bounds) - most if bounds else -np.inf, np.inf
 
     may, score = scan(block, anchor, own, fit, alive)
     best = first(block.ids[may], score, k)
@@ -183,13 +190,14 @@ def negatives_of(block: Block, anchor: np.ndarray, anchor_id: int, label: int, w
     if not fit.any() or not len(windows):
         return [(block.ids[:0], block.ids[:0])] * len(windows)
 
-    def alive(least: np.ndarray, largest: np.ndarray) -> np.ndarray:
-        bits = np.zeros(len(least), bool)
+    def alive(so_far: np.ndarray, least, most) -> tuple:
+        lows = []
         for (low, high), floor in zip(windows, floors, strict=True):
-            inside = least[(least >= low) & (largest <= high)]
-            bound = max(x for x in (low, floor, kth(inside, k)) if x is not None)
-            bits |= (largest >= bound) & (least <= high)
-        return bits
+            # Rows that end in the window whatever follows: none while what may follow is wider than the window.
+            sure = so_far[(so_far + least >= low) & (so_far + most <= high)] if most - least <= high - low else so_far[:0]
+            best = kth(sure, k)
+            lows.append(max(x for x in (low, floor, None if best is None else best + least) if x is not None))
+        return min(lows) - most, max(high for _, high in windows) - least
 
     may, score = scan(block, anchor, slice(0, len(block.ids)), fit, alive)
     ids, out = block.ids[may], []
