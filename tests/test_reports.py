@@ -90,3 +90,37 @@ def test_resume_stream(spark, tmp_path):
     run("b")  # All again without a checkpoint: every record has its result.
     assert seen == [["1", "2"], ["3"]]
     assert sorted(r.record_id for r in spark.read.parquet(f"{folder}/results").collect()) == ["1", "2", "3"]
+
+
+def test_deleting_and_purging_touch_their_days_only(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    from vouch.sources import tables as IO
+
+    path = str(tmp_path / "reports")
+    day = lambda n, hour=12: dt.datetime(2024, 3, n, hour)
+    rows = [(f"r{n}{k}", day(n, 2 * k + 1)) for n in range(1, 6) for k in range(3)]
+    IO.save_reports(spark.createDataFrame(rows, "run_id string, created_at timestamp"), path)
+    files = lambda: {d: sorted((f, os.stat(f"{path}/{d}/{f}").st_mtime_ns) for f in os.listdir(f"{path}/{d}")) for d in os.listdir(path) if d.startswith("day=")}
+    ids = lambda: sorted(r.run_id for r in spark.read.parquet(path).collect())
+    before = files()
+    IO.delete_reports(spark, path, spark.createDataFrame([("r21",), ("r40",), ("r41",), ("r42",), ("none",), ("r21",)], "run_id string"))
+    assert ids() == sorted(r for r, _ in rows if r not in ("r21", "r40", "r41", "r42"))
+    after = files()
+    assert "day=2024-03-04" not in after and all(after[f"day=2024-03-0{n}"] == before[f"day=2024-03-0{n}"] for n in (1, 3, 5))
+    IO.purge_reports(spark, path, day(3, 4) + dt.timedelta(days=30))
+    assert ids() == ["r32", "r50", "r51", "r52"] and files()["day=2024-03-05"] == before["day=2024-03-05"]
+    IO.delete_reports(spark, path, spark.createDataFrame([("none",)], "run_id string"))
+    assert ids() == ["r32", "r50", "r51", "r52"]
+
+
+def test_accounts_are_read_from_a_file(spark, tmp_path):
+    import json
+
+    from vouch.sources import tables as IO
+
+    good = {"domain": "birch.edu", "platform": "linkedin", "handle": "birch", "account_url": "https://www.linkedin.com/school/birch/", "proof_url": "https://www.birch.edu/about", "proof_note": "footer"}
+    rows = [good, good | {"platform": "other"}, good | {"proof_url": "https://elsewhere.example/x"}, good | {"handle": "oak"}, good | {"proof_url": "http://birch.edu/"}]
+    (tmp_path / "accounts.json").write_text(json.dumps(rows, indent=1))
+    assert [r.asDict() for r in IO.read_official_accounts(spark, str(tmp_path / "accounts.json")).collect()] == [good]

@@ -15,32 +15,45 @@ from vouch.operators import orgs as O
 from vouch.operators import parse as P
 from vouch.operators import sites as S
 from vouch.plans import views as V
+from vouch.session import staged
 from vouch.sources import tables as IO
 
 lit = F.lit
+#: Characters of a page that a search service shows with a hit.
+SNIPPET = 200
 
 
 def gather_hits(requests: DataFrame, pages: DataFrame, most: int = 8) -> DataFrame:
-    """Each person's hits: the pages of their domain (crawl), then the first `most` pages elsewhere titled with their name (search)."""
-    columns = ["request_id", "name", "company", "company_domain", "work_email", "page_id", "url", "title", "text"]
-    crawl = I.pages_of_domains(pages.select("page_id", "url", "title", "text"), requests).select(*columns, lit(1).alias("source_order"))
-    titled = pages.select("page_id", "url", "title", "text", F.lower("name").alias("_name"), "domain")
+    """Each person's hits: the pages of their domain (crawl), then the first `most` pages elsewhere titled with their name (search).
+
+    Hits have a snippet; the texts of pages stay where they are until it is known which are read.
+    """
+    columns = ["request_id", "name", "company", "company_domain", "work_email", "page_id", "url", "title", "snippet"]
+    pages = pages.withColumn("snippet", F.substring("text", 1, SNIPPET))
+    crawl = I.pages_of_domains(pages.select("page_id", "url", "title", "snippet"), requests).select(*columns, lit(1).alias("source_order"))
+    titled = pages.select("page_id", "url", "title", "snippet", F.lower("name").alias("_name"), "domain")
     search = requests.join(titled, (F.lower("name") == F.col("_name")) & (F.col("company_domain") != F.col("domain")))
     search = H.top(search, ["request_id"], [F.col("page_id")], most).select(*columns, lit(2).alias("source_order"))
     ident = F.concat_ws("-", F.col("request_id").cast("string"), F.col("page_id").cast("string"))
-    return crawl.unionByName(search).withColumns({"query_pos": lit(0), "rank": F.col("page_id"), "hit_id": ident})
+    return crawl.unionByName(search).withColumns({"query_pos": lit(0), "rank": F.col("page_id"), "hit_id": ident, "text": lit(None).cast("string")})
 
 
-def person_evidence(requests: DataFrame, hits: DataFrame, accounts: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+def person_evidence(requests: DataFrame, hits: DataFrame, accounts: DataFrame, profiles: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Scored hits of person requests: one a page, the chosen pages read, posts attributed, profiles attached.
 
     requests: request_id, name, company, company_domain, work_email. hits:
     those columns and hit_id, url, title, text, source_order, query_pos, rank;
-    a supplied page has order 0, is always read and has no snippet.
+    a supplied page has order 0, is always read and has no snippet. Hits may
+    have a snippet and a page_id of pages (page_id, text) instead of a text:
+    the texts of the few chosen ones are joined after the choice.
     """
-    first = H.first_hits(hits.withColumn("snippet", F.when(F.col("source_order") == 0, "").otherwise(F.substring("text", 1, 200))))
+    own = F.col("snippet") if "snippet" in hits.columns else F.substring("text", 1, SNIPPET)
+    first = staged(H.first_hits(hits.withColumn("snippet", F.when(F.col("source_order") == 0, "").otherwise(own))), "person-hits")
     chosen = H.chosen_pages(first.drop("text")).select("hit_id", lit(True).alias("read"))
     rows = first.join(chosen, "hit_id", "left").withColumn("page", F.when(F.col("read") | (F.col("source_order") == 0), F.col("text")))
+    if pages is not None:
+        texts = rows.where("read").select("hit_id", "page_id").join(pages.select(F.col("page_id").alias("_page"), F.col("text").alias("page_text")), F.col("page_id") == F.col("_page"))
+        rows = rows.join(texts.select("hit_id", "page_text"), "hit_id", "left").withColumn("page", F.coalesce("page", "page_text")).drop("page_text")
     posts = I.official_posts(first.select("hit_id", "url", "company_domain"), accounts)
     rows = rows.join(posts, "hit_id", "left")
     profile = "struct<name:string,company:string,bio:string,email:string>"
@@ -59,7 +72,7 @@ def supplied_hits(supplied: DataFrame, requests: DataFrame) -> DataFrame:
     ident = F.concat(F.col("request_id").cast("string"), lit("-supplied"))
     return rows.select(
         "request_id", "name", "company", "company_domain", "work_email", lit(None).cast("long").alias("page_id"), "url",
-        F.concat(lit("Supplied page: "), "url").alias("title"), "text", lit(0).alias("source_order"), lit(0).alias("query_pos"),
+        F.concat(lit("Supplied page: "), "url").alias("title"), lit("").alias("snippet"), "text", lit(0).alias("source_order"), lit(0).alias("query_pos"),
         lit(0).cast("long").alias("rank"), ident.alias("hit_id"),
     )
 
@@ -74,8 +87,8 @@ def person_reports(requests: DataFrame, pages: DataFrame, found: DataFrame, acco
     supplied = I.supplied_sources(requests, pages)
     asked = requests.drop("source_url")
     hits = gather_hits(asked, pages).unionByName(supplied_hits(supplied, asked))
-    more = found.join(asked, "request_id").withColumns({"page_id": lit(None).cast("long"), "source_order": lit(2)})
-    scored = person_evidence(asked, hits.unionByName(more.select(*hits.columns)), accounts, profiles)
+    more = found.join(asked, "request_id").withColumns({"page_id": lit(None).cast("long"), "source_order": lit(2), "snippet": F.substring("text", 1, SNIPPET)})
+    scored = person_evidence(asked, hits.unionByName(more.select(*hits.columns)), accounts, profiles, pages)
     return I.assemble_reports(asked, I.counted_evidence(scored), supplied)
 
 
@@ -83,20 +96,20 @@ def inputs(spark: SparkSession, sf_dir: str):
     people = V.people(spark, sf_dir)
     pages = V.pages(spark, sf_dir)
     accounts = spark.createDataFrame([], IO.ACCOUNT).withColumn("list_order", lit(0))
-    return people, gather_hits(people, pages), accounts
+    return people, gather_hits(people, pages), accounts, pages
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hit's score, category and signals."""
-    people, hits, accounts = inputs(spark, sf_dir)
-    scored = person_evidence(people, hits, accounts)
+    people, hits, accounts, pages = inputs(spark, sf_dir)
+    scored = person_evidence(people, hits, accounts, None, pages)
     return scored.select("request_id", "url", "host", "score", "category", F.array_join("signals", "|").alias("signals"))
 
 
 def statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2-A4: one conservative status for each person."""
-    people, hits, accounts = inputs(spark, sf_dir)
-    rows = I.assemble_reports(people, I.counted_evidence(person_evidence(people, hits, accounts)))
+    people, hits, accounts, pages = inputs(spark, sf_dir)
+    rows = I.assemble_reports(people, I.counted_evidence(person_evidence(people, hits, accounts, None, pages)))
     return rows.select("request_id", "status", "best_score", "n_evidence", F.size("warnings").cast("long").alias("n_warnings"), F.element_at("queries", 1).alias("query"))
 
 
@@ -245,7 +258,8 @@ where name <> '' and st = 'supported' and r >= 50 qualify row_number() over (par
 
 def contact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """record_id, contact_name, company_domain, url, html, text: each person's hits, with a card of theirs or with their first name and address alone."""
-    hits = gather_hits(V.people(spark, sf_dir), V.pages(spark, sf_dir)).where(F.col("name").rlike("^[A-Za-z]{3,} [A-Za-z]{3,}$"))
+    pages = V.pages(spark, sf_dir)
+    hits = gather_hits(V.people(spark, sf_dir), pages).drop("text").join(pages.select("page_id", "text"), "page_id").where(F.col("name").rlike("^[A-Za-z]{3,} [A-Za-z]{3,}$"))
     email = F.concat(F.lower(F.replace("name", lit(" "), lit("."))), lit("@"), "company_domain")
     card = F.concat(lit("<div><h2>"), F.initcap("name"), lit('</h2><p>Billing Director</p><a href="mailto:'), email, lit('">Email</a></div>'))
     first, last = (F.substring_index("name", " ", n) for n in (1, -1))

@@ -119,7 +119,7 @@ qualify row_number() over (partition by domain order by page_id, c) <= 5"""
 
 
 def official_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accounts with right and wrong provenance, written as one JSON array a file and read back."""
+    """Accounts with right and wrong provenance, of which the rightly proven stay."""
     p = V.pages(spark, sf_dir)
     handle = F.regexp_replace(F.substring_index("name", " ", 1), r"[^A-Za-z]", "x")
     k = F.length("title") % 4

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vouch.functions import urls as U
+from vouch.session import staged
 
 RECORD_ID = r"^[A-Za-z0-9][A-Za-z0-9_.:-]{0,119}$"
 CONTACT_COLUMNS = ["contact_name", "contact_title", "contact_email", "email_source", "verification_tool", "verification_status", "phone", "linkedin_url"]
@@ -128,3 +131,45 @@ def get_report(reports: DataFrame, run_id: str) -> DataFrame:
 def without_reports(reports: DataFrame, deleted: DataFrame) -> DataFrame:
     """Reports but for some (run_id), to be written anew."""
     return reports.join(deleted.select("run_id").distinct(), "run_id", "left_anti")
+
+
+def day_folder(path: str, day) -> str:
+    return f"{path.rstrip('/')}/day={day}"
+
+
+def drop_days(spark: SparkSession, path: str, days: list) -> None:
+    """Remove whole day folders of saved reports; a folder that is gone already is no error."""
+    for day in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(day_folder(path, day))
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def rewrite_days(spark: SparkSession, path: str, days: list, kept: DataFrame) -> None:
+    """Give days of saved reports the rows `kept` instead of theirs; no other day is read again or written.
+
+    The rows are staged first, so that a run that fails before the end can be
+    repeated and loses none.
+    """
+    rows = staged(kept, "reports-kept")
+    left = [r.day for r in rows.select("day").distinct().collect()]  # days, of a bounded retention
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    drop_days(spark, path, [d for d in days if d not in left])
+
+
+def delete_reports(spark: SparkSession, path: str, deleted: DataFrame) -> None:
+    """Remove reports (run_id) from where save_reports has put them, in the days that hold some of them."""
+    reports, ids = spark.read.parquet(path), deleted.select("run_id").distinct()
+    days = [r.day for r in reports.join(ids, "run_id", "left_semi").select("day").distinct().collect()]
+    if days:
+        rewrite_days(spark, path, days, without_reports(reports.where(F.col("day").isin(days)), ids))
+
+
+def purge_reports(spark: SparkSession, path: str, now, days: int = 30) -> None:
+    """Remove reports that are older than some days at `now`: days before the last one by their folders, that one by its rows."""
+    cutoff = now - datetime.timedelta(days=days)
+    reports = spark.read.parquet(path)
+    there = [r.day for r in reports.select("day").distinct().collect()]
+    drop_days(spark, path, [d for d in there if d < cutoff.date()])
+    if cutoff.date() in there:
+        of_day = reports.where(F.col("day") == F.lit(cutoff.date()))
+        rewrite_days(spark, path, [cutoff.date()], of_day.where(F.col("created_at") >= F.lit(cutoff)))

@@ -36,15 +36,31 @@ def cooldown_seconds(retry_after: Column, ts: Column, default: int = 900, least:
     return F.least(F.greatest(F.coalesce(number, ahead, F.lit(float(default))), F.lit(float(least))), F.lit(float(most)))
 
 
+#: The slices of time of a host's log.
+SLICE = "hour"
+
+
 def host_cooldown(log: DataFrame) -> DataFrame:
     """log (host, ts, status, retry_after) with cooling_until before each fetch and whether the fetch falls in it.
 
-    A later 429 or 503 sets the end anew, even to an earlier time.
+    A later 429 or 503 sets the end anew, even to an earlier time. A host's log
+    is cut into slices of time, so a host that holds a third of all fetches is
+    work for many tasks; only a row a slice meets in one. A fetch without a host
+    is never blocked.
     """
     until = F.when(F.col("status").isin(429, 503), F.timestamp_seconds(F.unix_timestamp("ts") + cooldown_seconds(F.col("retry_after"), F.col("ts"))))
-    before = Window.partitionBy("host").orderBy("ts", *[c for c in ("event_id",) if c in log.columns]).rowsBetween(Window.unboundedPreceding, -1)
-    rows = log.withColumn("_until", until).withColumn("cooling_until", F.last("_until", ignorenulls=True).over(before))
-    return rows.withColumn("blocked", F.coalesce(F.col("cooling_until") > F.col("ts"), F.lit(False))).drop("_until")
+    order = ["ts", *[c for c in ("event_id",) if c in log.columns]]
+    rows = log.withColumns({"_until": until, "_slice": F.date_trunc(SLICE, "ts")})
+    # Within a slice of time the last end is found there; a slice's own last end goes on to later slices of its host.
+    ends = rows.where("_until is not null").groupBy("host", "_slice").agg(F.max_by("_until", F.struct(*order)).alias("_last"))
+    slices = rows.select("host", "_slice").distinct().join(ends, ["host", "_slice"], "left")
+    earlier = Window.partitionBy("host").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select(F.col("host").alias("_host"), F.col("_slice").alias("_s"), F.last("_last", ignorenulls=True).over(earlier).alias("_carried")).where("_carried is not null")
+    within = Window.partitionBy("host", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.when(F.col("host").isNotNull(), F.last("_until", ignorenulls=True).over(within)))
+    rows = rows.join(carried, (F.col("host") == F.col("_host")) & (F.col("_slice") == F.col("_s")), "left")
+    rows = rows.withColumn("cooling_until", F.coalesce("_own", "_carried"))
+    return rows.withColumn("blocked", F.coalesce(F.col("cooling_until") > F.col("ts"), F.lit(False))).select(*log.columns, "cooling_until", "blocked")
 
 
 def cooldown_stream(stream: DataFrame) -> DataFrame:
