@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vouch.functions import text as T
 from vouch.functions import urls as U
+from vouch.session import staged
 
 IN_RESULT, ON_PAGE, ON_DOCUMENT = "full name in search result", "full name on company page", "full name on official document"
 SHORT, ON_PROFILE = "short name linked to surname by official email", "full name on public GitHub profile"
@@ -247,19 +248,45 @@ def pages_of_domains(pages: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.join(wanted, F.col("_suffix") == F.col("_domain")).drop("_suffix", "_domain")
 
 
+#: Bits of the filter of word pairs at least and at most, and bits for each pair between.
+LEAST, FILTER, ROOM = 1 << 16, 1 << 21, 32
+
+
+def pair_filter(pairs: DataFrame):
+    """A predicate on a word pair that holds for all of these pairs (one column) and for few others.
+
+    A bit for each hash of a pair, at most FILTER of them whatever the number of
+    pairs, so its 256 KB fit in the plan. Past FILTER / ROOM pairs it lets more
+    others through; who asks checks exactly afterwards.
+    """
+    name = pairs.columns[0]
+    size = 1 << min(FILTER, max(LEAST, ROOM * pairs.limit(FILTER).count())).bit_length() - 1
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(size)).cast("int")
+    held = bytearray(size // 8)
+    bits = pairs.select(place(F.col(name)).alias("at")).groupBy(F.expr("at div 8").cast("int").alias("byte")).agg(F.expr("bit_or(shiftleft(1, at % 8))").alias("bits"))
+    for byte, value in bits.toLocalIterator():  # at most size / 8 rows
+        held[byte] = value
+
+    def wanted(x):
+        byte = F.conv(F.hex(F.substring(F.lit(bytes(held)), F.shiftright(place(x), 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, place(x).bitwiseAND(7)) == 1
+
+    return wanted
+
+
 def page_mentions(pages: DataFrame, people: DataFrame) -> DataFrame:
     """(page_id, request_id) of pages that name a person, without a domain to join on.
 
-    Each spelling is looked up by its rarest pair of neighbouring words: pages
-    are exploded into distinct word pairs, only pairs that some spelling has are
-    kept, and the whole phrase is then checked.
+    Each spelling is looked up by its rarest pair of neighbouring words. A
+    filter of all the spellings' pairs is applied inside a page's row, so only
+    pairs that people have (and few others) are exploded and joined; the whole
+    phrase is then checked.
     """
     pair = lambda ws: F.transform(F.sequence(F.lit(1), F.size(ws) - 1), lambda i: F.array_join(F.slice(ws, i, 2), " "))
     spelled = people.select("request_id", F.explode(T.name_variants(F.col("name"))).alias("variant"))
-    keys = spelled.withColumn("pair", F.explode(pair(F.split("variant", " "))))
-    own = T.words(F.col("text"))
-    pairs = pages.withColumn("_w", own).where(F.size("_w") > 1).select("page_id", F.explode(F.array_distinct(pair(F.col("_w")))).alias("pair"))
-    known = pairs.join(keys.select("pair").distinct(), "pair", "left_semi")
+    keys = staged(spelled.withColumn("pair", F.explode(pair(F.split("variant", " ")))), "name_pairs")
+    names = keys.select("pair").distinct()
+    known = staged(candidate_pairs(pages, pair_filter(names), pair).join(names, "pair", "left_semi"), "page_pairs")
     often = known.groupBy("pair").agg(F.count("*").alias("n"))
     rarest = keys.join(often, "pair").groupBy("request_id", "variant").agg(F.min_by("pair", F.struct("n", "pair")).alias("pair"))
     met = known.join(rarest, "pair").select("page_id", "request_id", "variant")
@@ -268,5 +295,11 @@ def page_mentions(pages: DataFrame, people: DataFrame) -> DataFrame:
     return whole.where(F.contains(T.padded(F.col("text")), F.concat(F.lit(" "), "variant", F.lit(" ")))).select("page_id", "request_id").distinct()
 
 
+def candidate_pairs(pages: DataFrame, wanted, pair) -> DataFrame:
+    """(page_id, pair) of each page's distinct neighbouring words that the filter lets through."""
+    rows = pages.withColumn("_w", T.words(F.col("text"))).where(F.size("_w") > 1)
+    return rows.select("page_id", F.explode(F.array_distinct(F.filter(pair(F.col("_w")), wanted))).alias("pair"))
+
+
 def first_by(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")

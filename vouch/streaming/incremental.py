@@ -9,22 +9,116 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from vouch.session import staged
 
-def fresh_requests(rows: DataFrame, hours: int) -> DataFrame:
+
+#: Rows of a key that are folded in one row; the times of a key with more are followed by pointers. Slices of a time to live.
+LIGHT, SLICES = 4096, 64
+
+
+def fresh_requests(rows: DataFrame, hours: int, light: int = LIGHT) -> DataFrame:
     """rows (key, ts) that had to be answered anew: a kept row serves its key for some hours, then the next one is kept.
 
-    What is gathered by key are timestamps alone.
+    A null key is a key like others; rows without ts are left out, repeats count
+    once. A key of few rows is folded in its own row; one of many is work for
+    many tasks. Both give the same rows.
     """
-    times = rows.groupBy("key").agg(F.sort_array(F.collect_set("ts")).alias("ts"))
+    rows = rows.select("key", "ts").where(F.col("ts").isNotNull())
+    hot = staged(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > light).select(F.col("key").alias("_hot")), "hot_keys")
+    folded = rows if hot.isEmpty() else rows.join(hot, F.col("key").eqNullSafe(F.col("_hot")), "left_anti")
+    times = folded.groupBy("key").agg(F.sort_array(F.collect_set("ts")).alias("ts"))
     start = F.array().cast("array<timestamp>")
     expires = F.expr(f"INTERVAL {int(hours)} HOURS")
     kept = F.aggregate("ts", start, lambda held, t: F.when((F.size(held) == 0) | (t >= F.try_element_at(held, F.lit(-1)) + expires), F.concat(held, F.array(t))).otherwise(held))
-    return times.select("key", F.explode(kept).alias("ts"))
+    out = times.select("key", F.explode(kept).alias("ts"))
+    if folded is rows:
+        return out
+    heavy = rows.join(hot, F.col("key").eqNullSafe(F.col("_hot")), "left_semi").distinct()
+    return out.unionByName(kept_by_pointers(heavy, hours))
+
+
+def next_kept(times: DataFrame, hours: int) -> DataFrame:
+    """times (key, ts) with the time `next` that is kept after a row, were it kept: its key's first at or past the end of its time to live.
+
+    Each end is looked for in its slice of time, else it is the first time of a
+    later slice, so what meets in one task is a slice's rows, or a row a slice.
+    """
+    expires, width = F.expr(f"INTERVAL {int(hours)} HOURS"), int(hours) * 3_600_000_000 // SLICES
+    ends = times.select("key", "ts", (F.col("ts") + expires).alias("_at"), F.lit(None).cast("timestamp").alias("_real"))
+    points = times.select("key", "ts", F.col("ts").alias("_at"), F.col("ts").alias("_real")).unionByName(ends)
+    points = points.withColumn("_slice", F.expr(f"unix_micros(_at) div {width}"))
+    after = Window.partitionBy("key").orderBy(F.desc("_slice")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = points.groupBy("key", "_slice").agg(F.min("_real").alias("_first"))
+    later = firsts.select(F.col("key").alias("_key"), F.col("_slice").alias("_s"), F.last("_first", ignorenulls=True).over(after).alias("_later"))
+    # Latest first; of equal moments the time itself comes before an end, which it still serves.
+    within = Window.partitionBy("key", "_slice").orderBy(F.desc("_at"), F.desc_nulls_last("_real")).rowsBetween(Window.unboundedPreceding, 0)
+    found = points.withColumn("_own", F.last("_real", ignorenulls=True).over(within)).where("_real is null")
+    found = found.join(later, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_s")))
+    return found.select("key", "ts", F.coalesce("_own", "_later").alias("next")).where("next is not null")
+
+
+def kept_by_pointers(times: DataFrame, hours: int) -> DataFrame:
+    """The kept of some distinct times (key, ts): pointers of twice the length each round, so n kept times of a key take log2(n) rounds.
+
+    Rows are joined by key and time together, which no two rows share: a key
+    with a third of all rows is spread like any other.
+    """
+    ahead = staged(next_kept(staged(times, "times"), hours), "next_kept")
+    last = staged(times.groupBy("key").agg(F.min("ts").alias("ts")), "first_kept")
+    out = last
+    while True:
+        a, b = ahead.alias("a"), ahead.select(F.col("key").alias("_key"), F.col("ts").alias("_ts"), F.col("next").alias("_next"))
+        reached = out.join(b, F.col("key").eqNullSafe(F.col("_key")) & (F.col("ts") == F.col("_ts")))
+        last = staged(reached.select("key", F.col("_next").alias("ts")), "kept")
+        if last.isEmpty():
+            return out
+        out = out.unionByName(last)
+        ahead = staged(a.join(b, F.col("a.key").eqNullSafe(F.col("_key")) & (F.col("a.next") == F.col("_ts"))).select("a.key", "a.ts", F.col("_next").alias("next")), "twice_ahead")
+
+
+def fresh_stream(stream: DataFrame, hours: int, late: str = "1 hour") -> DataFrame:
+    """The stream form: one state value a key, the time of its last kept row; a kept row starts the time to live anew.
+
+    Rows of a key within one batch are taken in order of ts, a row later than
+    `late` behind the newest is dropped, and a key's state goes when the
+    watermark is past its time to live. On a log in order it keeps the rows that
+    fresh_requests does. Rows without key or ts are dropped. Needs the RocksDB
+    state store.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    span = int(hours) * 3_600_000  # milliseconds
+
+    class Fresh(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.last = handle, handle.getValueState("last", "micros long")
 
+        def handleInputRows(self, key, rows, timerValues):
+            held = self.last.get()[0] if self.last.exists() else None
+            before, kept = held, []
+            for t in sorted({int(t) for frame in rows for t in frame["micros"]}):
+                if held is None or t >= held + 1000 * span:
+                    kept.append(t)
+                    held = t
+            if held != before:
+                if before is not None:
+                    self.handle.deleteTimer(before // 1000 + span + 1)
+                self.last.update((held,))
+                self.handle.registerTimer(held // 1000 + span + 1)
+            yield pd.DataFrame({"key": [key[0]] * len(kept), "micros": pd.Series(kept, dtype="int64")})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.last.clear()
+            yield pd.DataFrame({"key": pd.Series([], dtype="object"), "micros": pd.Series([], dtype="int64")})
+
+        def close(self) -> None:
+            pass
 
-def fresh_stream(stream: DataFrame, hours: int) -> DataFrame:
-    """The stream form: the first row of a key within the watermark."""
-    return stream.withWatermark("ts", f"{int(hours)} hours").dropDuplicatesWithinWatermark(["key"])
+    rows = stream.select("key", "ts").where("key is not null and ts is not null").withWatermark("ts", late).withColumn("micros", F.unix_micros("ts"))
+    kind = stream.schema["key"].dataType.simpleString()
+    kept = rows.groupBy("key").transformWithStateInPandas(Fresh(), f"key {kind}, micros long", "Append", "EventTime")
+    return kept.select("key", F.timestamp_micros("micros").alias("ts"))
 
 
 def cooldown_seconds(retry_after: Column, ts: Column, default: int = 900, least: int = 60, most: int = 21_600) -> Column:
@@ -64,7 +158,7 @@ def host_cooldown(log: DataFrame) -> DataFrame:
 
 
 def cooldown_stream(stream: DataFrame) -> DataFrame:
-    """The stream form of host_cooldown: one state value a host, dropped when it can no longer matter.
+    """The stream form of host_cooldown: one state value a host.
 
     Rows of a host within one batch are taken in order of ts; a row later than
     the watermark is dropped. Needs the RocksDB state store.
