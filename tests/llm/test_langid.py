@@ -34,8 +34,13 @@ def test_held_out_accuracy(spark, sf, duck):
 
 
 def scored_by_hand(model, word):
-    """Sums of log probabilities less their mean, from the model's table."""
-    rows = {"".join(map(chr, g)): s for g, s in zip(model["grams"].tolist(), model["scores"], strict=True)}
+    """Sums of log probabilities, from the model's pairs."""
+    if "by_hand" not in model:
+        model["by_hand"] = {"".join(map(chr, g)): model["base"].astype(float) for g in model["grams"].tolist()}
+        for i, g in enumerate(list(model["by_hand"])):
+            for k in range(model["starts"][i], model["starts"][i + 1]):
+                model["by_hand"][g][model["lang"][k]] += model["more"][k]
+    rows = model["by_hand"]
     padded, total = f" {word.lower()} ", np.zeros(len(model["langs"]))
     for i in range(len(word)):
         total += rows.get(padded[i : i + 3], 0)
@@ -51,6 +56,7 @@ def test_query_by_hand(spark, sf, duck):
     model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
     got = {r.doc_id: r for r in langid.op5_langid(spark, sf).collect()}
     some = duck.execute("select doc_id, text from documents where length(coalesce(text, '')) < 1500 order by hash(doc_id) limit 120").fetchall()
+    some += duck.execute("select doc_id, text from documents where text is not null order by length(text) desc limit 3").fetchall()
     for i, text in some:
         words = re.findall(r"[^\W\d_]+", text or "")
         if not words:
@@ -124,3 +130,57 @@ def test_mixed_text_and_shapes(spark):
     assert got == [(1, "de"), (2, "und"), (3, "und"), (4, "en"), (4, "und")]  # German has the most letters of the mixed text
     empty = langid.learn(docs.limit(0))
     assert {r.lang_pred for r in langid.identify(asked, empty).collect()} == {"und"}
+
+
+def test_model_is_the_counts_logarithms():
+    """Pairs and bases against log probabilities worked out one by one."""
+    import pyarrow as pa
+
+    counts = {("abc", "x"): 5, ("abc", "y"): 1, (" ab", "x"): 2, ("漢字 ", "y"): 7, ("𐐨bc", "x"): 1}
+    rows = list(counts.items())[::-1]
+    model = langid.model_of(pa.table({"g": [g for (g, _), _ in rows], "lang": [k for (_, k), _ in rows], "n": [n for _, n in rows]}))
+    names = ["".join(map(chr, g)) for g in model["grams"].tolist()]
+    assert sorted(names) == names and len(names) == 4 and model["langs"] == ["x", "y"]
+    total = {k: sum(n for (_, own), n in rows if own == k) for k in "xy"}
+    for g in names:
+        hand = scored_by_hand_of(model, names.index(g))
+        want = np.array([np.log((counts.get((g, k), 0) + 0.5) / (total[k] + 0.5 * 5)) for k in "xy"])
+        assert np.allclose(hand - hand.mean(), want - want.mean(), atol=1e-5)
+
+
+def scored_by_hand_of(model, i):
+    out = model["base"].astype(float)
+    for k in range(model["starts"][i], model["starts"][i + 1]):
+        out[model["lang"][k]] += model["more"][k]
+    return out
+
+
+def test_columns_and_pairs_score_alike(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    texts = [r.text for r in docs.select("text").limit(200).collect()] + ["x" * 3000 + " der die und", None, "ሀ ꙮ"]
+    columns = langid.Scorer(model)
+    monkeypatch.setattr(langid, "DENSE", 0)
+    pairs = langid.Scorer(model)
+    assert columns.columns and not pairs.columns
+    points = langid.code_points([t or "" for t in texts])
+    for letters in (langid.LETTERS, 7):
+        monkeypatch.setattr(langid, "LETTERS", letters)
+        for a, b in zip(columns.words(points, np.array([], np.int64)), pairs.words(points, np.array([], np.int64)), strict=True):
+            assert np.allclose(a, b, atol=2e-2, rtol=1e-5)
+    assert langid.predict(texts, columns)[0] == langid.predict(texts, pairs)[0]
+
+
+def test_bounds_of_what_is_learned(spark, monkeypatch):
+    """Bytes are shared by languages, the most frequent languages and pairs stay; predictions still cover every text."""
+    rows = [(i, "der die und nicht " * 50, "de") for i in range(400)] + [(1000 + i, "the of and with " * 50, "en") for i in range(300)] + [(5000 + i, "zz zy", f"dirty{i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "LANGS", 2)
+    monkeypatch.setattr(langid, "TRAIN_BYTES", 40_000)
+    model = langid.learn(docs)
+    assert model["langs"] == ["de", "en"] and len(model["more"]) < 40
+    monkeypatch.setattr(langid, "ENTRIES", 12)
+    assert len(langid.learn(docs)["more"]) == 12
+    asked = spark.createDataFrame([(1, "und nicht die"), (2, "with the"), (3, "zz")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.identify(asked, model).where("doc_id < 3").collect()} == {1: "de", 2: "en"}
+    assert langid.identify(asked, model).count() == 3

@@ -9,9 +9,11 @@ holds most letters is the text's.
 
 The trigram counts are learned in Spark from a sample of whole labelled texts,
 drawn by a hash of the id: all texts of a language that has up to TRAIN_DOCS,
-about so many of any other. So the model and the time to learn it don't grow
-with the corpus, and a rare language is learned like a frequent one. Every
-trigram of the sample counts. Prediction covers every text, whole, and looks at
+about so many of any other, and of long texts fewer (TRAIN_BYTES). So the model
+and the time to learn it don't grow with the corpus, and a rare language is
+learned like a frequent one. A model holds at most ENTRIES pairs of trigram and
+language, about 64 MB, whatever stands in the column of languages; the bound is
+on what is learned, as the sample's is. Prediction covers every text, whole, and looks at
 nothing but the text.
 
 Null texts and texts without a letter are `und` with score 0; so is every text
@@ -34,10 +36,15 @@ from vouch.llm.common import fold, table
 
 #: Expected number of labelled texts learned from, for each language.
 TRAIN_DOCS = 4_000
+#: Expected bytes of text learned from, all languages together, each as much; languages learned, the most frequent ones;
+#: (trigram, language) pairs in a model, the most frequent ones.
+TRAIN_BYTES, LANGS, ENTRIES = 1 << 29, 1 << 10, 1 << 23
+#: Scores that are held as columns; of a model with more only the pairs that stand in it.
+DENSE = 1 << 24
 SWITCH = 8.0
 UND = "und"
-#: Words decoded together; longer texts are decoded alone. Letters scored together.
-TOGETHER, LETTERS = 1 << 21, 1 << 18
+#: Scores (words times languages) decoded together; longer texts are decoded alone. Letters scored together.
+TOGETHER, LETTERS = 1 << 24, 1 << 18
 #: A script belongs to a language if at least this share of its letters is in it.
 SCRIPT_SHARE = 1e-4
 POINTS = 0x110000
@@ -81,45 +88,61 @@ def script(letter: str) -> str:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = TRAIN_DOCS) -> dict:
-    """A model from labelled texts: languages, trigrams and their log probabilities, scripts.
+    """A model from labelled texts: languages, trigrams and what each adds for each language, scripts.
 
     docs: the rows that may be learned from, with a column doc_id to draw the
     sample by. Rows with a null text or language are left out.
     """
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select("doc_id", F.col(text).alias("t"), F.col(lang).alias("lang"))
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGS).collect()  # at most LANGS rows
     if not sizes:
         return {"langs": []}
-    part = F.create_map(*[F.lit(x) for s, n in sizes.items() for x in (s, int(min(1.0, most / n) * (1 << 30)) + 1)])
-    drawn = F.pmod(fold(F.coalesce(F.col("doc_id"), F.lit(0)), 5), F.lit(1 << 30)) < F.element_at(part, F.col("lang"))
-    words = rows.where(drawn).select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), 0)).alias("w"))
+    each = TRAIN_BYTES / len(sizes)
+    part = [(r.lang, int(min(1.0, most / r.n, each / max(1, r.size)) * (1 << 30)) + 1) for r in sizes]
+    part = F.broadcast(docs.sparkSession.createDataFrame(part, "lang string, part long"))
+    drawn = F.pmod(fold(F.coalesce(F.col("doc_id"), F.lit(0)), 5), F.lit(1 << 30)) < F.col("part")
+    words = rows.join(part, "lang").where(drawn).select("lang", F.explode(F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), 0)).alias("w"))
     words = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     padded = F.concat(F.lit(" "), "w", F.lit(" "))
     grams = F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.substring(padded, i, F.lit(3)))
     counted = words.select("lang", "n", F.explode(grams).alias("g")).groupBy("g", "lang").agg(F.sum("n").alias("n"))
-    return model_of(counted.toArrow())
+    return model_of(counted.orderBy(F.desc("n"), "g", "lang").limit(ENTRIES).toArrow())
 
 
 def model_of(counted: pa.Table) -> dict:
-    """The model from (g, lang, n): how often each trigram stands in the sample of each language."""
-    grams, langs = (counted.column(c).to_pylist() for c in ("g", "lang"))
-    names = sorted(set(langs))
+    """The model from (g, lang, n): how often each trigram stands in the sample of each language.
+
+    A trigram's score for a language is `base` of the language, what a trigram
+    has that the language never showed, plus `more` for one that it did. Only
+    pairs that stand in the sample are held: those of trigram i at starts[i]
+    up to starts[i + 1].
+    """
+    names = sorted(set(counted.column("lang").unique().to_pylist()))
     if not names:
         return {"langs": []}
-    rows = {g: i for i, g in enumerate(sorted(set(grams)))}
-    n = np.zeros((len(rows), len(names)))
+    coded = counted.column("g").combine_chunks().dictionary_encode()
+    grams = np.frombuffer("".join(coded.dictionary.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64).reshape(-1, 3)
+    order = np.lexsort(grams.T[::-1])
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    grams, row = grams[order], rank[coded.indices.to_numpy()]
     at = {x: i for i, x in enumerate(names)}
-    np.add.at(n, ([rows[g] for g in grams], [at[x] for x in langs]), counted.column("n").to_numpy())
-    scores = np.log((n + 0.5) / (n.sum(axis=0) + 0.5 * (len(rows) + 1)))
-    scores -= scores.mean(axis=1, keepdims=True)
-    letters = np.array([[ord(c) for c in g] for g in rows], np.int64).reshape(-1, 3)
+    coded = counted.column("lang").combine_chunks().dictionary_encode()
+    lang = np.array([at[x] for x in coded.dictionary.to_pylist()], np.int32)[coded.indices.to_numpy()]
+    order = np.lexsort((lang, row))
+    row, lang, n = row[order], lang[order], counted.column("n").to_numpy()[order].astype(np.float64)
+    total = np.bincount(lang, n, len(names))
+    base = np.log(0.5 / (total + 0.5 * (len(grams) + 1)))
     used = np.zeros((len(SCRIPTS), len(names)))
-    np.add.at(used, script_of(letters[:, 1]), n)
+    np.add.at(used, (script_of(grams[:, 1])[row], lang), n)
     kinds = np.array([[x == y for _, y in SCRIPTS] for _, x in SCRIPTS])  # blocks of one script count together
     used = kinds @ used
-    can = used / np.maximum(1, n.sum(axis=0)) >= SCRIPT_SHARE
+    can = used / np.maximum(1, total) >= SCRIPT_SHARE
     can[~can.any(axis=1)] = True  # a script that no language has leaves all of them
-    return {"langs": names, "grams": letters, "scores": scores.astype(np.float32), "can": can}
+    starts = np.searchsorted(row, np.arange(len(grams) + 1))
+    more = np.log((n + 0.5) / 0.5).astype(np.float32)
+    return {"langs": names, "grams": grams, "starts": starts, "lang": lang, "more": more, "base": (base - base.mean()).astype(np.float32), "can": can}
 
 
 class Trigrams:
@@ -169,15 +192,40 @@ class Trigrams:
 
 
 class Scorer:
-    """A model ready to score words: a column of scores for each language."""
+    """A model ready to score words.
+
+    Where a column of scores for each language is small it is made once; of a
+    larger model only the pairs that stand in it are held.
+    """
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
+        self.langs, self.columns = model["langs"], []
         if self.langs:
             self.trigrams = Trigrams(model["grams"])
-            scores = np.concatenate([np.zeros((1, len(self.langs)), np.float32), model["scores"]])
-            self.columns = [np.ascontiguousarray(c) for c in scores.T]
-            self.can = model["can"]
+            self.starts = np.concatenate([[0], model["starts"]])  # row 0 has no pairs
+            self.lang, self.more, self.base, self.can = (model[x] for x in ("lang", "more", "base", "can"))
+            size = (len(model["grams"]) + 1, len(self.langs))
+            if size[0] * size[1] <= DENSE:
+                scores = np.zeros(size, np.float32)
+                scores[1:] = self.base
+                scores[np.repeat(np.arange(1, size[0]), np.diff(model["starts"])), self.lang] += self.more
+                self.columns = [np.ascontiguousarray(c) for c in scores.T]
+
+    def sums(self, row: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """A row of scores for each word: heads are the places at which the words begin among the trigrams' rows."""
+        if self.columns:
+            return np.stack([np.add.reduceat(c[row], heads) for c in self.columns], axis=1)
+        langs, step = len(self.langs), max(1, 8 * LETTERS // len(self.langs))
+        cuts = np.unique(np.append(np.searchsorted(heads, np.arange(0, len(row), step)), len(heads)))
+        stops, out = np.append(heads, len(row)), np.empty((len(heads), langs), np.float32)
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # words of about `step` letters at a time
+            own = row[stops[a] : stops[b]]
+            word = np.repeat(np.arange(b - a), np.diff(stops[a : b + 1]))
+            first, n = self.starts[own], np.where(own > 0, self.starts[np.minimum(own + 1, len(self.starts) - 1)] - self.starts[own], 0)
+            pair = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            more = np.bincount(np.repeat(word, n) * langs + self.lang[pair], self.more[pair], (b - a) * langs).reshape(-1, langs)
+            out[a:b] = more + np.bincount(word, own > 0, b - a)[:, None] * self.base
+        return out
 
     def words(self, text: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, end, scores) of the words of some code points; at `edges` a word ends, whatever stands there."""
@@ -198,7 +246,7 @@ class Scorer:
         heads = np.searchsorted(place, begin)
         before[heads], after[np.append(heads[1:], len(place)) - 1] = self.trigrams.space, self.trigrams.space
         row = self.trigrams.find(self.trigrams.keys(before, number, after))
-        scores = np.stack([np.add.reduceat(c[row], heads) for c in self.columns], axis=1)
+        scores = self.sums(row, heads)
         can = self.can[script_of(text[begin])]
         least = np.where(can, scores, np.inf).min(axis=1) - 2 * SWITCH
         return begin, end, np.where(can, scores, np.minimum(scores, least[:, None]))
@@ -282,7 +330,7 @@ def predict(texts: list[str | None], scorer: Scorer) -> tuple[list[str], list[fl
         cut = np.concatenate([[0], np.cumsum([len(t) for t in part])])
         at, stop, own = scorer.words(code_points(part), cut)
         n = np.diff(np.searchsorted(at, cut))
-        if waiting and waiting + len(own) > TOGETHER:
+        if waiting and (waiting + len(own)) * len(langs) > TOGETHER:
             flush()
             done, waiting = begin, 0
             scores, letters, lengths = [], [], []
@@ -309,7 +357,7 @@ def spans(text: str | None, scorer: Scorer) -> list[tuple[int, int, str]]:
 
 def label_spans(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id and the spans of each text as an array of (start, end, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams of a bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES pairs
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
@@ -323,7 +371,7 @@ def label_spans(docs: DataFrame, model: dict) -> DataFrame:
 
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred and score of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the trigrams of a bounded sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most ENTRIES pairs
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
