@@ -31,13 +31,33 @@ def robots_sitemaps(robots: Column, base: Column, most: int = 3) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.concat(base, F.lit("/sitemap.xml"))))
 
 
+def rules_of(text: str | None, agent: str) -> str:
+    """The rules of a robots.txt that an agent keeps to, as a short robots.txt of their own."""
+    whole = RobotFileParser()
+    whole.parse((text or "").splitlines())
+    group = next((g for g in whole.entries if g.applies_to(agent)), whole.default_entry)
+    return "\n".join(["User-agent: *", *map(str, group.rulelines)]) if group else ""
+
+
+def agent_rules(robots: DataFrame, agent: str) -> DataFrame:
+    """(host, status, rules): each host's file is read once, however many URLs the host has."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for host, status, texts in (batch.columns for batch in batches):
+            rules = [rules_of(t, agent) for t in texts.to_pylist()]
+            yield pa.RecordBatch.from_arrays([host, status, pa.array(rules, pa.string())], names=["_host", "_status", "_robots"])
+
+    return robots.select("host", F.col("status").cast("int"), "robots_text").mapInArrow(each, "_host string, _status int, _robots string")
+
+
 def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str = AGENT, blocking: tuple[int, ...] = (401, 403, 429)) -> DataFrame:
     """urls (url) with the column allowed, by the robots rules (host, status, robots_text) of their hosts.
 
     The first rule that fits decides. A blocking status forbids the host, any
-    other but 200 allows it; hosts without an answer are allowed.
+    other but 200 allows it; hosts without an answer are allowed. What is joined
+    to URLs are the agent's own rules, not the whole files.
     """
-    rules = robots.select(F.col("host").alias("_host"), F.col("status").alias("_status"), F.col("robots_text").alias("_robots"))
+    rules = agent_rules(robots, agent)
     rows = urls.withColumn("_own", U.host(F.col("url"))).join(rules, F.col("_own") == F.col("_host"), "left")
     names = [c for c in urls.columns if c != "allowed"]
 
