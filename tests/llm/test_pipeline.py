@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from vouch.llm import decontaminate, pii
@@ -56,3 +57,38 @@ def test_everything_is_packed(stages):
     for p in pieces:
         held[p.doc_id] = held.get(p.doc_id, 0) + p.length
     assert all(held[p.doc_id] == p.doc_tokens for p in pieces)
+
+
+def folder(spark, path, docs):
+    """Tables of the smallest scale with other documents."""
+    small = "/root/testdata/sf0.001"
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{small}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    docs.write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def pieces(df):
+    return sorted((p.doc_id is None, p.doc_id or 0, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in df.collect())
+
+
+def test_run_is_its_stages_one_by_one(spark):
+    small = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, small), name)
+    got = pieces(cp.run(spark, small))
+    assert got and got == pieces(cp.packing_stage(spark, docs, small))
+    assert {p[1] for p in got} == {r.doc_id for r in docs.collect()}
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """An empty table gives no piece; of rows that repeat one stays; null rows go through every stage."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert cp.run(spark, folder(spark, tmp_path / "empty", docs.limit(0))).count() == 0
+    null = docs.limit(3).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema])
+    assert {p.doc_tokens for p in cp.run(spark, folder(spark, tmp_path / "null", null)).collect()} <= {1}
+    text = " ".join(f"word{i} stands beside thing{i}" for i in range(60))
+    one = docs.limit(1).withColumn("text", F.lit(text)).withColumn("doc_id", F.lit(77).cast("long"))
+    got = cp.run(spark, folder(spark, tmp_path / "repeated", one.union(one).union(one.withColumn("doc_id", F.lit(78).cast("long"))))).collect()
+    assert {p.doc_id for p in got} == {77} and sum(p.length for p in got) % got[0].doc_tokens == 0
