@@ -158,7 +158,7 @@ def host_cooldown(log: DataFrame) -> DataFrame:
 
 
 def cooldown_stream(stream: DataFrame) -> DataFrame:
-    """The stream form of host_cooldown: one state value a host.
+    """The stream form of host_cooldown: one state value a host, gone when the watermark is past its end.
 
     Rows of a host within one batch are taken in order of ts; a row later than
     the watermark is dropped. Needs the RocksDB state store.
@@ -168,26 +168,33 @@ def cooldown_stream(stream: DataFrame) -> DataFrame:
 
     class Cooling(StatefulProcessor):
         def init(self, handle) -> None:
-            self.until = handle.getValueState("until", "seconds double")
+            self.handle, self.until = handle, handle.getValueState("until", "seconds double")
 
         def handleInputRows(self, key, rows, timerValues):
-            until = self.until.get()[0] if self.until.exists() else None
-            for frame in rows:
-                out = []
-                for ts, status, wait in frame.sort_values("ts")[["ts", "status", "wait"]].itertuples(index=False):
-                    now = ts.timestamp()
-                    out.append((key[0], ts, int(status), until is not None and until > now))
-                    if status in (429, 503):
-                        until = now + wait
-                yield pd.DataFrame(out, columns=["host", "ts", "status", "blocked"])
-            if until is not None:
+            before = until = self.until.get()[0] if self.until.exists() else None
+            frames = [frame[["ts", "status", "wait"]] for frame in rows]  # of one host and micro-batch, without texts
+            out = []
+            for ts, status, wait in pd.concat(frames).sort_values("ts", kind="stable").itertuples(index=False):
+                now = ts.timestamp()
+                out.append((key[0], ts, int(status), until is not None and until > now))
+                if status in (429, 503):
+                    until = now + wait
+            if until != before:
+                if before is not None:
+                    self.handle.deleteTimer(int(before * 1000) + 1)
                 self.until.update((until,))
+                self.handle.registerTimer(int(until * 1000) + 1)
+            yield pd.DataFrame(out, columns=["host", "ts", "status", "blocked"])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.until.clear()
+            yield pd.DataFrame({"host": pd.Series([], dtype="object"), "ts": pd.Series([], dtype="datetime64[ns]"), "status": pd.Series([], dtype="int32"), "blocked": pd.Series([], dtype="bool")})
 
         def close(self) -> None:
             pass
 
     rows = stream.withColumn("wait", cooldown_seconds(F.col("retry_after"), F.col("ts"))).withWatermark("ts", "6 hours")
-    return rows.groupBy("host").transformWithStateInPandas(Cooling(), "host string, ts timestamp, status int, blocked boolean", "Append", "None")
+    return rows.groupBy("host").transformWithStateInPandas(Cooling(), "host string, ts timestamp, status int, blocked boolean", "Append", "EventTime")
 
 
 def purged(rows: DataFrame, now: Column, days: int = 30, column: str = "created_at") -> DataFrame:
