@@ -47,24 +47,45 @@ def test_words_give_the_ids_of_whole_texts(tokenizer):
             assert np.frombuffer(got, lookup.type).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
-def test_rounds_by_hand():
-    """The closed form is deficit round-robin: credits, whole grains, queues in order."""
-    rng = np.random.default_rng(3)
-    for _ in range(30):
-        totals = rng.integers(0, 4000, rng.integers(1, 6))
-        weights = rng.random(len(totals)) + 0.05
-        rounds = packing.Rounds(totals, weights, window=512, grain=32)
-        place, served, turn, at = {}, [0] * len(totals), 0, 0
-        while served != totals.tolist():
-            turn += 1
-            for q, total in enumerate(totals):
-                credit = turn * int(rounds.credit[q]) // packing.UNIT
-                while served[q] < total and (end := min((served[q] // 32 + 1) * 32, total)) <= credit:
-                    place[q, served[q]] = at
-                    at += end - served[q]
-                    served[q] = int(end)
-        for (q, p), want in place.items():
-            assert rounds.position([q], [p])[0] == want
+def walked(totals, weights, window, grain):
+    """Deficit round-robin step by step: credits, whole grains, queues in order. Where each grain stands, by queue and place."""
+    share = {s: weights[s] * sum(totals.values()) if s in weights else n for s, n in totals.items()}
+    credit = {s: max(1, int(np.rint(x / sum(share.values()) * window * packing.UNIT))) for s, x in share.items()}
+    order = sorted(totals, key=lambda s: (-totals[s], s is not None, s or ""))
+    served, place, turn, at = dict.fromkeys(totals, 0), {}, 0, 0
+    while served != totals:
+        turn += 1
+        for s in order:
+            earned = turn * credit[s] // packing.UNIT
+            while served[s] < totals[s] and (end := min((served[s] // grain + 1) * grain, totals[s])) <= earned:
+                place[s, served[s]] = at
+                at += end - served[s]
+                served[s] = end
+    return place
+
+
+@pytest.mark.parametrize(("sources", "weighted"), [(5, 0), (5, 3), (1500, 0), (1500, 1200)])
+def test_rounds_by_hand(spark, tokenizer, sources, weighted):
+    """Every source, however many there are, has its own queue and its own share; so has every weight."""
+    rng = np.random.default_rng(3 + sources + weighted)
+    texts, of = {}, {}
+    for i in range(sources * 2):
+        texts[i] = "word " * int(rng.integers(0, 120 if sources < 10 else 25))
+        of[i] = None if i % sources == 1 else f"s{i % sources}" if i % 7 else "hot"
+    docs = spark.createDataFrame([(i, t, of[i]) for i, t in texts.items()], "doc_id long, text string, source string").repartition(3)
+    weights = {s: float(rng.random() + 0.05) for s in sorted({x for x in of.values() if x})[:weighted]}
+    rows = packing.pack(docs, weights=weights | {None: 0.5, "absent": 9.0} if weighted else None, window=128, grain=16).collect()
+    check(rows, texts, tokenizer, 128)
+    totals, got = {}, {}
+    for i, t in texts.items():
+        totals[of[i]] = totals.get(of[i], 0) + len(ids_of(tokenizer, t))
+    for r in rows:
+        got.setdefault(r.source, []).append((r.sequence_id * 128 + r.offset, r.length))
+    # The tokens of a source stand where its grains do.
+    want = {}
+    for (s, p), at in walked(totals, weights | {None: 0.5} if weighted else {}, 128, 16).items():
+        want.setdefault(s, set()).update(range(at, at + min(16, totals[s] - p)))
+    assert {s: {x for at, n in spans for x in range(at, at + n)} for s, spans in got.items()} == want
 
 
 def test_query(spark, sf, duck, tokenizer):
@@ -88,22 +109,3 @@ def test_shapes(spark, tokenizer):
     check(rows, texts, tokenizer, 512)
     assert all(zlib.crc32(bytes(r.ids)) == r.ids_crc32 for r in rows)
     assert packing.pack(docs.limit(0)).count() == 0
-
-
-def test_more_sources_than_queues(spark, tokenizer, monkeypatch):
-    """Every id once and no gap, a small source with a weight is held to it, and the table of rounds may be taken in blocks."""
-    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
-    texts = {i: "word " * (20 + i % 7) for i in range(300)}
-    docs = spark.createDataFrame([(i, t, f"s{i % 40}") for i, t in texts.items()] + [(999, "few " * 60, "own")], "doc_id long, text string, source string").repartition(3)
-    texts[999] = "few " * 60
-    rows = packing.pack(docs, weights={"own": 0.5, "absent": 1.0}, window=256, grain=16).collect()
-    check(rows, texts, tokenizer, 256)
-    assert min(r.sequence_id for r in rows if r.source == "own") == 0 and max(r.sequence_id for r in rows if r.source == "own") <= 2
-    with pytest.raises(ValueError, match="at most 4"):
-        packing.pack(docs, weights=dict.fromkeys("abcde", 1.0))
-    rounds = packing.Rounds(np.arange(1, 60) * 37, None, 256, 16)
-    queue = np.repeat(np.arange(59), 30)
-    place = np.minimum(np.tile(np.arange(30), 59), rounds.totals[queue] - 1)
-    whole = rounds.position(queue, place)
-    monkeypatch.setattr(packing, "CELLS", 100)
-    assert np.array_equal(whole, rounds.position(queue, place))

@@ -10,19 +10,21 @@ grain each.
 
 As a queue that still has tokens is served exactly up to its credit, the round
 in which a token leaves is ceil(grain's end / credit): a closed form of its
-place in its queue. With the totals of all queues, its place in the whole
-sequence is known too. So no task walks the queues: a task needs the place of
-its documents in their queues and one number a source, and deficits carry
-across windows and partitions by arithmetic, not by messages.
-
-Jobs: (1) tokenise, and write (doc_id, source, ids, place in the task's part of
-the queue) to the shared folder; (2) sum tokens by task and source, and turn
-these sums into each task's start in each queue; (3) cut the written rows at
-grains and windows. No text or token is shuffled by source, so a source that
-holds a third of all rows is spread like any other. What the driver takes is
-the total of each queue: at most MAX_QUEUES + TAIL numbers. Sources with a
-weight of their own and the largest others have a queue each, up to MAX_QUEUES;
-those beyond are dealt by a hash to TAIL queues, each with its own total.
+place in its queue. The whole sequence is all grains in the order of round,
+queue and place, and a token's place in it is the number of tokens before it.
+So no task walks the queues: rounds are arithmetic on columns, places are one
+running sum, and deficits carry across windows and partitions by both.
+
+Jobs: (1) tokenise, and write (ids, place in the task's part of the queue) to
+the shared folder; (2) sum tokens by task and source, and turn these sums into
+each source's total and credit and each task's start in each queue, all of them
+tables; (3) cut each document, as numbers without its ids, where its round
+changes, deal these runs by ranges of (round, queue, place), and sum their
+lengths in each range; (4) join each document's runs to its ids, and cut them at
+windows. No text or token is shuffled by source, and a range is as small when
+one source holds a third of all rows as when a million sources share a round.
+Every source has its own queue and any number of them a weight. What the driver
+takes is one number a range (a partition of job 3).
 
 Null texts are empty and yield the end token alone; null sources are a queue
 of their own; repeated rows are packed each on its own; an empty table gives no
@@ -47,9 +49,6 @@ from vouch.llm.common import small, table, tidy, written
 from vouch.llm.jaccard import SPACE, words_of
 
 WINDOW, GRAIN, END = 4096, 256, 2
-MAX_QUEUES, TAIL = 1024, 64
-#: Numbers of a table of rounds and queues that are held at once.
-CELLS = 1 << 20
 #: Credits are whole numbers of 1/UNIT tokens a round.
 UNIT = 1 << 12
 TOKENIZER = "word_bpe_49k.json"
@@ -172,7 +171,7 @@ class Tokens:
 
 
 def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFrame:
-    """doc_id, source, ids, n_tokens, with each row's task (part) and its tokens' place in that task's queue (local).
+    """doc_id, source, ids, n_tokens, with each row's task (part), its number there (row) and its tokens' place in that task's queue (local).
 
     path: a tokenizer file, or none for the public word BPE.
     """
@@ -182,7 +181,7 @@ def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
         path = public_tokenizers.path(TOKENIZER)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, part, places = Tokens(path), TaskContext.get().partitionId(), {}
+        lookup, part, places, rows = Tokens(path), TaskContext.get().partitionId(), {}, 0
         tail = np.array([end], lookup.type).tobytes()
         width = lookup.type.itemsize
         for batch in small(batches):
@@ -193,85 +192,80 @@ def tokenise(docs: DataFrame, path: str | None = None, end: int = END) -> DataFr
                 places[source] = local[-1] + len(x) // width
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array([len(x) // width for x in ids], pa.int64()),
-                 pa.array([part] * len(ids), pa.int64()), pa.array(local, pa.int64())],
-                names=["doc_id", "source", "ids", "n_tokens", "part", "local"],
+                 pa.array([part] * len(ids), pa.int64()), pa.array(range(rows, rows + len(ids)), pa.int64()), pa.array(local, pa.int64())],
+                names=["doc_id", "source", "ids", "n_tokens", "part", "row", "local"],
             )
+            rows += len(ids)
 
     return docs.select("doc_id", "source", "text").mapInArrow(
-        tidy(each), "doc_id long, source string, ids binary, n_tokens long, part long, local long"
+        tidy(each), "doc_id long, source string, ids binary, n_tokens long, part long, row long, local long"
     )
 
 
-class Rounds:
-    """Deficit round-robin in closed form over queues with known totals.
+def queues(sums: DataFrame, weights: dict[str | None, float], window: int) -> DataFrame:
+    """(source, total, credit) of every source: its tokens, and what it earns a round in 1/UNIT tokens.
 
-    totals: tokens of each queue. weights: its share of the mixture, in
-    proportion; by default its share of all tokens, so that all queues end
-    together. A queue that ends earlier leaves its place to the others.
+    A source with a weight has that share of all tokens, others their own; an
+    end that comes earlier leaves a queue's place to the others.
     """
-
-    def __init__(self, totals, weights=None, window: int = WINDOW, grain: int = GRAIN):
-        self.totals = np.asarray(totals, np.int64)
-        weights = np.asarray(self.totals if weights is None else weights, float)
-        share = weights / max(weights.sum(), 1e-300)
-        self.credit = np.maximum(1, np.rint(share * window * UNIT)).astype(np.int64)
-        self.window, self.grain = window, grain
-
-    def ends(self, queue, place):
-        """The end of the grain that holds a token."""
-        return np.minimum((place // self.grain + 1) * self.grain, self.totals[queue])
-
-    def round_of(self, queue, place):
-        return -(-self.ends(queue, place) * UNIT // self.credit[queue])
-
-    def served(self, rounds):
-        """Tokens of each queue (columns) that have left after so many rounds (rows)."""
-        done = self.totals * UNIT // self.credit + 1  # a queue is empty after so many; more would overflow
-        credit = np.minimum(np.asarray(rounds, np.int64)[:, None], done[None, :]) * self.credit[None, :] // UNIT
-        whole = credit // self.grain * self.grain
-        return np.where(credit >= self.totals, self.totals, np.minimum(whole, self.totals))
-
-    def position(self, queue, place):
-        """Where tokens stand in the whole sequence."""
-        queue, place = np.asarray(queue, np.int64), np.asarray(place, np.int64)
-        turn = self.round_of(queue, place)
-        rounds, at = np.unique(turn, return_inverse=True)
-        order, out = np.argsort(at, kind="stable"), np.empty(len(queue), np.int64)
-        step = max(1, CELLS // len(self.totals))
-        for begin in range(0, len(rounds), step):
-            some = rounds[begin : begin + step]
-            before, after = self.served(some - 1), self.served(some)
-            earlier = np.cumsum(after - before, axis=1) - (after - before)  # queues served before it in the round
-            start = before.sum(axis=1)
-            rows = order[slice(*np.searchsorted(at[order], [begin, begin + step]))]
-            row, own = at[rows] - begin, queue[rows]
-            out[rows] = start[row] + earlier[row, own] + place[rows] - before[row, own]
-        return out
-
-    def pieces(self, queue: np.ndarray, begin: np.ndarray, length: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-        """(row, start, length, window, offset) of the pieces that rows are cut into.
-
-        A row is the tokens begin .. begin + length of its queue.
-        """
-        grains = (begin + length - 1) // self.grain - begin // self.grain + 1
-        row = np.repeat(np.arange(len(begin)), grains)
-        number = np.arange(len(row)) - np.repeat(np.cumsum(grains) - grains, grains)
-        first = np.maximum((np.repeat(begin // self.grain, grains) + number) * self.grain, begin[row])
-        last = np.minimum((first // self.grain + 1) * self.grain, (begin + length)[row])
-        at = self.position(queue[row], first)
-        # Grains that meet in the sequence are one piece; then pieces are cut at the windows.
-        new = np.ones(len(row), bool)
-        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + (last - first)[:-1])
-        head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
-        row, first, last, at = row[head], first[head], last[tail], at[head]
-        cuts = (at + last - first - 1) // self.window - at // self.window + 1
-        part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        row, first, last, at = (np.repeat(x, cuts) for x in (row, first, last, at))
-        window = at // self.window + part
-        start = np.maximum(window * self.window, at)
-        end = np.minimum((window + 1) * self.window, at + last - first)
-        places = (row, start - at + first - begin[row], end - start, window, start - window * self.window)
-        return list(zip(*(p.tolist() for p in places), strict=True))
+    totals = sums.groupBy("source").agg(F.sum("n").alias("total"))
+    if weights:
+        named = sums.sparkSession.createDataFrame(list(weights.items()), "named string, weight double")
+        totals = totals.join(named, F.col("source").eqNullSafe(F.col("named")), "left").drop("named")
+    else:
+        totals = totals.withColumn("weight", F.lit(None).cast("double"))
+    totals = written(totals, "queue-totals")
+    whole, kept, given = totals.agg(F.sum("total"), F.sum(F.when(F.col("weight").isNull(), F.col("total"))), F.sum("weight")).first()
+    shares = (kept or 0) + (given or 0.0) * (whole or 0)
+    share = F.coalesce(F.col("weight") * F.lit(float(whole or 0)), F.col("total").cast("double")) / F.lit(max(float(shares), 1e-300))
+    return totals.select("source", "total", F.greatest(F.lit(1), F.rint(share * window * UNIT).cast("long")).alias("credit"))
+
+
+def runs(rows: DataFrame, grain: int) -> DataFrame:
+    """(part, row, source, total, turn, first, start, length): rows cut into runs of grains of one round.
+
+    rows: part, row, source, total, credit, and the place of its tokens in the
+    queue: begin and n_tokens. A run's first token stands at `first` in its
+    queue and at `start` in its row.
+    """
+    turn = lambda g: f"((least(({g} + 1) * {grain}, total) * {UNIT} + credit - 1) div credit)"
+    begin, last = f"(begin div {grain})", f"((begin + n_tokens - 1) div {grain})"
+    heads = f"filter(sequence({begin}, {last}), g -> g = {begin} or {turn('g')} <> {turn('g - 1')})"
+    cut = rows.withColumn("heads", F.expr(heads)).select("*", F.posexplode("heads").alias("at", "g"))
+    cut = cut.withColumn("first", F.expr(f"greatest(g * {grain}, begin)"))
+    cut = cut.withColumn("last", F.expr(f"coalesce(get(heads, at + 1) * {grain}, begin + n_tokens)"))
+    return cut.select("part", "row", "source", "total", F.expr(turn("g")).alias("turn"), "first", F.expr("first - begin").alias("start"), F.expr("last - first").alias("length"))
+
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs (part, row, start, length) of one range in order, with the range and how many of its tokens stand before each."""
+    task, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ends = before + np.cumsum(np.asarray(batch.column(3)))
+        offset = ends - np.asarray(batch.column(3))
+        before = int(ends[-1]) if len(ends) else before
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([task] * len(offset), pa.int64()), pa.array(offset, pa.int64())], names=RUN)
+
+
+RUN = ["part", "row", "start", "length", "task", "offset"]
+
+
+def pieces(row: np.ndarray, start: np.ndarray, length: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """(row, start, length, window, offset) of the pieces that the runs of rows, at places of the whole sequence, are cut into."""
+    order = np.lexsort((start, row))
+    row, start, length, at = (x[order] for x in (row, start, length, at))
+    # Runs that meet in the sequence are one piece; then pieces are cut at the windows.
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + length[:-1])
+    head, tail = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(row)) - 1
+    row, first, last, at = row[head], start[head], (start + length)[tail], at[head]
+    cuts = (at + last - first - 1) // window - at // window + 1
+    part = np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    row, first, last, at = (np.repeat(x, cuts) for x in (row, first, last, at))
+    number = at // window + part
+    begin = np.maximum(number * window, at)
+    end = np.minimum((number + 1) * window, at + last - first)
+    return row, begin - at + first, end - begin, number, begin - number * window
 
 
 def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window: int = WINDOW, grain: int = GRAIN,
@@ -281,47 +275,38 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
     ids are little-endian unsigned 32-bit; without with_ids only their CRC-32
     is returned.
 
-    weights: target token shares by source, in proportion, of at most
-    MAX_QUEUES sources; sources that it doesn't name keep their share of the
-    tokens. By default all do.
+    weights: target token shares by source, in proportion, of any number of
+    sources; sources that it doesn't name keep their share of the tokens. By
+    default all do.
     """
-    weights = weights or {}
-    if len(weights) > MAX_QUEUES:
-        raise ValueError(f"at most {MAX_QUEUES} sources may have a weight")
     rows = written(tokenise(docs, path, end), "tokens")
-    sums = rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("n"))
-    sums = written(sums, "token-sums")
-
-    wanted = F.lit(False) if not weights else F.coalesce(F.col("source").isin([s for s in weights if s is not None]), F.lit(None in weights))
-    largest = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(wanted.desc(), F.desc("n"), F.col("source").asc_nulls_first())
-    named = [r.source for r in largest.limit(MAX_QUEUES).collect()]
-    numbers = docs.sparkSession.createDataFrame(
-        [(s, i) for i, s in enumerate(named)], "queue_source string, queue int"
-    )
-    sums = sums.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("queue_source")), "left")
-    sums = sums.select("source", "part", "n", F.coalesce("queue", F.lit(len(named)) + F.pmod(F.xxhash64("source"), F.lit(TAIL)).cast("int")).alias("queue"))
-    order = Window.partitionBy("queue").orderBy("part", F.col("source").asc_nulls_first())
-    starts = sums.withColumn("base", F.sum("n").over(order) - F.col("n"))
-    starts = written(starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "queue", "base", "n"), "token-starts")
-
-    totals = np.zeros(len(named) + TAIL, np.int64)
-    for r in starts.groupBy("queue").agg(F.sum("n").alias("n")).collect():
-        totals[r.queue] = r.n
-    share = totals.astype(float)
-    for s, w in weights.items():
-        if s in named:
-            share[named.index(s)] = w * totals.sum()
-    rounds = Rounds(totals, share, window, grain)
-
-    placed = rows.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
-    placed = placed.select("doc_id", "source", "ids", "n_tokens", "queue", (F.col("base") + F.col("local")).alias("begin"))
+    sums = written(rows.groupBy("source", "part").agg(F.sum("n_tokens").alias("n")), "token-sums")
+    credits = queues(sums, weights or {}, window).withColumnRenamed("source", "queue")
+    starts = sums.withColumn("base", F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n"))  # a row a task
+    starts = starts.join(credits, F.col("source").eqNullSafe(F.col("queue")))
+    starts = written(starts.select(F.col("source").alias("s"), F.col("part").alias("p"), "base", "total", "credit"), "token-starts")
+
+    own = rows.select("source", "part", "row", "n_tokens", "local").join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p")))
+    own = own.withColumn("begin", F.col("base") + F.col("local"))
+    order = [F.col("turn"), F.col("total").desc(), F.col("source").asc_nulls_first(), F.col("first")]
+    dealt = runs(own, grain).repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = dealt.select(*RUN[:4]).mapInArrow(numbered, ", ".join(f"{c} long" for c in RUN))
+    placed = written(placed, "token-runs")
+    sizes = {r.task: r.n for r in placed.groupBy("task").agg(F.sum("length").alias("n")).collect()}  # a number a range
+    bases = np.cumsum([0, *(sizes.get(i, 0) for i in range(max(sizes, default=0)))])
+
+    of = placed.groupBy(F.col("part").alias("p"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "length", "task", "offset")).alias("runs"))
+    met = rows.join(of, (F.col("part") == F.col("p")) & (F.col("row") == F.col("r"))).select("doc_id", "source", "ids", "n_tokens", "runs")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             if not batch.num_rows:
                 continue
-            doc, source, ids, n, queue, begin = (c.to_pylist() for c in batch.columns)
-            found = rounds.pieces(np.array(queue), np.array(begin), np.array(n))
+            doc, source, ids, n = (c.to_pylist() for c in batch.columns[:4])
+            held = batch.column(4)
+            row = np.repeat(np.arange(len(n)), np.asarray(held.value_lengths()))
+            start, length, task, offset = (np.asarray(x) for x in held.flatten().flatten())
+            found = list(zip(*(x.tolist() for x in pieces(row, start, length, bases[task] + offset, window)), strict=True))
             at = [f[0] for f in found]
             width = 2 if len(ids[0]) == 2 * n[0] else 4
             own = [ids[i][s * width : (s + k) * width] for i, s, k, _, _ in found]
@@ -337,7 +322,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, window
             yield pa.RecordBatch.from_arrays(columns, names=NAMES[: len(columns)])
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
-    return placed.mapInArrow(tidy(each), schema + ", ids binary" * with_ids)
+    return met.mapInArrow(tidy(each), schema + ", ids binary" * with_ids)
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source", "ids"]
