@@ -64,3 +64,19 @@ def test_recall_in_a_tight_group(spark):
 def test_copies_of_an_id_do_not_hide_others():
     rows = [(0, i, v) for i, v in [(1, b"a"), (2, b"a"), (2, b"a"), (2, b"a"), (2, b"b"), (3, b"a"), (4, b"a")]]
     assert ann.copies(rows) == [0, 0, 1, 1, 0, 1, 2]
+
+
+def test_many_lists_and_groups(spark):
+    """An index of over a thousand lists finds what a small one finds, and its groups follow its lists."""
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(400, 16))[rng.integers(0, 400, 5000)] + rng.normal(size=(5000, 16)) * 0.3).round(3)
+    rows = ann.usable(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    for lists in (9, 1300):
+        index, blocks = ann.build(rows, lists=lists)
+        assert len(index.centroids) == lists and blocks.select("group").distinct().count() == -(-lists // round(lists**0.5))
+        found = {}
+        for r in ann.search(rows.where("vec_id % 50 = 0"), rows, (index, blocks), k=20).collect():
+            found.setdefault(r.query_id, set()).add(r.vec_id)
+        hits = sum(len(found[q] & set(exact(dict(enumerate(x)), q, 20))) for q in range(0, 5000, 50))
+        assert hits / 2000 >= 0.9, lists
+        assert index.probes < lists

@@ -14,9 +14,12 @@ hold the share COVER of the exact neighbours among the sample. Vectors in
 clusters need few lists; vectors without structure need a large part of them,
 and a search then costs in proportion to the vectors, whatever the index.
 
-Neighbouring lists form GROUPS groups, stored in blocks of at most about BLOCK
-vectors, so a list that holds a third of all vectors is many blocks on many
-tasks; queries meet blocks by an equi-join on the group. Each block yields a
+There are as many lists as the square root of the vectors, and neighbouring
+lists form as many groups as the square root of the lists, so both grow with
+the table: 10^9 vectors are 31,623 lists in 178 groups. A group is stored in
+blocks of at most about BLOCK vectors, so a list that holds a third of all
+vectors is many blocks on many tasks; queries meet blocks by an equi-join on
+the group, and bring along which of its lists they probe. Each block yields a
 query's k best of its own, and the last step keeps the k best of all. Of equal
 vectors in a block only those are scored whose ids can be among the k smallest.
 Only the centroids and codebooks reach the driver.
@@ -40,10 +43,12 @@ from pyspark.sql import functions as F
 
 from vouch.llm.common import fold, table, written
 
-#: Vectors that centroids and codebooks are trained on, at most (in expectation).
-TRAIN = 24_576
-MAX_LISTS = 1024
-GROUPS = 16
+#: Vectors that centroids and codebooks are trained on (in expectation): so many, and PER_LIST for each list; of them
+#: the lists to probe are measured on TRAIN. Lists that are trained, at most: those of 10^9 vectors.
+TRAIN, PER_LIST = 24_576, 16
+TRAINED_LISTS = 1 << 15
+#: Products of vectors and centroids that are held at once.
+CELLS = 1 << 22
 BLOCK = 8192
 QUERY_BLOCK = 256
 SUB = 2  # dimensions of a sub-vector
@@ -76,8 +81,8 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
 
 def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     """The closest row of c for each row of x, in blocks."""
-    half = (c * c).sum(axis=1) / 2
-    return np.concatenate([(x[i : i + 8192] @ c.T - half).argmax(axis=1) for i in range(0, len(x), 8192)] or [np.zeros(0, np.int64)])
+    half, step = (c * c).sum(axis=1) / 2, max(1, min(8192, CELLS // len(c)))
+    return np.concatenate([(x[i : i + step] @ c.T - half).argmax(axis=1) for i in range(0, len(x), step)] or [np.zeros(0, np.int64)])
 
 
 class Index:
@@ -106,6 +111,7 @@ class Index:
 
     def calibrate(self, sample: np.ndarray, most: int = 256) -> int:
         """Lists to probe for the share COVER of the exact neighbours among the sample."""
+        sample = sample[:: max(1, len(sample) // TRAIN)]
         q = sample[:: max(1, len(sample) // most)]
         exact = q @ sample.T
         exact[exact >= (q * q).sum(axis=1)[:, None] * (1 - 1e-12)] = -np.inf  # itself and its copies
@@ -119,19 +125,29 @@ class Index:
 
     def probed(self, q: np.ndarray, n: int) -> np.ndarray:
         """Whether each query (row) probes each list (column)."""
-        near = self.pad(q) @ self.centroids.T
-        out = np.zeros(near.shape, bool)
-        np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, :n], True, axis=1)
+        out = np.zeros((len(q), len(self.centroids)), bool)
+        step = max(1, CELLS // len(self.centroids))
+        for i in range(0, len(q), step):
+            near = self.pad(q[i : i + step]) @ self.centroids.T
+            np.put_along_axis(out[i : i + step], np.argsort(-near, axis=1, kind="stable")[:, :n], True, axis=1)
         return out
 
-    def scores(self, q: np.ndarray, probed: np.ndarray, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """Approximate products of queries (rows) with coded vectors (columns, by list); -inf where not probed."""
+    @property
+    def per(self) -> int:
+        """Lists of a group."""
+        return max(1, round(math.sqrt(len(self.centroids))))
+
+    def scores(self, q: np.ndarray, probed: np.ndarray, first: int, lists: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Approximate products of queries (rows) with coded vectors (columns, by list); -inf where not probed.
+
+        probed: whether each query probes each list from number `first` on.
+        """
         q = self.pad(q)
         tables = [q[:, j * SUB : (j + 1) * SUB] @ b.T for j, b in enumerate(self.books)]
         out = np.full((len(q), len(lists)), -np.inf, np.float32)
         cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1), len(lists)]
         for a, b in zip(cuts, cuts[1:], strict=False):
-            asking = np.flatnonzero(probed[:, lists[a]]) if b > a else []
+            asking = np.flatnonzero(probed[:, lists[a] - first]) if b > a else []
             if len(asking):
                 part = np.repeat((q[asking] @ self.centroids[lists[a]])[:, None], b - a, axis=1)
                 for table_, code in zip(tables, codes[a:b].T, strict=True):
@@ -199,16 +215,17 @@ def build(rows: DataFrame, lists: int | None = None, train: int = TRAIN) -> tupl
     n = rows.count()
     if not n:
         return None
-    part = min(1.0, train / n)
+    lists = lists or max(1, min(TRAINED_LISTS, round(math.sqrt(n))))
+    part = min(1.0, max(train, PER_LIST * lists) / n)
     drawn = rows.where(F.pmod(fold(F.col("vec_id"), 7), F.lit(1 << 20)) < F.lit(math.ceil(part * (1 << 20))))
     sample = drawn.select("vec").toArrow().column("vec").combine_chunks()
     if not len(sample):
         sample = rows.limit(1).select("vec").toArrow().column("vec").combine_chunks()
     d = len(sample[0])
-    index = Index(matrix(sample, d), lists or max(1, min(MAX_LISTS, round(math.sqrt(n)))))
+    index = Index(matrix(sample, d), lists)
     index.probes = index.calibrate(matrix(sample, d))
-    per = -(-len(index.centroids) // GROUPS)
-    shared = rows.sparkSession.sparkContext.broadcast(index)  # MAX_LISTS centroids and 256 codes a sub-vector
+    per = index.per
+    shared = rows.sparkSession.sparkContext.broadcast(index)  # TRAINED_LISTS centroids at most and 256 codes a sub-vector
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +238,7 @@ def build(rows: DataFrame, lists: int | None = None, train: int = TRAIN) -> tupl
     coded = written(rows.mapInArrow(encode, "list int, vec_id long, vec binary, code binary, miss float"), "ann-codes")
     coded = coded.withColumn("group", F.floor(F.col("list") / per).cast("int"))
     counts = {r.group: r.n for r in coded.groupBy("group").agg(F.count("*").alias("n")).collect()}  # a row a group
-    salts = F.array(*[F.lit(-(-counts.get(i, 1) // BLOCK)) for i in range(GROUPS)])
+    salts = F.array(*[F.lit(-(-counts.get(i, 1) // BLOCK)) for i in range(-(-len(index.centroids) // per))])
     dealt = coded.withColumn("salt", F.pmod(fold(F.col("vec_id"), 8), F.get(salts, F.col("group"))))
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,7 +273,7 @@ def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] |
     if built is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     index, blocks = built
-    d, per = index.d, -(-len(index.centroids) // GROUPS)
+    d, per = index.d, index.per
     probes = probes or index.probes
     shared = spark.sparkContext.broadcast(index)
 
@@ -266,31 +283,34 @@ def search(queries: DataFrame, rows: DataFrame, built: tuple[Index, DataFrame] |
             x = matrix(batch.column(1), d) if batch.num_rows else np.zeros((0, d))
             probed = shared.value.probed(x, probes)
             for group in range(-(-probed.shape[1] // per)):
-                asking = np.flatnonzero(probed[:, group * per : (group + 1) * per].any(axis=1))
+                part = probed[:, group * per : (group + 1) * per]
+                asking = np.flatnonzero(part.any(axis=1))
                 for i in range(0, len(asking), QUERY_BLOCK):
                     own = asking[i : i + QUERY_BLOCK]
-                    out.append((group, ids[own].tobytes(), x[own].tobytes()))
-            kinds = (pa.int32(), pa.binary(), pa.binary())
-            names = ["q_group", "q_ids", "q_vecs"]
+                    out.append((group, ids[own].tobytes(), x[own].tobytes(), np.packbits(part[own], axis=1).tobytes()))
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary())
+            names = ["q_group", "q_ids", "q_vecs", "q_lists"]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(kinds)], names=names)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (np.int32, np.int64, np.float32, np.int32, np.uint8, np.float64, np.int64, np.float64)
+        kinds = (np.int32, np.int64, np.float32, np.int32, np.uint8, np.float64, np.int64, np.float64, np.uint8)
         for batch in batches:
             for i in range(batch.num_rows):  # a block and a few queries
-                lists, ids, miss, before, codes, vecs, q_ids, q = (
+                lists, ids, miss, before, codes, vecs, q_ids, q, probed = (
                     np.frombuffer(c[i].as_buffer(), t) for c, t in zip(batch.columns, kinds, strict=True)
                 )
+                first = lists[0] // per * per
+                probed = np.unpackbits(probed.reshape(len(q_ids), -1), axis=1).astype(bool)
                 few = np.flatnonzero(before < k)
                 lists, ids, miss = lists[few], ids[few], miss[few]
                 codes, vecs, q = codes.reshape(len(before), -1)[few], vecs.reshape(-1, d)[few], q.reshape(-1, d)
-                near = shared.value.scores(q, shared.value.probed(q, probes), lists, codes)
+                near = shared.value.scores(q, probed, first, lists, codes)
                 near[q_ids[:, None] == ids[None, :]] = -np.inf
                 arrays = best(q_ids, q, ids, vecs, near, miss, k)
                 yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=["query_id", "vec_id", "score"])
 
-    dealt = queries.select("vec_id", "vec").mapInArrow(deal, "q_group int, q_ids binary, q_vecs binary")
-    met = blocks.join(dealt, F.col("group") == F.col("q_group")).select("lists", "ids", "miss", "copies", "codes", "vecs", "q_ids", "q_vecs")
+    dealt = queries.select("vec_id", "vec").mapInArrow(deal, "q_group int, q_ids binary, q_vecs binary, q_lists binary")
+    met = blocks.join(dealt, F.col("group") == F.col("q_group")).select("lists", "ids", "miss", "copies", "codes", "vecs", "q_ids", "q_vecs", "q_lists")
     scored = met.mapInArrow(score, "query_id long, vec_id long, score double")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = scored.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k)
