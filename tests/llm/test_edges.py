@@ -54,6 +54,11 @@ def test_clashing_columns_are_kept(spark, docs):
     assert set(docs.columns) <= set(OPERATORS["url_filter"](spark, docs).columns) and set(docs.columns) <= set(OPERATORS["warc"](spark, docs).columns)
 
 
+def test_empty_benchmark(spark, docs):
+    none = docs.selectExpr("doc_id as item_id", "text").limit(0)
+    assert decontaminate.contaminated(docs, none).collect() == [] and decontaminate.clean(docs, none).count() == len(ROWS)
+
+
 def test_vectors(spark):
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [float("nan"), 1.0]), (6, [1.0, 2.0]), (6, [1.0, 2.0]), (7, [1.0, 2.0]), (None, [3.0, 4.0]), (8, [1.0])]
     vectors = spark.createDataFrame([(i, v, 1, 2) for i, v in rows], "vec_id long, embedding array<float>, rank int, score int")

@@ -1,6 +1,8 @@
+import itertools
 import math
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vouch.llm import quality
@@ -94,3 +96,13 @@ def test_calibration_is_at_its_best_point():
             other = theta.copy()
             other[k] += step
             assert loss(other) > loss(theta)
+
+
+def test_rows_that_share_an_id_have_one_order():
+    """However the rows arrive, ties on id, label and metadata are settled by what is looked at."""
+    rows = [(1, 1, "en", "a", b"x", [1.0], [2.0]), (1, 1, "en", "a", b"x", [1.0], [1.0]), (1, 1, "en", "a", b"a", [9.0], [1.0]), (1, None, None, "a", b"", [0.0], [0.0]),
+            (None, 0, "en", None, b"", [0.0], [0.0]), (0, 0, "en", "b", b"", [0.0], [0.0])]
+    names = ["doc_id", "bad", "lang", "source", "words", "content", "page"]
+    of = lambda part: quality.in_order(pa.table(dict(zip(names, map(list, zip(*part, strict=True)), strict=True)))).to_pylist()
+    want = [dict(zip(names, rows[i], strict=True)) for i in (5, 2, 1, 0, 3, 4)]
+    assert all(of(p) == want for p in itertools.permutations(rows))

@@ -27,7 +27,12 @@ the documents each, so no index of unbounded size is sent. Scores don't depend
 on shards or classes: the counts behind them are taken over all items.
 
 Null or empty texts hold no item, and null or empty items are in no document.
-Items that repeat are each reported. Case and punctuation don't count.
+Items that repeat are each reported, and documents that repeat are each judged,
+alike. An empty corpus gives no row; with an empty benchmark nothing is found and
+every document is clean. Case and punctuation don't count. A very long text is
+many passages, and needs memory for its own words. Retrieval has no rank and so
+no ties: all items at or above the threshold are taken. Further columns are kept
+by `clean` and not looked at, whatever their names.
 """
 
 from __future__ import annotations
