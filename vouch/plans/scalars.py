@@ -87,7 +87,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(T.person_request_errors(F.substring_index(name, " ", 1 + 0), company, F.col("domain"), email, F.col("url")), "|").alias("errors"),
         T.local_matches_name(email, name).alias("local_matches"),
         T.same_person(F.concat(F.lit("Ms. "), name, F.lit(" A. "), company), name).alias("same_person"),
-        T.human_name(F.concat(F.initcap(name), F.lit(" Smith"))).alias("human"),
+        T.human_name(F.concat(T.capitalized(name), F.lit(" Smith"))).alias("human"),
         T.spelled_out(F.concat(F.substring_index(company, " ", 1), F.lit(" Elec Power Assn"))).alias("spelled"),
         T.rank_contact(role, F.lit(False), text).alias("rank"),
         T.geography_supported(state, listed).alias("geography"),
