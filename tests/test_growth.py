@@ -2,9 +2,13 @@
 
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vouch.functions import text as T
+from vouch.operators import parse as P
+from vouch.plans import views as V
+from vouch.session import ROWS, SMALL, UNCHOSEN
 
 
 def seconds(df) -> float:
@@ -22,3 +26,22 @@ def test_missing_words_read_the_text_once(spark):
     assert found == (["aqua", "terra"], 40)
     short, long = (min(seconds(rows.select(T.missing_tokens(name, F.col("text")))) for _ in range(2)) for name in (few, many))
     assert long < 4 * short + 1, (short, long)
+
+
+def test_few_pages_are_taken_apart_at_once():
+    """However many rows a batch has and however long its pages are, little markup is parsed before it goes on."""
+    html = ["x" * 100] * 1000 + ["y" * 600_000] * 5 + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(n) for n in range(len(html))]), pa.array(html, pa.string())], names=["url", "html"])
+    found = list(P.parts(iter([batch]), 1))
+    assert pa.Table.from_batches(found).equals(pa.Table.from_batches([batch]))
+    assert max(p.num_rows for p in found) == P.PART and max(sum(len(x or "") for x in p.column(1).to_pylist()) for p in found) < 2 * P.PART_CHARS
+
+
+def test_tables_hand_few_rows_to_python(spark, sf):
+    rows = spark.conf.get(ROWS)
+    spark.conf.set(ROWS, UNCHOSEN)
+    try:
+        V.table(spark, sf, "pages")
+        assert spark.conf.get(ROWS) == str(SMALL)
+    finally:
+        spark.conf.set(ROWS, rows)

@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vouch.session import shared_folder, ship
+from vouch.session import SMALL, shared_folder, ship, small_batches, tidy  # noqa: F401
 
-#: Rows of a batch that are taken apart in Python at once.
-SMALL = 1024
 #: Ids that are broadcast, at most: 16 MB.
 FEW_IDS = 1 << 20
 
 
-#: The rows that Spark hands to Python at once, and how many that are where nobody has chosen.
-ROWS, UNCHOSEN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. Texts may be long, so fewer rows than Spark's own number go to Python at once, unless the session says so."""
     ship(spark)
-    if spark.conf.get(ROWS) == UNCHOSEN:
-        spark.conf.set(ROWS, str(SMALL))
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -73,22 +65,6 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, SMALL)
 
 
-def tidy(each: Callable) -> Callable:
-    """A function for mapInArrow whose task, when it ends, hands the memory it has freed back to the system.
-
-    Python workers live on between tasks, beside the executor's own memory.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from each(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
-
-    return run
-
-
 def ddl(df: DataFrame) -> str:
     """The schema of df as text, whatever the names of its columns."""
     return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
